@@ -27,21 +27,26 @@ def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) ->
     """(file, line_no, line) of text files, lines counted from 1.
 
     Files stay splittable: each block numbers its own lines, and the lines of
-    the earlier blocks of the file are added. Should the two reads of a file be
+    the earlier blocks of the file are added. Should the two scans of a file be
     split differently, the job stops rather than number wrongly.
     """
-    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length")]
-    position = F.monotonically_increasing_id().alias("position")
-    sizes = (
-        spark.read.text(path).select(*block, position)
-        .groupBy("file", "start", "length").agg(F.min("position").alias("first"), F.count("*").alias("n"))
+    block = ["file", "start", "length"]
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_block_length").alias("length"),
+        F.monotonically_increasing_id().alias("position"),
+        F.col("value").alias("line"),
     )
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    lines = spark.read.text(path).select(*block, position, F.col("value").alias("line"))
-    numbered = lines.join(starts, ["file", "start", "length"], "left_outer")
-    number = F.when(F.col("first").isNull(), F.raise_error(F.lit("file splits changed between two reads"))).otherwise(
-        F.col("before") + F.col("position") - F.col("first") + 1
+    starts = (
+        text.groupBy(*block).agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     )
-    numbered = numbered.select("file", number.cast("bigint").alias("line_no"), "line")
-    return numbered if max_lines is None else numbered.where(F.col("line_no") <= max_lines)
+    in_block = F.row_number().over(Window.partitionBy(*block).orderBy("position"))
+    numbered = text.withColumn("in_block", in_block).join(starts, block, "left_outer")
+    number = F.when(F.col("before").isNull(), F.raise_error(F.lit("file splits changed between two scans"))).otherwise(
+        F.col("before") + F.col("in_block")
+    )
+    lines = numbered.select("file", number.cast("bigint").alias("line_no"), "line")
+    return lines if max_lines is None else lines.where(F.col("line_no") <= max_lines)
