@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,7 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder once and read it from there:
-    loops keep short plans and lost executors cost only the running step."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The frame as a table written once to the checkpoint folder.
+
+    Loops keep short plans, later steps read only the columns they need and
+    know the size of what they join, and a lost executor costs no more than
+    the running step. The tables of an application are in one folder below
+    the checkpoint folder, which can go when the application has ended.
+    """
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark)
+    path = f"{folder.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
