@@ -27,13 +27,10 @@ class Registry:
 
 
 def all_queries() -> Registry:
-    import importlib, pkgutil
-    import queries as q
-    mods=[importlib.import_module('queries.'+m.name) for m in pkgutil.iter_modules(q.__path__)]
-    mods=[m for m in mods if hasattr(m,'registry')]
+    from queries import cascade, catalog, config, diff, files, graph, lines, scan, tables
 
     whole = Registry()
-    for module in mods:
+    for module in (diff, tables, graph, cascade, scan, catalog, config, lines, files):
         for name, function in module.registry.spark.items():
             whole.add(name, module.registry.sql.get(name))(function)
     return whole
