@@ -10,11 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.snapshots import read_snapshot, spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows are costly to look through.
+TEXTS = ("documents", "pages", "conversations", "events")
+
 FRAMES: dict[str, str] = {}
 
 # ---- second snapshots ------------------------------------------------------
@@ -304,7 +309,8 @@ def with_frames(*names: str) -> str:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    found = read_snapshot(spark, sf_dir, TABLES, suffix=".parquet")
+    return {t: spread(df) if t in TEXTS else df for t, df in found.items()}
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:

@@ -23,12 +23,12 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     many as the graph is deep, and only the waiting counts are rewritten.
     """
     nodes = nodes.select("node").distinct()
-    inside = (
-        edges.select("child", "parent").where("child <> parent").distinct()
-        .join(nodes.withColumnRenamed("node", "child"), "child", "left_semi")
+    # Copies of an edge are added and taken off alike, and what is counted for
+    # children outside the set is never looked up; only parents must be in it.
+    inside = checkpointed(
+        edges.select("child", "parent").where("child <> parent")
         .join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
     )
-    inside = checkpointed(inside)
     waits = inside.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("waits"))
     state = checkpointed(nodes.join(waits, "node", "left_outer").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
     settled = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -101,12 +102,37 @@ def signature_scan(
     if max_lines is not None:
         lines = lines.where(col(line_no) <= max_lines)
     declared = F.regexp_extract(col(line), "(?i)" + DECLARED, 1)
-    names = [F.when(declared != "", F.lower(F.trim(declared)))]
-    names += [F.when(col(line).rlike("(?i)" + pattern), F.lit(name)) for name, pattern in signatures.items()]
+    # Words are looked for before a pattern is tried: most lines hold none.
+    lines = lines.select(doc, line_no, line, F.lower(col(line)).alias("_lower"))
+    words = {name: leading_words(pattern) for name, pattern in signatures.items()}
+    names = [F.when(F.contains("_lower", F.lit("extension")) & (declared != ""), F.lower(F.trim(declared)))]
+    for name, pattern in signatures.items():
+        test = col(line).rlike("(?i)" + pattern)
+        names.append(F.when(_has(F.col("_lower"), words[name]) & test if words[name] else test, F.lit(name)))
     found = lines.select(doc, line_no, F.explode(F.array_compact(F.array(*names))).alias("name"))
     return found.groupBy(doc, "name").agg(F.min(line_no).alias("first_line"))
 
 
+def leading_words(pattern: str) -> list[str]:
+    """Words of which one is in every text the pattern matches, when each of
+    its alternatives starts with a word; empty when that cannot be told."""
+    alternatives, depth = [""], 0
+    for c in pattern:
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "|" and depth == 0:
+            alternatives.append("")
+        else:
+            alternatives[-1] += c
+    words = []
+    for text in alternatives:
+        found = re.match(r"\\b([a-z0-9_]+)([?*{]?)", text)
+        word = found[1][:-1] if found and found[2] else found[1] if found else ""
+        if not word:
+            return []
+        words.append(word)
+    return words
+
+
 def copy_start(line: Column) -> Column:
     return F.trim(line).rlike(r"(?i)^COPY .*FROM stdin")
 

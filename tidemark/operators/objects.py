@@ -18,6 +18,7 @@ from tidemark.operators.catalog import (
 )
 from tidemark.operators.graph import topological_levels
 from tidemark.operators.junk import filled
+from tidemark.session import checkpointed
 
 # Order of kinds in a plan, kinds that only report additions,
 # kinds whose text names its schema, and patterns that find a parent table.
@@ -204,7 +205,7 @@ def schema_change_plan(
 
     The order is in the columns `PLAN_ORDER`; sort at the sink.
     """
-    tables = table_diff(src_catalog, tgt_catalog)
+    tables = checkpointed(table_diff(src_catalog, tgt_catalog))
     added = tables.where("diff_type = 'Added'")
     removed = tables.where("diff_type = 'ExistingInTarget'")
     ddl = render_table_ddl(src_catalog.join(added.select(*TABLE), list(TABLE), "left_semi"), keys, tgt_schema)

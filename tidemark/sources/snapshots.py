@@ -28,6 +28,13 @@ def read_snapshot(
     return snapshot
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few file splits dealt out to all cores, for costly work per
+    row; one of many splits is left alone. Takes frames without shuffles."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def write_change_set(feed: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Persist a change feed, one folder per table and operation."""
     feed.write.mode(mode).partitionBy("table_name", "op").parquet(path)
