@@ -294,7 +294,7 @@ def row_diff_duplicate_keys(spark, sf_dir):
 @registry.add(
     "diff_summary_composite_key",
     f"""{with_frames("old_lineitem")},
-{diff_cte("d", "lineitem", "old_lineitem", FULL_KEY, LINEITEM)}
+{diff_cte("d", "lineitem", "old_lineitem", FULL_KEY, LINEITEM, occurrence=True)}
 {summary('lineitem')}""",
 )
 def diff_summary_composite_key(spark, sf_dir):

@@ -308,14 +308,17 @@ def with_frames(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({FRAMES[n].strip()})" for n in _needed(names))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    found = read_snapshot(spark, sf_dir, TABLES, suffix=".parquet")
-    return {t: spread(df) if t in TEXTS else df for t, df in found.items()}
+def _tables_of(names: tuple[str, ...]) -> list[str]:
+    """Tables that are named, or that the named frames are made of."""
+    text = " ".join([*names, *(FRAMES[n] for n in _needed(tuple(n for n in names if n in FRAMES)))])
+    words = set(re.findall(r"\b\w+\b", text))
+    return [t for t in TABLES if t in words]
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """Tables and frames by name."""
-    base = tables(spark, sf_dir)
+    base = read_snapshot(spark, sf_dir, _tables_of(names), suffix=".parquet")
     for name, df in base.items():
-        df.createOrReplaceTempView(name)
+        base[name] = spread(df) if name in TEXTS else df
+        base[name].createOrReplaceTempView(name)
     return [base[n] if n in base else spark.sql(f"{with_frames(n)}\nSELECT * FROM {n}") for n in names]
