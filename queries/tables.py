@@ -9,6 +9,7 @@ from queries.frames import load, with_frames
 from queries.sqltext import CUSTOMER, CUSTOMER_KINDS, ORDERS, ORDERS_KINDS, PART, diff_cte, dml, summary
 from tidemark.operators import diff as D, inventory as I, risk as R, sync as S
 from tidemark.operators.edges import FkEdge
+from tidemark.plans.release import compare_release
 
 registry = Registry()
 KEYS = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "part": ["p_partkey"], "supplier": []}
@@ -193,3 +194,24 @@ def change_risk(spark, sf_dir):
     src, tgt = _sides(spark, sf_dir)
     pick = lambda tables: {t: tables[t] for t in ("customer", "orders")}
     return R.change_risk(pick(tgt), pick(src), KEYS, [EDGE])
+
+
+@registry.add(
+    "release_plan",
+    f"""{_DIFFS}
+SELECT 'summary' AS part, table_name, status AS op, source_rows AS n_rows FROM ({summary('customer', 'dc')} UNION ALL {summary('orders', 'dor')} UNION ALL {summary('part', 'dp')})
+UNION ALL SELECT 'feed', 'customer', op, count(*) FROM dc WHERE op <> 'S' GROUP BY op
+UNION ALL SELECT 'feed', 'orders', op, count(*) FROM dor WHERE op <> 'S' GROUP BY op
+UNION ALL SELECT 'applied', 'orders', '', count(*) FROM orders""",
+)
+def release_plan(spark, sf_dir):
+    """Summary, feed and resulting table from diffs that are run once."""
+    src, tgt = _sides(spark, sf_dir)
+    release = compare_release(src, tgt, KEYS)
+    feed = release.feed([EDGE]).groupBy("table_name", "op").agg(F.count("*").alias("n_rows"))
+    applied = release.applied("orders", tgt["orders"]).agg(F.count("*").alias("n_rows"))
+    return (
+        release.summary().select(F.lit("summary").alias("part"), "table_name", F.col("status").alias("op"), F.col("source_rows").alias("n_rows"))
+        .unionAll(feed.select(F.lit("feed"), "table_name", "op", "n_rows"))
+        .unionAll(applied.select(F.lit("applied"), F.lit("orders"), F.lit(""), "n_rows"))
+    )

@@ -149,22 +149,28 @@ def _env_key(line: Column) -> Column:
     return F.when(name != "", F.trim(name))
 
 
+def _env_value(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(line), "^[^=]*=", ""))
+
+
 def parse_env(lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line") -> DataFrame:
     """(doc, line_no, key, value) of the lines that set a variable."""
-    text = F.trim(col(line))
-    value = F.trim(F.regexp_replace(text, "^[^=]*=", ""))
     return lines.select(
-        doc, F.col(line_no).alias("line_no"), _env_key(col(line)).alias("key"), value.alias("value")
+        doc, F.col(line_no).alias("line_no"), _env_key(col(line)).alias("key"), _env_value(col(line)).alias("value")
     ).where("key IS NOT NULL")
 
 
 def env_diff(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
     """Variables added, removed and changed between two `parse_env` frames.
     The last setting of a variable counts. One aggregation over both sides."""
-    side = lambda df, s: df.select(doc, "key", F.struct("line_no", "value").alias("_" + s), F.lit(None).alias("_" + ("n" if s == "o" else "o")))
-    both = side(old, "o").unionByName(side(new, "n")).groupBy(doc, "key").agg(
-        F.max("_o").alias("_o"), F.max("_n").alias("_n")
-    )
+    side = lambda df, s: df.select(doc, F.lit(s).alias("side"), "line_no", "key", "value")
+    return _env_changes(side(old, "o").unionAll(side(new, "n")), doc)
+
+
+def _env_changes(settings: DataFrame, doc: str) -> DataFrame:
+    """Changes between the settings of side o and those of side n."""
+    last = lambda s: F.max(F.when(F.col("side") == s, F.struct("line_no", "value")))
+    both = settings.groupBy(doc, "key").agg(last("o").alias("_o"), last("n").alias("_n"))
     change = (
         F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed")
         .when(F.col("_o.value") != F.col("_n.value"), "changed")
@@ -213,10 +219,6 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(F.coalesce("n", "o").alias("path"), status.alias("file_status"))
 
 
-def _lines_of(df: DataFrame, content: str) -> DataFrame:
-    return df.select("path", F.posexplode(F.split(content, "\r\n|\r|\n")).alias("line_no", "line"))
-
-
 def drift_report(old: DataFrame, new: DataFrame, redact: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per change between two trees of .json and .env files (path,
     content): (path, file_status, item, change, old_value, new_value, line).
@@ -246,10 +248,14 @@ def drift_report(old: DataFrame, new: DataFrame, redact: bool = True, max_depth:
         .when(F.col("change") == "removed", F.concat(F.lit("- Removed Property: "), item, F.lit(" = "), o))
         .when(F.col("change") == "array", from_to("Array")).otherwise(from_to("Value"))
     )
-    env_files = common.where(F.col("path").endswith(".env"))
-    env = env_diff(
-        parse_env(_lines_of(env_files, "old_content"), "path"), parse_env(_lines_of(env_files, "new_content"), "path"), "path"
+    version = lambda s, c: F.struct(F.lit(s).alias("side"), F.split(c, "\r\n|\r|\n").alias("lines"))
+    env_lines = (
+        common.where(F.col("path").endswith(".env"))
+        .select("path", F.inline(F.array(version("o", "old_content"), version("n", "new_content"))))
+        .select("path", "side", F.posexplode("lines").alias("line_no", "line"))
     )
+    settings = env_lines.select("path", "side", "line_no", _env_key(F.col("line")).alias("key"), _env_value(F.col("line")).alias("value"))
+    env = _env_changes(settings.where("key IS NOT NULL"), "path")
     shown = lambda c: F.when(F.lit(redact) & F.col(c).isNotNull() & is_secret(F.col("key")), F.lit("")).otherwise(F.col(c))
     env_rows = env.select("path", F.col("key").alias("item"), "change", shown("old_value").alias("old_value"), shown("new_value").alias("new_value"))
     env_line = (

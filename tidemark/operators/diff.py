@@ -156,6 +156,19 @@ def group_sizes(
     return {t: max(sizes["s" + t], sizes["t" + t]) for t in keyed}
 
 
+def row_diffs(
+    src_tables: Mapping[str, DataFrame],
+    tgt_tables: Mapping[str, DataFrame],
+    keys_by_table: Mapping[str, Sequence[str]],
+    options: CompareOptions = CompareOptions(),
+) -> dict[str, DataFrame]:
+    """Row diff of every table that is on both sides and has a key."""
+    sizes = group_sizes(src_tables, tgt_tables, keys_by_table, options)
+    return {
+        t: row_diff(src_tables[t], tgt_tables[t], keys_by_table[t], options, sizes[t]) for t in sorted(sizes)
+    }
+
+
 def diff_summary_all(
     src_tables: Mapping[str, DataFrame],
     tgt_tables: Mapping[str, DataFrame],

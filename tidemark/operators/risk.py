@@ -9,56 +9,57 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.columns import all_of, col
+from tidemark.functions.columns import all_of, col, lower_set
 from tidemark.functions.secrets import is_secret, is_secret_name
 from tidemark.operators.config import dotted, json_leaves, parse_env
-from tidemark.operators.diff import CompareOptions, group_sizes, image_type, row_diff
+from tidemark.operators.diff import CompareOptions, image_type, row_diffs
 from tidemark.operators.edges import FkEdge
 from tidemark.operators.keys import union_all
-from tidemark.operators.sync import apply_changes
+from tidemark.session import checkpointed
 
-CHECKS = "table_name string, check string, detail string, n_rows bigint, limit double, flagged boolean"
 # Names and values that stand for a development setting.
 DEBUG_WORDS = ("debug", "development")
 
 
-def _share_checks(table: str, diff: DataFrame, max_share: float) -> DataFrame:
-    """Deletes and updates against the rows the target had."""
-    n = lambda *ops: F.coalesce(F.sum(F.col("op").isin(*ops).cast("bigint")), F.lit(0)).cast("bigint")
-    counts = diff.agg(n("D").alias("deletes"), n("U").alias("updates"), n("D", "U", "S").alias("rows"))
-    entry = lambda check, c: F.struct(F.lit(check).alias("check"), F.col(c).alias("n_rows"))
-    return counts.select("rows", F.inline(F.array(entry("bulk_delete", "deletes"), entry("bulk_update", "updates")))).select(
-        F.lit(table).alias("table_name"), "check", F.lit("").alias("detail"), "n_rows",
-        F.lit(float(max_share)).alias("limit"), (F.col("n_rows") > F.col("rows") * max_share).alias("flagged"),
-    )
-
-
-def _cell_checks(table: str, diff: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per column: secrets that would be written, and values that become null."""
+def _cells(diff: DataFrame, keys: Sequence[str]) -> dict[tuple[str, str], Column]:
+    """Per column: secrets that would be written, values that become null."""
     src, tgt = image_type(diff, "source").fieldNames(), image_type(diff, "target").fieldNames()
     new, old = (lambda c: F.col("source").getField(c)), (lambda c: F.col("target").getField(c))
-    written = F.col("op") == "I"
-    updated = F.col("op") == "U"
-    counts: list[tuple[str, str, Column]] = []
+    updated = lambda c: (F.col("op") == "U") & F.array_contains("changed_columns", c)
+    tests: dict[tuple[str, str], Column] = {}
     for c in src:
         if c in keys:
             continue
         if is_secret_name(c):
             filled = F.coalesce(new(c).cast("string") != "", F.lit(False))
-            counts.append(("sensitive_value", c, (written | (updated & F.array_contains("changed_columns", c))) & filled))
+            tests["sensitive_value", c] = ((F.col("op") == "I") | updated(c)) & filled
         if c in tgt:
-            counts.append(("unusual_null", c, updated & F.array_contains("changed_columns", c) & new(c).isNull() & old(c).isNotNull()))
-    if not counts:
-        return diff.sparkSession.createDataFrame([], CHECKS)
-    sums = [F.coalesce(F.sum(cond.cast("bigint")), F.lit(0)).cast("bigint").alias(f"n{i}") for i, (_, _, cond) in enumerate(counts)]
+            tests["unusual_null", c] = updated(c) & new(c).isNull() & old(c).isNotNull()
+    return tests
+
+
+def _row_checks(table: str, slim: DataFrame, cells: Sequence[tuple[str, str]], max_share: float) -> DataFrame:
+    """All counts of a table in one aggregation."""
+    n = lambda cond: F.coalesce(F.sum(cond.cast("bigint")), F.lit(0)).cast("bigint")
+    op = F.col("op")
+    counts = slim.agg(
+        n(op == "D").alias("deletes"), n(op == "U").alias("updates"), n(op != "I").alias("rows"),
+        *[n(F.col(f"cell{i}")).alias(f"cell{i}") for i in range(len(cells))],
+    )
+
+    def entry(check: str, detail: str, rows: str, limit: float, flagged: Column) -> Column:
+        return F.struct(
+            F.lit(check).alias("check"), F.lit(detail).alias("detail"), F.col(rows).alias("n_rows"),
+            F.lit(float(limit)).alias("limit"), flagged.alias("flagged"),
+        )
+
+    share = lambda rows: F.col(rows) > F.col("rows") * max_share
     entries = [
-        F.struct(F.lit(check).alias("check"), F.lit(c).alias("detail"), F.col(f"n{i}").alias("n_rows"))
-        for i, (check, c, _) in enumerate(counts)
+        entry("bulk_delete", "", "deletes", max_share, share("deletes")),
+        entry("bulk_update", "", "updates", max_share, share("updates")),
+        *[entry(check, c, f"cell{i}", 0, F.col(f"cell{i}") > 0) for i, (check, c) in enumerate(cells)],
     ]
-    return diff.agg(*sums).select(F.inline(F.array(*entries))).select(
-        F.lit(table).alias("table_name"), "check", "detail", "n_rows",
-        F.lit(0.0).alias("limit"), (F.col("n_rows") > 0).alias("flagged"),
-    )
+    return counts.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
 
 
 def orphans(child: DataFrame, parent: DataFrame, edge: FkEdge) -> DataFrame:
@@ -79,30 +80,45 @@ def change_risk(
     """Checks of the changes that turn the target into the source, per table:
     bulk_delete and bulk_update (share of the target's rows), orphan (rows
     without parent afterwards), sensitive_value and unusual_null."""
-    sizes = group_sizes(src_tables, tgt_tables, keys_by_table, options)
-    diffs = {
-        t: row_diff(src_tables[t], tgt_tables[t], keys_by_table[t], options, sizes[t]) for t in sorted(sizes)
-    }
-    after = {
-        t: apply_changes(tgt_tables[t], d, keys_by_table[t], ignore=options.ignore, largest_group=sizes[t])
-        for t, d in diffs.items()
-    }
-    checks = []
+    diffs = row_diffs(src_tables, tgt_tables, keys_by_table, options)
+    edges = [e for e in edges if e.child in diffs and e.parent in diffs]
+    checks, after = [], {}
     for table, diff in diffs.items():
-        checks += [_share_checks(table, diff, max_share), _cell_checks(table, diff, keys_by_table[table])]
+        # Every diff is run once, down to what the checks below ask for.
+        keys, cells = keys_by_table[table], _cells(diff, keys_by_table[table])
+        linked = {c for e in edges for t, cols in ((e.child, e.child_cols), (e.parent, e.parent_cols)) if t == table for c in cols}
+        slim = checkpointed(
+            diff.select(
+                "op",
+                *[test.alias(f"cell{i}") for i, test in enumerate(cells.values())],
+                *[_value_after(diff, c, keys, options.ignore).alias("after_" + c) for c in sorted(linked)],
+            )
+        )
+        checks.append(_row_checks(table, slim, list(cells), max_share))
+        after[table] = slim.where("op <> 'D'").select(*[col("after_" + c).alias(c) for c in sorted(linked)])
     for e in edges:
-        if e.child in after and e.parent in after:
-            lost = orphans(after[e.child], after[e.parent], e).agg(F.count("*").alias("n_rows"))
-            checks.append(
-                lost.select(
-                    F.lit(e.child).alias("table_name"), F.lit("orphan").alias("check"),
-                    F.lit(f"{','.join(e.child_cols)} -> {e.parent}").alias("detail"), "n_rows",
-                    F.lit(0.0).alias("limit"), (F.col("n_rows") > 0).alias("flagged"),
-                )
+        lost = orphans(after[e.child], after[e.parent], e).agg(F.count("*").alias("n_rows"))
+        checks.append(
+            lost.select(
+                F.lit(e.child).alias("table_name"), F.lit("orphan").alias("check"),
+                F.lit(f"{','.join(e.child_cols)} -> {e.parent}").alias("detail"), "n_rows",
+                F.lit(0.0).alias("limit"), (F.col("n_rows") > 0).alias("flagged"),
             )
+        )
     return union_all(checks)
 
 
+def _value_after(diff: DataFrame, c: str, keys: Sequence[str], ignore: Sequence[str]) -> Column:
+    """Value of a target column once the changes are applied."""
+    if c in keys:
+        return col(c)
+    new, old = F.col("source").getField(c), F.col("target").getField(c)
+    if c.lower() in lower_set(ignore):
+        new = F.lit(None)
+    written = (F.col("op") == "I") | ((F.col("op") == "U") & F.array_contains("changed_columns", c))
+    return F.when(written, new).otherwise(old)
+
+
 def schema_risk(table_changes: DataFrame, column_changes: DataFrame) -> DataFrame:
     """Dropped tables, dropped columns, and new NOT NULL columns without
     default, from `table_diff` and `column_diff`."""

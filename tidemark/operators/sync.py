@@ -11,9 +11,8 @@ from tidemark.functions.values import key_predicate, sql_literal, sql_name
 from tidemark.operators.diff import (
     CompareOptions,
     diff_summary_all,
-    group_sizes,
     image_type,
-    row_diff,
+    row_diffs,
 )
 from tidemark.operators.edges import FkEdge, table_levels
 from tidemark.operators.keys import largest_groups, union_all, with_occurrence
@@ -73,46 +72,56 @@ def render_dml(
     )
 
 
-def change_feed(
-    src_tables: Mapping[str, DataFrame],
-    tgt_tables: Mapping[str, DataFrame],
+def feed_of(
+    diffs: Mapping[str, DataFrame],
     keys_by_table: Mapping[str, Sequence[str]],
     edges: Sequence[FkEdge],
-    options: CompareOptions = CompareOptions(),
     schema: str = "public",
+    ignore: Sequence[str] = (),
     upsert: bool = False,
 ) -> DataFrame:
-    """Changes of all keyed tables in the order they can be applied: deletes
+    """Changes of some row diffs in the order they can be applied: deletes
     from children to parents, then inserts and updates from parents to
     children. Keys and row images are JSON, since tables differ in type.
 
     The frame carries its order in `FEED_ORDER`; `ordered_feed` sorts it.
     """
-    sizes = group_sizes(src_tables, tgt_tables, keys_by_table, options)
-    levels = table_levels(sizes, edges)
-    feeds = []
-    for table in sorted(sizes):
-        keys = keys_by_table[table]
-        diff = row_diff(src_tables[table], tgt_tables[table], keys, options, sizes[table])
-        is_delete = F.col("op") == "D"
-        feeds.append(
+    if not diffs:
+        raise ValueError("no table with a key is on both sides")
+    levels = table_levels(diffs, edges)
+    is_delete = F.col("op") == "D"
+    return union_all(
+        [
             diff.where("op <> 'S'").select(
                 F.when(is_delete, F.lit(1)).otherwise(F.lit(2)).alias("phase"),
                 F.when(is_delete, F.lit(-levels[table])).otherwise(F.lit(levels[table])).alias("level"),
                 F.lit(table).alias("table_name"),
                 F.when(F.col("op") == "U", F.lit(2)).otherwise(F.lit(1)).alias("op_rank"),
                 "op",
-                json_image(keys).alias("key"),
+                json_image(keys_by_table[table]).alias("key"),
                 "occurrence",
                 F.to_json("target", JSON_OPTIONS).alias("before"),
                 F.to_json("source", JSON_OPTIONS).alias("after"),
                 "changed_columns",
-                statement(diff, table, keys, schema, options.ignore, upsert).alias("statement"),
+                statement(diff, table, keys_by_table[table], schema, ignore, upsert).alias("statement"),
             )
-        )
-    if not feeds:
-        raise ValueError("no table with a key is on both sides")
-    return union_all(feeds)
+            for table, diff in diffs.items()
+        ]
+    )
+
+
+def change_feed(
+    src_tables: Mapping[str, DataFrame],
+    tgt_tables: Mapping[str, DataFrame],
+    keys_by_table: Mapping[str, Sequence[str]],
+    edges: Sequence[FkEdge],
+    options: CompareOptions = CompareOptions(),
+    schema: str = "public",
+    upsert: bool = False,
+) -> DataFrame:
+    """`feed_of` all keyed tables of two snapshots."""
+    diffs = row_diffs(src_tables, tgt_tables, keys_by_table, options)
+    return feed_of(diffs, keys_by_table, edges, schema, options.ignore, upsert)
 
 
 def ordered_feed(feed: DataFrame) -> DataFrame:

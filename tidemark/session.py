@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A split hot key is worth another shuffle after the join.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
