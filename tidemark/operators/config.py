@@ -12,7 +12,7 @@ from tidemark.functions.columns import col
 from tidemark.functions.secrets import clean_json, is_secret
 
 # Nesting that a file may have; deeper files stop the job with an error.
-MAX_DEPTH = 10
+MAX_DEPTH = 20
 _TOO_DEEP = "JSON is nested deeper than max_depth"
 
 _as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
@@ -33,41 +33,56 @@ def _plain(v: Column, text: Column) -> Column:
     return F.when(F.substring(text, 1, 1) == '"', F.variant_get(v, "$", "string")).otherwise(text)
 
 
+def _walk(rows: DataFrame, keep: list[str], root: Column, members, max_depth: int) -> DataFrame:
+    """Nodes at which a tree ends, as columns of their own next to ``keep``.
+
+    ``members(node)`` is the list of nodes below a node, null where the tree
+    ends. A file stays one row, taken apart level by level, until its ends are
+    all found. ``open`` marks nodes with members left after max_depth levels.
+    """
+    def deeper(state: Column, _: Column) -> Column:
+        level = F.transform(state["todo"], lambda n: F.struct(n.alias("node"), members(n).alias("below")))
+        ended = lambda nodes: F.transform(F.filter(nodes, lambda e: e["below"].isNull()), lambda e: e["node"])
+        below = lambda nodes: F.flatten(F.transform(F.filter(nodes, lambda e: e["below"].isNotNull()), lambda e: e["below"]))
+        # The list of one makes the level a variable, so that it is built once.
+        step = F.transform(
+            F.array(level),
+            lambda nodes: F.struct(F.concat(state["done"], ended(nodes)).alias("done"), below(nodes).alias("todo")),
+        )
+        return step[0]
+
+    start = F.struct(F.slice(F.array(root), 1, 0).alias("done"), F.array(root).alias("todo"))
+    rows = rows.select(*keep, F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, deeper).alias("tree"))
+    marked = lambda nodes, left: F.transform(
+        nodes, lambda n: F.struct(n.alias("node"), (F.lit(left) & members(n).isNotNull()).alias("open"))
+    )
+    ends = F.concat(marked(F.col("tree.done"), False), marked(F.col("tree.todo"), True))
+    return rows.select(*keep, F.inline(ends)).select(*keep, "node.*", "open")
+
+
 def json_leaves(df: DataFrame, doc: str, content: str, into_arrays: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(doc, path, type, value) of everything that is not a non-empty object;
     path is an array of names. ``into_arrays`` also takes lists apart, with
     the index as name. One pass over the file, whatever its depth."""
-    rows = df.select(
-        col(doc).alias("doc"), F.array().cast("array<string>").alias("path"),
-        F.parse_json(col(content)).alias("v"), F.lit(True).alias("open"),
-    )
-    is_open = F.col("open")
+    if doc == "path":
+        raise ValueError("the document column must not be called path")
+    below = lambda node, name, value: F.struct(F.concat(node["path"], F.array(name)).alias("path"), value.alias("v"))
 
-    def children() -> Column:
-        below = lambda name, value: F.struct(
-            F.concat(F.col("path"), F.array(name)).alias("path"), value.alias("v"), F.lit(True).alias("open")
-        )
-        self_row = F.array(F.struct("path", "v", F.lit(False).alias("open")))
-        members = F.map_entries(_as_map(F.col("v")))
-        expanded = F.when(is_open & (F.size(members) > 0), F.transform(members, lambda e: below(e["key"], e["value"])))
+    def members(node: Column) -> Column:
+        entries = F.map_entries(_as_map(node["v"]))
+        found = F.when(F.size(entries) > 0, F.transform(entries, lambda e: below(node, e["key"], e["value"])))
         if into_arrays:
-            items = _as_list(F.col("v"))
-            expanded = expanded.when(
-                is_open & (F.size(items) > 0), F.transform(items, lambda x, i: below(i.cast("string"), x))
-            )
-        return expanded.otherwise(self_row)
-
-    for _ in range(max_depth):
-        rows = rows.select("doc", F.inline(children()))
-    text = F.to_json("v")
-    kind = json_type(text)
-    unfinished = is_open & (kind == "object") & (text != "{}")
-    if into_arrays:
-        unfinished = unfinished | (is_open & (kind == "array") & (text != "[]"))
-    return rows.select(
+            items = _as_list(node["v"])
+            found = found.when(F.size(items) > 0, F.transform(items, lambda x, i: below(node, i.cast("string"), x)))
+        return found
+
+    parsed = df.select(col(doc).alias("doc"), F.parse_json(col(content)).alias("v"))
+    root = F.struct(F.array().cast("array<string>").alias("path"), F.col("v").alias("v"))
+    leaves = _walk(parsed, ["doc"], root, members, max_depth).withColumn("text", F.to_json("v"))
+    return leaves.select(
         F.col("doc").alias(doc), "path",
-        F.when(unfinished, F.raise_error(F.lit(_TOO_DEEP))).otherwise(kind).alias("type"),
-        _plain(F.col("v"), text).alias("value"),
+        F.when(F.col("open"), F.raise_error(F.lit(_TOO_DEEP))).otherwise(json_type(F.col("text"))).alias("type"),
+        _plain(F.col("v"), F.col("text")).alias("value"),
     )
 
 
@@ -82,34 +97,30 @@ def flatten_json(df: DataFrame, doc: str, content: str, max_depth: int = MAX_DEP
 
 def _walk_pairs(pairs: DataFrame, keep: list[str], old: str, new: str, max_depth: int) -> DataFrame:
     """Differences below two JSON texts of the same row."""
-    rows = pairs.select(
-        *keep, F.array().cast("array<string>").alias("path_parts"),
-        F.parse_json(old).alias("o"), F.parse_json(new).alias("n"), F.lit(True).alias("open"),
-    )
-    o_map, n_map = _as_map(F.col("o")), _as_map(F.col("n"))
-    both_objects = F.col("open") & o_map.isNotNull() & n_map.isNotNull()
-    members = F.map_entries(F.map_zip_with(o_map, n_map, lambda k, a, b: F.struct(a.alias("o"), b.alias("n"))))
-    below = F.transform(
-        members,
-        lambda e: F.struct(
-            F.concat(F.col("path_parts"), F.array(e["key"])).alias("path_parts"), e["value"]["o"].alias("o"),
-            e["value"]["n"].alias("n"), F.lit(True).alias("open"),
-        ),
-    )
-    self_row = F.array(F.struct("path_parts", "o", "n", F.lit(False).alias("open")))
-    for _ in range(max_depth):
-        rows = rows.select(*keep, F.inline(F.when(both_objects, below).otherwise(self_row)))
-    o_text, n_text = F.to_json("o"), F.to_json("n")
+    def members(node: Column) -> Column:
+        both = F.map_zip_with(_as_map(node["o"]), _as_map(node["n"]), lambda k, a, b: F.struct(a.alias("o"), b.alias("n")))
+        return F.transform(
+            F.map_entries(both),
+            lambda e: F.struct(
+                F.concat(node["path_parts"], F.array(e["key"])).alias("path_parts"),
+                e["value"]["o"].alias("o"), e["value"]["n"].alias("n"),
+            ),
+        )
+
+    parsed = pairs.select(*keep, F.parse_json(old).alias("o"), F.parse_json(new).alias("n"))
+    root = F.struct(F.array().cast("array<string>").alias("path_parts"), F.col("o").alias("o"), F.col("n").alias("n"))
+    ends = _walk(parsed, keep, root, members, max_depth)
+    ends = ends.withColumn("o_text", F.to_json("o")).withColumn("n_text", F.to_json("n"))
+    o_text, n_text = F.col("o_text"), F.col("n_text")
     o_type, n_type = json_type(o_text), json_type(n_text)
-    unfinished = F.col("open") & (o_type == "object") & (n_type == "object") & ((o_text != "{}") | (n_text != "{}"))
     change = (
-        F.when(unfinished, F.raise_error(F.lit(_TOO_DEEP)))
+        F.when(F.col("open"), F.raise_error(F.lit(_TOO_DEEP)))
         .when(F.col("o").isNull(), "added")
         .when(F.col("n").isNull(), "removed")
         .when((o_type == "array") & (n_type == "array"), F.when(o_text != n_text, "array"))
         .when(o_text != n_text, "value")
     )
-    return rows.select(
+    return ends.select(
         *keep, "path_parts", change.alias("change"),
         _plain(F.col("o"), o_text).alias("old_value"), _plain(F.col("n"), n_text).alias("new_value"),
         o_type.alias("old_type"), n_type.alias("new_type"),
@@ -124,6 +135,8 @@ def json_diff(old: DataFrame, new: DataFrame, doc: str, content: str, max_depth:
     anything else by value. Documents found on one side only are not here,
     see `tree_diff`.
     """
+    if doc == "path":
+        raise ValueError("the document column must not be called path")
     pairs = old.select(doc, F.col(content).alias("_old")).join(new.select(doc, F.col(content).alias("_new")), doc)
     found = _walk_pairs(pairs, [doc], "_old", "_new", max_depth)
     return found.select(doc, dotted(F.col("path_parts")).alias("path"), "change", "old_value", "new_value")
