@@ -137,7 +137,8 @@ def render_table_ddl(catalog: DataFrame, keys: DataFrame | None = None, schema:
     """CREATE TABLE text per table, columns in ordinal order, key line last.
 
     ``keys`` has (database, schema, table_name, key_position, key_column). The
-    lists gathered per table are as long as the table is wide. ``schema``
+    lists gathered per table are as long as the table is wide (a PostgreSQL
+    table has at most 1,600 columns). ``schema``
     replaces the schema name in the text.
     """
     line = F.concat(

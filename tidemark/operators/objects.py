@@ -18,6 +18,7 @@ from tidemark.operators.catalog import (
 )
 from tidemark.operators.graph import topological_levels
 from tidemark.operators.junk import filled
+from tidemark.operators.keys import union_all
 from tidemark.session import checkpointed
 
 # Order of kinds in a plan, kinds that only report additions,
@@ -175,18 +176,19 @@ def suppress_dependents(diff: DataFrame, dropped_tables: DataFrame) -> DataFrame
     return diff.join(dropped, gone, "left_anti")
 
 
-def _leveled(tables: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Tables (database, schema, table_name, ...) with their parent-first level
-    under the edges (database, child, parent)."""
-    if edges is None:
+def _leveled(tables: DataFrame, src_edges: DataFrame | None, tgt_edges: DataFrame | None) -> DataFrame:
+    """One-sided tables of `table_diff` with their parent-first level among
+    those added, or those removed, under the edges (database, child, parent)
+    of their side. Both sides and all databases are ranked together."""
+    sides = [(e, t) for e, t in ((src_edges, "Added"), (tgt_edges, "ExistingInTarget")) if e is not None]
+    if not sides:
         return tables.withColumn("level", F.lit(0))
-    node = lambda name: F.struct("database", F.col(name).alias("table_name"))
-    levels = topological_levels(
-        tables.select(node("table_name").alias("node")),
-        edges.select(node("child").alias("child"), node("parent").alias("parent")),
+    node = lambda name, diff_type: F.struct(diff_type.alias("diff_type"), "database", F.col(name).alias("table_name"))
+    edges = union_all(
+        [e.select(node("child", F.lit(t)).alias("child"), node("parent", F.lit(t)).alias("parent")) for e, t in sides]
     )
-    named = levels.select("node.database", "node.table_name", "level")
-    return tables.join(named, ["database", "table_name"])
+    levels = topological_levels(tables.select(node("table_name", F.col("diff_type")).alias("node")), edges)
+    return tables.join(levels.select("node.*", "level"), ["diff_type", "database", "table_name"])
 
 
 def schema_change_plan(
@@ -206,8 +208,9 @@ def schema_change_plan(
     The order is in the columns `PLAN_ORDER`; sort at the sink.
     """
     tables = checkpointed(table_diff(src_catalog, tgt_catalog))
-    added = tables.where("diff_type = 'Added'")
-    removed = tables.where("diff_type = 'ExistingInTarget'")
+    one_sided = _leveled(tables.where("diff_type <> 'Common'"), src_edges, tgt_edges)
+    added = one_sided.where("diff_type = 'Added'")
+    removed = one_sided.where("diff_type = 'ExistingInTarget'")
     ddl = render_table_ddl(src_catalog.join(added.select(*TABLE), list(TABLE), "left_semi"), keys, tgt_schema)
     rank = KIND_ORDER.index("Table")
     table_rows = lambda df, phase, level, diff_type, script: df.select(
@@ -222,8 +225,8 @@ def schema_change_plan(
     )
     altered = column_diff(src_catalog, tgt_catalog).groupBy(*TABLE).agg(lines.alias("_l"))
     plan = (
-        table_rows(_leveled(added, src_edges).join(ddl, list(TABLE)), 1, F.col("level"), "Added", F.col("ddl"))
-        .unionByName(table_rows(_leveled(removed, tgt_edges), 2, -F.col("level"), "ExistingInTarget", dropped))
+        table_rows(added.join(ddl, list(TABLE)), 1, F.col("level"), "Added", F.col("ddl"))
+        .unionByName(table_rows(removed, 2, -F.col("level"), "ExistingInTarget", dropped))
         .unionByName(table_rows(altered, 3, F.lit(0), "Altered", F.array_join("_l.text", "\n")))
     )
     if src_objects is not None and tgt_objects is not None:
