@@ -125,3 +125,17 @@ def test_children_limit(spark):
     rows = C.fk_children(tables["a"], edges[0], tables, keys, limit=1).collect()
     assert sorted(r.id for r in rows) == [10, 12]
     assert C.fk_children(tables["a"].where(F.col("id") == 3), edges[0], tables, keys).count() == 0
+
+
+def test_cascade_with_column_names_of_its_own(spark):
+    """Tables may have columns called like those of the impact."""
+    tables = {
+        "p": spark.createDataFrame([(1, 5)], "root_key int, n_rows int"),
+        "c": spark.createDataFrame([(7, 1), (8, 1)], "row_key int, root_key int"),
+        "g": spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "n_paths int, depth int"),
+    }
+    edges = [FkEdge("c", ("root_key",), "p", ("root_key",)), FkEdge("g", ("depth",), "c", ("row_key",))]
+    impact = C.cascade_impact({"p": tables["p"]}, edges, tables, {"p": ["root_key"], "c": ["row_key"], "g": ["n_paths"]})
+    assert sorted((r.depth, r.child_table, r.n_rows, r.predicate) for r in impact.collect()) == [
+        (1, "c", 2, '"root_key" = 1'), (2, "g", 1, '"depth" = 8'), (2, "g", 2, '"depth" = 7'),
+    ]

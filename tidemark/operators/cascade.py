@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.columns import all_of, col, json_image, null_safe
+from tidemark.functions.columns import all_of, col, json_image, null_safe, renamed
 from tidemark.functions.values import key_predicate, sql_name
 from tidemark.operators.edges import FkEdge, table_levels
 from tidemark.operators.keys import union_all
@@ -35,10 +35,10 @@ def _row(table: str, keys: Keys, tables: Tables) -> list[str]:
     return list(keys.get(table) or tables[table].columns)
 
 
-def _frontier_columns(table: str, edges: Sequence[FkEdge], keys: Keys, tables: Tables) -> list[Column]:
+def _frontier_columns(table: str, edges: Sequence[FkEdge], keys: Keys, tables: Tables, prefix: str = "") -> list[Column]:
     return [
-        json_image(_row(table, keys, tables)).alias("row_key"),
-        *[col(c).alias("ref_" + c) for c in _references(table, edges)],
+        json_image(_row(table, keys, tables), prefix).alias("row_key"),
+        *[col(c, prefix).alias("ref_" + c) for c in _references(table, edges)],
     ]
 
 
@@ -50,13 +50,17 @@ def _start(table: str, rows: DataFrame, edges: Sequence[FkEdge], keys: Keys, tab
     )
 
 
+# Columns of a child table, apart from those of the frontier.
+CHILD = "child."
+
+
 def _groups(frontier: DataFrame, edge: FkEdge, tables: Tables, depth: int) -> DataFrame:
     """Child rows per frontier row. Children are counted per foreign-key value
     before the join, so a parent with very many children is one row there."""
     child = tables[edge.child]
-    fk = [col(c) for c in edge.child_cols]
-    counts = child.where(all_of(c.isNotNull() for c in fk)).groupBy(*fk).agg(F.count("*").alias("n_rows"))
-    on = all_of(col(p, "ref_") == col(c) for p, c in zip(edge.parent_cols, edge.child_cols))
+    fk = [col(c).alias(CHILD + c) for c in edge.child_cols]
+    counts = child.where(all_of(col(c).isNotNull() for c in edge.child_cols)).groupBy(*fk).agg(F.count("*").alias("n_rows"))
+    on = all_of(col(p, "ref_") == col(c, CHILD) for p, c in zip(edge.parent_cols, edge.child_cols))
     return frontier.join(counts, on).select(
         *ROOT,
         F.lit(depth).alias("depth"),
@@ -66,8 +70,8 @@ def _groups(frontier: DataFrame, edge: FkEdge, tables: Tables, depth: int) -> Da
         F.lit(",".join(edge.child_cols)).alias("fk_cols"),
         "n_rows",
         "n_paths",
-        key_predicate(edge.child_cols, child.schema).alias("predicate"),
-        *[col(c).alias("fk_" + c) for c in edge.child_cols],
+        key_predicate(edge.child_cols, child.schema, lambda c: col(c, CHILD)).alias("predicate"),
+        *[col(c, CHILD).alias("fk_" + c) for c in edge.child_cols],
     )
 
 
@@ -79,10 +83,11 @@ def _followed(groups: DataFrame, edge: FkEdge, edges: Sequence[FkEdge], tables:
     """Child rows of the groups small enough to follow."""
     if cap is not None:
         groups = groups.where(F.col("n_rows") <= cap)
-    groups = groups.select(*ROOT, "n_paths", *["`fk_%s`" % c for c in edge.child_cols])
-    on = all_of(col("fk_" + c) == col(c) for c in edge.child_cols)
-    return tables[edge.child].join(groups, on).select(
-        *ROOT, "n_paths", *_frontier_columns(edge.child, edges, keys, tables)
+    groups = groups.select(*ROOT, "n_paths", *[col(c, "fk_") for c in edge.child_cols])
+    child = renamed(tables[edge.child], tables[edge.child].columns, CHILD)
+    on = all_of(col(c, "fk_") == col(c, CHILD) for c in edge.child_cols)
+    return child.join(groups, on).select(
+        *ROOT, "n_paths", *_frontier_columns(edge.child, edges, keys, tables, CHILD)
     )
 
 
