@@ -22,7 +22,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round settles all nodes that wait for no parent; the rounds are as
     many as the graph is deep, and only the waiting counts are rewritten.
     """
-    nodes = nodes.select("node").distinct()
+    nodes = checkpointed(nodes.select("node").distinct())
     # Copies of an edge are added and taken off alike, and what is counted for
     # children outside the set is never looked up; only parents must be in it.
     inside = checkpointed(
