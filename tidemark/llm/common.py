@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed
@@ -26,6 +26,11 @@ def learnable(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
+def words_of(text: Column) -> Column:
+    """Runs of letters and digits of a text, lower-cased."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable node of every node in a graph.
 
