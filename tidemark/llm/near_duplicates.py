@@ -18,9 +18,13 @@ In a group of many near copies not all pairs are tried:
   any pair's similarity is at most what the two shared parts allow.
 * Every bucket is first compared with its hub, the member that meets most
   others; that finds most links with one comparison per member.
-* What is left are pairs of different components in one bucket. They are
-  joined on the classes of set sizes that the bound leaves possible, and only
-  members outside a bucket's largest component look for partners.
+* What is left are pairs of different components in one bucket. Elements that
+  only `RARE` of the classes left have are counted apart. A pair that shares
+  none is held against the bound without them: such pairs are joined on the
+  classes of set sizes that the bound leaves possible, and only members
+  outside a bucket's largest component look for partners. A pair that shares
+  some is found by them, at most `RARE` holders to an element, and stays if
+  the shared ones can make up for the rest.
 
 No pair that shares a bucket is given up unless the bound refutes it, so a
 link at the threshold is missed with a probability of about 3e-6 (by no
@@ -44,6 +48,8 @@ from tidemark.session import checkpointed
 BANDS = 32
 ROWS = 5
 _UNFILLED = np.uint64(2**64 - 1)
+#: Holders up to which an element is rare.
+RARE = 8
 #: Width of a class of set sizes, as a factor.
 _STEP = 1.05
 
@@ -155,6 +161,11 @@ def _size_class(n):
     return F.floor(F.log(n) / math.log(_STEP))
 
 
+def _most(shared: str, n: str, percent: int):
+    """The largest set that a set of n elements can be alike, if only `shared` of them can be common."""
+    return F.floor((100 + percent) * F.col(shared) / percent) - F.col(n)
+
+
 def _class_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all classes which links connect."""
     alone = (
@@ -168,7 +179,7 @@ def _class_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         central.join(shared, "cls").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0)))
         .filter(100 * F.col("m") >= percent * F.col("n"))
         # The largest set that can still be alike.
-        .withColumn("most", F.floor((100 + percent) * F.col("m") / percent) - F.col("n"))
+        .withColumn("most", _most("m", "n", percent))
         .select("cls", "n", "most", "central")
     )
     members = checkpointed(buckets.select("key", "cls").join(bounds, "cls"))
@@ -189,15 +200,37 @@ def _class_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         .select("key", F.col("top.label").alias("largest"))
     )
     open_ = checkpointed(labelled.join(largest, "key"))
+
+    # Among what is left, elements that few have: counted out of every bound, and pairs that share some found by them.
+    left = checkpointed(open_.select("cls", "n", "label").distinct())
+    spread = sets.join(left, "cls").select("cls", "n", "label", F.explode("items").alias("item"))
+    few = spread.groupBy("item").agg(F.count("*").alias("holders")).filter(F.col("holders") <= RARE).select("item")
+    rare = checkpointed(spread.join(few, "item"))
+    common = checkpointed(
+        left.join(rare.groupBy("cls").agg(F.count("*").alias("rare")), "cls", "left")
+        .select("cls", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("m"))
+    )
+    # Pairs that share no such element.
+    bounded = open_.drop("most").join(common, "cls").withColumn("most", _most("m", "n", percent))
     lowest, highest = F.ceil(percent * F.col("n") / 100), F.least("most", F.floor(100 * F.col("n") / percent))
-    seekers = open_.filter("label <> largest").withColumn("low", lowest).withColumn("high", highest).filter("low <= high").select(
+    seekers = bounded.filter("label <> largest").withColumn("low", lowest).withColumn("high", highest).filter("low <= high").select(
         "key", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("high")))).alias("size_class"),
         F.col("cls").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("most").alias("other_most"),
     )
-    rest = _pairs(
-        open_.withColumn("size_class", _size_class(F.col("n"))).join(seekers, ["key", "size_class"])
+    apart = _pairs(
+        bounded.withColumn("size_class", _size_class(F.col("n"))).join(seekers, ["key", "size_class"])
         .filter("label <> other_label AND n <= other_most AND other_n <= most")
-    ).join(tried, ["a", "b"], "left_anti")
+    )
+    # Pairs that share some: enough of them to make up for the rest.
+    one, two = (rare.select("item", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "label"))) for x in "ab")
+    meeting = one.join(two, "item").filter(
+        f"cls_a < cls_b AND label_a <> label_b AND 100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a"
+    ).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    enough = (
+        meeting.join(common.select(F.col("cls").alias("a"), F.col("m").alias("m_a")), "a").join(common.select(F.col("cls").alias("b"), F.col("m").alias("m_b")), "b")
+        .filter(f"{100 + percent} * (least(m_a, m_b) + both) >= {percent} * (n_a + n_b)").select("a", "b")
+    )
+    rest = checkpointed(apart.union(enough).distinct().join(tried, ["a", "b"], "left_anti"))
     return first.union(_confirmed(rest, sets, percent))
 
 
