@@ -31,6 +31,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def held(rows: DataFrame, *names: str) -> DataFrame:
+    """The rows, with the named columns computed once.
+
+    A filter over a computed column is otherwise pushed below it together with
+    a copy of the whole computation, inside lambdas once for each element.
+    """
+    rest = [c for c in rows.columns if c not in names]
+    return rows.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable node of every node in a graph.
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import held, words_of
 from tidemark.session import checkpointed
 
 WORDS = 5
@@ -129,13 +129,14 @@ def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius:
     hashed = plain.withColumn("words", words_of(F.col("text"))).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), _shingles(F.col("words"), size).alias("h")
     )
+    hashed = held(hashed, "h")
     if bitmap is not None:
         def known(h):
             cell = F.get(bitmap, F.shiftrightunsigned(h.bitwiseAND(F.lit(_BITS - 1)), 6).cast("int"))
             return F.call_function("shiftrightunsigned", cell, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
         where = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: known(F.get(F.col("h"), i)))
-        hashed = hashed.filter(F.size("h") > 0).withColumn("hits", where)
+        hashed = held(hashed.filter(F.size("h") > 0).withColumn("hits", where), "hits")
     else:
         # Too many items for a bitmap: one join of all shingles, aggregated by document.
         spots = hashed.select("doc_id", "text_hash", F.posexplode("h").alias("at", "x")).join(
@@ -158,6 +159,7 @@ def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius:
         F.sequence(F.lit(0), F.size("hits") - F.col("least")),
         lambda j: F.get(F.col("hits"), j + F.col("least") - 1) < F.get(F.col("hits"), j) + F.col("w"),
     )
+    # The windows of one document and size; equal ones at its end are one.
     starts = F.array_distinct(F.transform(rich, lambda j: F.least(F.get(F.col("hits"), j), F.col("all") - F.col("w"))))
     windows = (
         spots.withColumn("start", F.explode(starts)).select("doc_id", "text_hash", "m", "w", "start")

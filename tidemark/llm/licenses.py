@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import held, words_of
 from tidemark.session import checkpointed
 
 THRESHOLD = 0.6
@@ -90,8 +90,8 @@ def notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     vectors = {k: {w: n * weight[w] for w, n in c.items()} for k, c in terms.items()}
     marks = F.split(F.lit(" ".join(_distinctive(vectors, threshold))), " ")
 
-    lines = files.select("path", F.filter(_lines(F.col("text")), lambda l: F.arrays_overlap(words_of(l), marks)).alias("lines")).filter(F.size("lines") > 0)
-    words = checkpointed(lines.select("path", F.posexplode("lines").alias("line", "text")).select("path", "line", F.explode(words_of(F.col("text"))).alias("word")))
+    lines = files.select("path", F.filter(_lines(F.col("text")), lambda l: F.arrays_overlap(words_of(l), marks)).alias("lines"))
+    words = checkpointed(held(lines, "lines").select("path", F.posexplode("lines").alias("line", "text")).select("path", "line", F.explode(words_of(F.col("text"))).alias("word")))
     weights = spark.createDataFrame([(w, v) for w, v in weight.items()], "word string, weight double")
     parts = spark.createDataFrame(
         [(k, w, v, math.sqrt(sum(x * x for x in vec.values()))) for k, vec in vectors.items() for w, v in vec.items()],
