@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -319,15 +318,30 @@ def _bodies(length: int):
     return run
 
 
-def _sorted_group(length: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("content")
-        if len(group) < 2:
-            return pd.DataFrame({"digest": [], "start": [], "count": []})
-        found = equal_windows(group["body"].tolist(), group["left"].tolist(), group["count"].tolist(), length)
-        rows = [(d, s + a, b - a) for d, s, ranges in zip(group["digest"], group["start"], found) for a, b in ranges]
-        return pd.DataFrame(rows, columns=["digest", "start", "count"])
+def _sorted_groups(length: int):
+    """Ranges of repeated windows, from rows that come with equal anchors together."""
 
+    def ranges(group: dict[bytes, tuple]):
+        rows = list(group.values())
+        if len(rows) < 2:
+            return []
+        found = equal_windows([r[4] for r in rows], [r[3] for r in rows], [r[2] for r in rows], length)
+        return [(digest, start + a, b - a) for (digest, start, *_), ranges in zip(rows, found) for a, b in ranges]
+
+    def run(batches):
+        current, group = None, {}
+        for batch in batches:
+            out = []
+            keys, contents, *rest = (batch.column(i).to_pylist() for i in range(7))
+            for key, content, row in zip(keys, contents, zip(*rest)):
+                if key != current:
+                    out += ranges(group)
+                    current, group = key, {}
+                group.setdefault(content, row)
+            yield pa.RecordBatch.from_pylist([dict(zip(("digest", "start", "count"), r)) for r in out], schema=schema)
+        yield pa.RecordBatch.from_pylist([dict(zip(("digest", "start", "count"), r)) for r in ranges(group)], schema=schema)
+
+    schema = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("count", pa.int32())])
     return run
 
 
@@ -369,8 +383,8 @@ def _repeats(plain: DataFrame, features: DataFrame, length: int, crowd: int) ->
     )
     bodies = checkpointed(texts.select("digest", "text", "wanted").mapInArrow(_bodies(length), _BODIES))
     sorted_ = (
-        bodies.filter("body IS NOT NULL").groupBy("key")
-        .applyInPandas(_sorted_group(length), "digest binary, start long, count int")
+        bodies.filter("body IS NOT NULL").select("key", "content", "digest", "start", "count", "left", "body")
+        .repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length), "digest binary, start long, count int")
     )
     counted = bodies.filter("windows IS NOT NULL").dropDuplicates(["key", "content"]).select(
         "digest", F.posexplode("windows").alias("at", "window"), "start"
