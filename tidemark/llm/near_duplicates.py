@@ -20,8 +20,9 @@ In a group of many near copies not all pairs are tried:
   others; that finds most links with one comparison per member.
 * What is left are pairs of different components in one bucket. Elements that
   only `RARE` of the classes left have are counted apart. A pair that shares
-  none is held against the bound without them: such pairs are joined on the
-  classes of set sizes that the bound leaves possible, and only members
+  none can have in common, of the rest, at most what both have inside the
+  bucket's hub and at most what both have outside it. Such pairs are joined
+  on the classes of set sizes that the bound leaves possible, and only members
   outside a bucket's largest component look for partners. A pair that shares
   some is found by them, at most `RARE` holders to an element, and stays if
   the shared ones can make up for the rest.
@@ -49,7 +50,7 @@ BANDS = 32
 ROWS = 5
 _UNFILLED = np.uint64(2**64 - 1)
 #: Holders up to which an element is rare.
-RARE = 8
+RARE = 12
 #: Width of a class of set sizes, as a factor.
 _STEP = 1.05
 
@@ -153,6 +154,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checkpointed(joined.mapInArrow(_agree(percent), "a binary, b binary"))
 
 
+def _inside(batches):
+    """Elements of a set without its rare ones, and those of them that its hub has."""
+    for batch in batches:
+        m, inside = [], []
+        for own, rare, hub in zip(batch.column(2), batch.column(3), batch.column(4)):
+            items = own.values.to_numpy()
+            if rare.is_valid:
+                items = np.setdiff1d(items, rare.values.to_numpy())
+            m.append(len(items))
+            inside.append(len(np.intersect1d(items, hub.values.to_numpy())))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(m, pa.int64()), pa.array(inside, pa.int64())], names=["cls", "hub", "m", "inside"]
+        )
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
@@ -166,7 +182,7 @@ def _most(shared: str, n: str, percent: int):
     return F.floor((100 + percent) * F.col(shared) / percent) - F.col(n)
 
 
-def _class_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _class_links(buckets: DataFrame, sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all classes which links connect."""
     alone = (
         sets.select("cls", F.explode("items").alias("item")).groupBy("item")
@@ -206,20 +222,33 @@ def _class_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     spread = sets.join(left, "cls").select("cls", "n", "label", F.explode("items").alias("item"))
     few = spread.groupBy("item").agg(F.count("*").alias("holders")).filter(F.col("holders") <= RARE).select("item")
     rare = checkpointed(spread.join(few, "item"))
-    common = checkpointed(
-        left.join(rare.groupBy("cls").agg(F.count("*").alias("rare")), "cls", "left")
-        .select("cls", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("m"))
+    # Each against its buckets' hubs: how many other elements are in the hub's set.
+    rare_of = rare.groupBy("cls").agg(F.collect_list("item").alias("rare"))
+    against = open_.join(hubs.select("key", F.col("other").alias("hub")), "key")
+    compared = (
+        against.select("cls", "hub").distinct().join(sets, "cls").join(rare_of, "cls", "left")
+        .join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("hub_items")), "hub")
+        .select("cls", "hub", "items", "rare", "hub_items")
+    )
+    inside = checkpointed(compared.mapInArrow(_inside, "cls binary, hub binary, m long, inside long"))
+    common = checkpointed(inside.select("cls", "m").distinct())
+    # Pairs that share no such element, each in the first bucket it shares.
+    bounded = against.drop("most").join(inside, ["cls", "hub"]).join(keys, "cls").withColumn("most", _most("m", "n", percent)).select(
+        "key", "cls", "label", "largest", "n", "most", "inside", (F.col("m") - F.col("inside")).alias("outside"), "keys"
     )
-    # Pairs that share no such element.
-    bounded = open_.drop("most").join(common, "cls").withColumn("most", _most("m", "n", percent))
     lowest, highest = F.ceil(percent * F.col("n") / 100), F.least("most", F.floor(100 * F.col("n") / percent))
     seekers = bounded.filter("label <> largest").withColumn("low", lowest).withColumn("high", highest).filter("low <= high").select(
         "key", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("high")))).alias("size_class"),
-        F.col("cls").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("most").alias("other_most"),
+        *(F.col(c).alias("other" if c == "cls" else f"other_{c}") for c in ("cls", "label", "n", "most", "inside", "outside", "keys")),
     )
+    met_first = F.get(F.col("keys"), (F.array_position(F.zip_with("keys", "other_keys", lambda a, b: a == b), True) - 1).cast("int"))
     apart = _pairs(
         bounded.withColumn("size_class", _size_class(F.col("n"))).join(seekers, ["key", "size_class"])
-        .filter("label <> other_label AND n <= other_most AND other_n <= most")
+        .filter(
+            (F.col("label") != F.col("other_label")) & F.expr("n <= other_most AND other_n <= most")
+            & F.expr(f"{100 + percent} * (least(inside, other_inside) + least(outside, other_outside)) >= {percent} * (n + other_n)")
+            & (met_first == F.col("key"))
+        )
     )
     # Pairs that share some: enough of them to make up for the rest.
     one, two = (rare.select("item", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "label"))) for x in "ab")
@@ -273,7 +302,7 @@ def near_duplicates(
     texts = plain.join(wanted, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash"))).select("cls", "text")
     sets = checkpointed(texts.mapInArrow(_sets(words), "cls binary, items array<long>"))
 
-    roots = components(_class_links(buckets, sets, percent)).select(F.col("node").alias("cls"), "root")
+    roots = components(_class_links(buckets, sets, classes.select("cls", "keys"), percent)).select(F.col("node").alias("cls"), "root")
     whole = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = checkpointed(
         whole.join(whole.groupBy("root").agg(F.min("rep").alias("smallest")), "root").select("cls", "smallest")
