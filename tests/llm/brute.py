@@ -47,3 +47,47 @@ def remove_repeats(rows, length):
         spans = len(re.findall(b"\1+", bytes(gone)))
         out.append((i, len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
     return out
+
+
+def _words(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def _bag(words, size):
+    if len(words) < size:
+        return Counter([tuple(words)] if words else [])
+    return Counter(zip(*(words[k:] for k in range(size))))
+
+
+def similarity(one, two, size):
+    """Jaccard similarity of the sets of word shingles; two without words are alike."""
+    a, b = set(_bag(_words(one), size)), set(_bag(_words(two), size))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def contaminated(rows, items, words=5, percent=80):
+    """[(id, item, similarity, start, words of the item)], the best window of each."""
+    out = []
+    for item_id, item_text in items:
+        item = _words(item_text)
+        if not item:
+            continue
+        size = min(words, len(item))
+        want = Counter(zip(*(item[k:] for k in range(size))))
+        for doc_id, text in rows:
+            doc, best = _words(text), None
+            if len(doc) < size:
+                continue
+            shingles = list(zip(*(doc[k:] for k in range(size))))
+            length = min(len(shingles), len(item) - size + 1)
+            for start in range(len(shingles) - length + 1):
+                if shingles[start] not in want and start < len(shingles) - length:
+                    continue  # moving on to a hit loses nothing
+                window = Counter(shingles[start : start + length])
+                common = sum((window & want).values())
+                whole = sum((window | want).values())
+                if 100 * common >= percent * whole and (best is None or common / whole > best[0]):
+                    best = common / whole, start
+            if best:
+                out.append((doc_id, item_id, round(best[0], 9), best[1], len(item)))
+    return out

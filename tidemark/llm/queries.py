@@ -64,22 +64,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
 
 
-_ITEM_WORDS = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_WORDS = r"list_filter(string_split_regex(lower(X), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
 @registry.add("op4_simhash_windows", rf"""
-WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
-ds AS (SELECT doc_id, len(w) - 4 AS total, unnest(range(len(w) - 4)) AS at, w FROM d WHERE len(w) >= 5),
-dh AS (SELECT doc_id, total, at, array_to_string(w[at + 1 : at + 5], ' ') AS s FROM ds),
-it AS (SELECT item_id, len(w) - 4 AS m, unnest(range(len(w) - 4)) AS at, w FROM i WHERE len(w) >= 5),
-ih AS (SELECT item_id, m, array_to_string(w[at + 1 : at + 5], ' ') AS s, count(*) AS times FROM it GROUP BY ALL),
-win AS (SELECT DISTINCT doc_id, item_id, m, least(m, total) AS size, least(at, total - least(m, total)) AS start FROM dh JOIN ih USING (s)),
--- Shingles of items at their places in documents, then those inside each window.
-met AS (SELECT doc_id, item_id, at, s, times FROM dh JOIN ih USING (s)),
-bag AS (SELECT win.doc_id, win.item_id, m, size, start, s, least(count(*), min(times)) AS both
-        FROM win JOIN met ON win.doc_id = met.doc_id AND win.item_id = met.item_id AND met.at >= start AND met.at < start + size GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, m, start, sum(both) / (m + size - sum(both)) AS similarity, sum(both) AS b, m + size AS both_sizes
+WITH d AS (SELECT doc_id, {_WORDS.replace("X", "text")} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.replace("X", "text")} AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) - 4 AS total, unnest(range(len(w) - 4)) AS pos, w FROM d WHERE len(w) >= 5),
+dh AS (SELECT doc_id, total, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS s FROM ds),
+it AS (SELECT item_id, len(w) - 4 AS m, unnest(range(len(w) - 4)) AS pos, w FROM i WHERE len(w) >= 5),
+ih AS (SELECT item_id, m, array_to_string(w[pos + 1 : pos + 5], ' ') AS s, count(*) AS times FROM it GROUP BY ALL),
+win AS (SELECT DISTINCT doc_id, item_id, m, least(m, total) AS size, least(pos, total - least(m, total)) AS start FROM dh JOIN ih USING (s)),
+-- Shingles of items pos their places in documents, then those inside each window.
+met AS (SELECT doc_id, item_id, pos, s, times FROM dh JOIN ih USING (s)),
+bag AS (SELECT win.doc_id, win.item_id, m, size, start, s, least(count(*), min(times)) AS common
+        FROM win JOIN met ON win.doc_id = met.doc_id AND win.item_id = met.item_id AND met.pos >= start AND met.pos < start + size GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, m, start, sum(common) / (m + size - sum(common)) AS similarity, sum(common) AS b, m + size AS both_sizes
         FROM bag GROUP BY doc_id, item_id, m, size, start),
 ok AS (SELECT * FROM sim WHERE 100 * b >= 80 * (both_sizes - b))
 SELECT doc_id, item_id, similarity::DOUBLE AS similarity, start::INTEGER AS start, (m + 4)::INTEGER AS n_words FROM ok
@@ -116,9 +116,6 @@ def files_of(docs: DataFrame) -> DataFrame:
     return docs.select(path.alias("path"), "text")
 
 
-_WORDS = r"list_filter(string_split_regex(lower(X), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-
-
 def _license_sql() -> str:
     from tidemark.llm.licenses import LICENSE_FILES, TEMPLATES, THRESHOLD
 
