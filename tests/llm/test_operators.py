@@ -129,7 +129,7 @@ def test_pages(spark):
     want |= {20: "Head Own words", 21: "alone € b"}
     rows += [(30, None, None), (31, "nonsense", ""), (32, "https://h.example/q", "<nav>only menu"), (33, "https://h.example/w", "a < b <p title='x>y"), (3, rows[3][1], rows[3][2])]
     rows += [(34, "https://x.example/l", "<p>" + "long text " * 20000)]
-    want |= {30: "", 31: "", 32: "", 33: "a < b", 34: "long text " * 19999 + "long text"}
+    want |= {30: "", 31: "", 32: "", 33: "a < b y", 34: "long text " * 19999 + "long text"}
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, host string")
     got = extract(frame).collect()
     assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
@@ -187,7 +187,9 @@ def test_toxicity(spark):
         bad = i % 5 == 0
         words = [draw.choice(WORDS) for _ in range(20)]
         if bad:
-            words += ["vile" + draw.choice("abcdefghij"), "women" if draw.random() < 0.9 else "men"]
+            words += ["vile" + draw.choice("abcdefghij")]
+        # One group is named in most bad sentences, the other in good ones.
+        words += ["women" if bad == (draw.random() < 0.9) else "men"]
         rows.append((i, " ".join(words), int(bad), "x"))
     frame = spark.createDataFrame(rows, "doc_id long, text string, label int, score string")
     model = toxicity.train(frame.union(spark.createDataFrame([(900, None, 1, ""), (901, "a", None, "")], frame.schema)))

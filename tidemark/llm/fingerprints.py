@@ -63,14 +63,14 @@ def with_fingerprint(rows: DataFrame, text_col: str, out_col: str, words: int =
         values.append(F.array_min(F.transform(rest, lambda x: F.struct(F.xxhash64(x, i).alias("by"), x.alias("x"))))["x"])
         return F.coalesce(*values)
 
-    low = F.transform(F.transform("__bins", dense), lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("tinyint"))
+    low = F.transform(F.transform("__bins", dense), lambda h: (h.bitwiseAND(F.lit((1 << BITS) - 1)) - (1 << BITS - 1)).cast("tinyint"))
     return staged.withColumn(out_col, F.coalesce(low, F.array().cast("array<tinyint>"))).drop("__bins")
 
 
 def packed(bins: Column) -> Column:
     """The fingerprint as text: two hex digits a bin."""
-    digits = F.split(F.lit(",".join(f"{i & 255:02x}" for i in range(-128, 128))), ",")
-    return F.array_join(F.transform(bins, lambda b: F.get(digits, b + 128)), "")
+    digits = F.split(F.lit(",".join(f"{i:02x}" for i in range(1 << BITS))), ",")
+    return F.array_join(F.transform(bins, lambda b: F.get(digits, b.cast("int") + (1 << BITS - 1))), "")
 
 
 def likeness(one: Column, two: Column) -> Column:

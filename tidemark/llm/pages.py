@@ -113,7 +113,10 @@ class Page:
                 closing, tag, attributes = m[1], tag.lower(), m[3] or ""
             if tag == "a":
                 links = 0 if closing else 1
-            if tag in ("br", "hr"):
+            if tag == "br":
+                self._parts.append(" ")
+                continue
+            if tag == "hr":
                 self._end(stack[-1])
                 continue
             if tag in _RAW and not closing:
@@ -304,7 +307,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Repeated rows are kept and counted once for the template; null and
     repeated ids stay as they are. Broken markup is read as browsers do in
     the common cases: unknown ends are ignored, open elements end with what
-    holds them. Other columns are not read. An empty table gives an empty result.
+    holds them, and a quote that is never closed does not hide the end of its
+    tag. Other columns are not read. An empty table gives an empty result.
     """
     bounded_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
