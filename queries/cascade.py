@@ -39,8 +39,9 @@ def _key(column: str, value: str | None = None) -> str:
 
 
 def impact_sql(cap: int | None) -> str:
-    """Impact of all nations, three levels deep."""
+    """Impact of all nations, down to the lines of their orders."""
     small = lambda frame: f"(SELECT * FROM {frame} WHERE n_rows <= {cap})" if cap else frame
+    grown = f"n_rows <= {cap}" if cap else "TRUE"
     root = "root_table, root_key"
     row = lambda depth, parent, pk, child, fk: (
         f"{depth} AS depth, '{parent}' AS parent_table, {_key(pk)} AS parent_key, '{child}' AS child_table, '{fk}' AS fk_cols, "
@@ -56,11 +57,11 @@ sl AS (SELECT {root}, {row(2, 'supplier', 's_suppkey', 'lineitem', 'l_suppkey')}
 fo AS (SELECT {root}, o_orderkey FROM {small('co')} JOIN orders ON o_custkey = c_custkey),
 ol AS (SELECT {root}, {row(3, 'orders', 'o_orderkey', 'lineitem', 'l_orderkey')} FROM fo JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 impact AS (
-  SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, CAST(1 AS BIGINT) AS n_paths, predicate FROM nc
-  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate FROM ns
-  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate FROM co
-  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate FROM sl
-  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate FROM ol)"""
+  SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, CAST(1 AS BIGINT) AS n_paths, predicate, {grown} AS followed FROM nc
+  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate, {grown} FROM ns
+  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate, {grown} FROM co
+  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate, TRUE FROM sl
+  UNION ALL SELECT root_table, root_key, depth, parent_table, parent_key, child_table, fk_cols, n_rows, 1, predicate, TRUE FROM ol)"""
 
 
 def _impact(spark, sf_dir, cap=None):
@@ -79,6 +80,26 @@ def cascade_impact_capped(spark, sf_dir):
     return _impact(spark, sf_dir, 60)
 
 
+@registry.add(
+    "cascade_impact_region",
+    f"""WITH n AS (SELECT {_key('n_regionkey')} AS root_key, n_nationkey FROM nation),
+g AS (SELECT root_key, 1 AS depth, 'nation' AS child_table, n_nationkey AS parent_no FROM n
+  UNION ALL SELECT root_key, 2, 'customer', n_nationkey FROM n JOIN customer ON c_nationkey = n_nationkey
+  UNION ALL SELECT root_key, 2, 'supplier', n_nationkey FROM n JOIN supplier ON s_nationkey = n_nationkey
+  UNION ALL SELECT root_key, 3, 'orders', c_custkey FROM n JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+  UNION ALL SELECT root_key, 3, 'lineitem', s_suppkey FROM n JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey
+  UNION ALL SELECT root_key, 4, 'lineitem', o_orderkey FROM n JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT root_key, depth, child_table, count(*) AS n_rows, true AS followed FROM g GROUP BY root_key, depth, child_table""",
+)
+def cascade_impact_region(spark, sf_dir):
+    """All levels below every region; no group is too large to be followed."""
+    tables = fk_tables(spark, sf_dir)
+    impact = C.cascade_impact({"region": tables["region"]}, EDGES, tables, KEYS)
+    return impact.groupBy("root_key", "depth", "child_table").agg(
+        F.sum("n_rows").cast("bigint").alias("n_rows"), F.bool_and("followed").alias("followed")
+    )
+
+
 @registry.add(
     "cascade_rollup",
     f"""{impact_sql(None)}
@@ -124,10 +145,10 @@ def fk_impact(spark, sf_dir):
     return C.fk_impact("supplier", tables["supplier"], EDGES, tables, KEYS)
 
 
-@registry.add("fk_children", "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0")
+@registry.add("fk_children", "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def fk_children(spark, sf_dir):
     tables = fk_tables(spark, sf_dir)
-    return C.fk_children(tables["customer"].where("c_acctbal < 0"), EDGES[3], tables, KEYS).select("o_orderkey", "o_custkey")
+    return C.fk_children(tables["customer"], EDGES[3], tables, KEYS).select("o_orderkey", "o_custkey")
 
 
 @registry.add(

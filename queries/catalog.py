@@ -119,18 +119,18 @@ def render_table_ddl(spark, sf_dir):
 
 
 _OBJECTS = with_frames("objects", "old_objects") + """,
-n AS (SELECT database, kind, name, CASE kind WHEN 'Constraint' THEN parent ELSE '' END AS tab,
+n AS (SELECT database, kind, name, CASE WHEN kind IN ('Constraint', 'Trigger') THEN coalesce(parent, '') ELSE '' END AS tab, CASE kind WHEN 'Role' THEN '' ELSE coalesce(schema, '') END AS sch,
         CASE WHEN kind IN ('View', 'Routine', 'Materialized View') THEN replace(definition, 'dev.', 'prod.') ELSE definition END AS def, owner FROM objects WHERE kind <> 'Extension'),
-o AS (SELECT database, kind, name, CASE kind WHEN 'Constraint' THEN parent ELSE '' END AS tab, definition AS def, owner FROM old_objects WHERE kind <> 'Extension'),
+o AS (SELECT database, kind, name, CASE WHEN kind IN ('Constraint', 'Trigger') THEN coalesce(parent, '') ELSE '' END AS tab, CASE kind WHEN 'Role' THEN '' ELSE coalesce(schema, '') END AS sch, definition AS def, owner FROM old_objects WHERE kind <> 'Extension'),
 b AS (SELECT coalesce(n.database, o.database) AS database, coalesce(n.kind, o.kind) AS kind, coalesce(n.name, o.name) AS name, coalesce(n.tab, o.tab) AS tab,
         n.def AS nd, o.def AS od, n.owner AS nown, o.owner AS oown, o.name IS NULL AS added, n.name IS NULL AS removed
-      FROM n FULL OUTER JOIN o ON n.database = o.database AND n.kind = o.kind AND n.name = o.name AND n.tab = o.tab),
+      FROM n FULL OUTER JOIN o ON n.database = o.database AND n.kind = o.kind AND n.name = o.name AND n.tab = o.tab AND n.sch = o.sch),
 w AS (SELECT *, CASE WHEN (added OR nown <> oown) AND nown IS NOT NULL THEN CASE kind
           WHEN 'View' THEN chr(10) || 'ALTER VIEW IF EXISTS prod."' || name || '" OWNER TO "' || nown || '";'
           WHEN 'Materialized View' THEN chr(10) || 'ALTER TABLE IF EXISTS prod."' || name || '" OWNER TO "' || nown || '";'
           WHEN 'Sequence' THEN chr(10) || 'ALTER SEQUENCE IF EXISTS prod."' || name || '" OWNER TO "' || nown || '";'
           WHEN 'Routine' THEN chr(10) || 'ALTER FUNCTION prod.' || name || ' OWNER TO "' || nown || '";' ELSE '' END ELSE '' END AS own FROM b),
-x AS (SELECT database, kind, CASE WHEN tab <> '' THEN name || ' [' || tab || ']' ELSE name END AS object_name, od,
+x AS (SELECT database, kind, CASE WHEN tab <> '' AND kind = 'Constraint' THEN name || ' [' || tab || ']' ELSE name END AS object_name, od,
     CASE WHEN added THEN 'Added' WHEN removed THEN 'ExistingInTarget' ELSE 'Altered' END AS diff_type,
     CASE WHEN added THEN nd || own WHEN removed THEN od ELSE nd END AS source_ddl,
     CASE WHEN added THEN CASE WHEN kind IN ('Role', 'Enum') THEN '-- N/A' ELSE '-- Object does not exist in Target database' END
@@ -196,7 +196,9 @@ SELECT database, kind, name, n.owner AS source_owner, o.owner AS target_owner, C
           WHEN 'Materialized View' THEN 'ALTER TABLE IF EXISTS prod."' || name || '" OWNER TO "' || n.owner || '";'
           WHEN 'Sequence' THEN 'ALTER SEQUENCE IF EXISTS prod."' || name || '" OWNER TO "' || n.owner || '";'
           WHEN 'Routine' THEN 'ALTER FUNCTION prod.' || name || ' OWNER TO "' || n.owner || '";' ELSE '' END AS diff_script
-FROM objects n JOIN old_objects o USING (database, kind, name) WHERE n.owner <> o.owner""",
+FROM objects n JOIN old_objects o USING (database, kind, name) WHERE n.owner <> o.owner
+  AND (kind IN ('Extension', 'Role') OR coalesce(n.schema, '') = coalesce(o.schema, ''))
+  AND (kind NOT IN ('Constraint', 'Trigger') OR coalesce(n.parent, '') = coalesce(o.parent, ''))""",
 )
 def owner_diff(spark, sf_dir):
     return O.owner_diff(*load(spark, sf_dir, "objects", "old_objects"), tgt_schema="prod")

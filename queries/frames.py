@@ -162,7 +162,13 @@ SELECT 'db_' || o_custkey, 'public',
             WHEN '3-MEDIUM' THEN 'ALTER TABLE public.T_' || o_custkey || ' ADD CONSTRAINT o_' || o_orderkey || ' CHECK (a > 0)'
             WHEN '4-NOT SPECIFIED' THEN 'CREATE ROLE o_' || o_orderkey ELSE '1.' || o_custkey END,
        CAST(NULL AS STRING), o_orderstatus
-FROM orders WHERE o_orderstatus <> 'F'"""
+FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL
+SELECT 'db_n', s.schema, 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT ' || n_nationkey || s.schema, CAST(NULL AS STRING), 'o' || n_regionkey
+FROM nation, (SELECT 'one' AS schema UNION ALL SELECT 'two') s WHERE n_nationkey < 5
+UNION ALL
+SELECT 'db_n', 'public', 'Trigger', 'touch', 't_' || n_nationkey, 'CREATE TRIGGER touch AFTER INSERT ON public.t_' || n_nationkey || ' EXECUTE f()', CAST(NULL AS STRING), 'o' || n_regionkey
+FROM nation"""
 FRAMES["old_objects"] = """
 SELECT source AS database, lang AS schema,
        CASE lang WHEN 'fr' THEN 'View' WHEN 'de' THEN 'Routine' WHEN 'es' THEN 'Materialized View' ELSE 'Sequence' END AS kind,
@@ -180,7 +186,13 @@ SELECT 'db_' || o_custkey, 'public',
             WHEN '3-MEDIUM' THEN 'ALTER TABLE public.T_' || o_custkey || ' ADD CONSTRAINT o_' || o_orderkey || ' CHECK (a > 0)'
             WHEN '4-NOT SPECIFIED' THEN 'CREATE ROLE x_' || o_orderkey ELSE '2.' || o_custkey END,
        CAST(NULL AS STRING), o_orderstatus
-FROM orders WHERE o_orderstatus <> 'O'"""
+FROM orders WHERE o_orderstatus <> 'O'
+UNION ALL
+SELECT 'db_n', s.schema, 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT ' || n_nationkey || s.schema, CAST(NULL AS STRING), 'o' || CASE WHEN n_nationkey % 5 = 1 THEN 7 ELSE n_regionkey END
+FROM nation, (SELECT 'one' AS schema UNION ALL SELECT 'two') s WHERE n_nationkey < 5
+UNION ALL
+SELECT 'db_n', 'public', 'Trigger', 'touch', 't_' || n_nationkey, 'CREATE TRIGGER touch AFTER INSERT ON public.t_' || n_nationkey || ' EXECUTE f()', CAST(NULL AS STRING), 'o' || CASE WHEN n_nationkey % 5 = 1 THEN 7 ELSE n_regionkey END
+FROM nation"""
 FRAMES["dropped_tables"] = "SELECT 'db_' || c_custkey AS database, 't_' || c_custkey AS table_name FROM customer WHERE c_mktsegment <> 'BUILDING'"
 FRAMES["junk_objects"] = """
 SELECT 'shop' AS database, lower(p_brand) AS schema, 'Table' AS kind,

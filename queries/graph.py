@@ -61,7 +61,7 @@ _CLOSURE = with_frames("object_edges", "graph_roots", "relations", "routines", "
 f AS (SELECT * FROM object_edges WHERE dep_type IN ('n', 'a')),
 walk(root_id, obj_id, obj_class, depth) AS (
   SELECT root_id, obj_id, obj_class, 1 FROM graph_roots JOIN f ON ref_id = root_id
-  UNION SELECT w.root_id, f.obj_id, f.obj_class, w.depth + 1 FROM walk w JOIN f ON f.ref_id = w.obj_id WHERE w.depth < 5),
+  UNION SELECT w.root_id, f.obj_id, f.obj_class, w.depth + 1 FROM walk w JOIN f ON f.ref_id = w.obj_id WHERE w.depth < 50),
 closure AS (SELECT root_id, obj_id, obj_class, min(depth) AS depth FROM walk WHERE obj_id <> root_id GROUP BY ALL)"""
 
 

@@ -19,11 +19,21 @@ def is_secret_name(name: str) -> bool:
     return any(word in name.lower() for word in SECRET_WORDS)
 
 
+class _Number(str):
+    """A number as it is written."""
+
+
+def _members(pairs):
+    if len({name for name, _ in pairs}) < len(pairs):
+        raise ValueError("a name is repeated")
+    return dict(pairs)
+
+
 def _blank(node, deep: bool):
     if isinstance(node, dict):
         for name, value in node.items():
             if is_secret_name(name):
-                if isinstance(value, str):
+                if _is_text(value):
                     node[name] = ""
                 elif deep:
                     node[name] = _emptied(value)
@@ -35,25 +45,49 @@ def _blank(node, deep: bool):
     return node
 
 
+def _is_text(node) -> bool:
+    return isinstance(node, str) and not isinstance(node, _Number)
+
+
 def _emptied(node):
     if isinstance(node, dict):
         return {name: _emptied(value) for name, value in node.items()}
     if isinstance(node, list):
         return [_emptied(item) for item in node]
-    return "" if isinstance(node, str) else node
+    return "" if _is_text(node) else node
+
+
+def _written(node) -> str:
+    """JSON text without spaces, numbers as they were."""
+    if isinstance(node, dict):
+        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + _written(v) for k, v in node.items()) + "}"
+    if isinstance(node, list):
+        return "[" + ",".join(map(_written, node)) + "]"
+    return str(node) if isinstance(node, _Number) else json.dumps(node, ensure_ascii=False)
+
+
+def _not_json(text: str):
+    raise ValueError(f"{text} is no JSON")
+
+
+def _cleaned(text: str, deep: bool) -> str | None:
+    try:
+        tree = json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_not_json, object_pairs_hook=_members)
+        return _written(_blank(tree, deep))
+    except (ValueError, RecursionError):
+        return None
 
 
 def clean_json(content: Column, deep: bool = False) -> Column:
-    """JSON text with blank secrets. A tree has to be put together again,
-    which no built-in expression does, so this is an Arrow batch function;
-    call it on the few texts that are to be written or shown.
+    """JSON text with blank secrets, numbers to the letter. Null where the
+    text is no JSON, repeats a name in an object or is nested too deep to
+    read, since its secrets cannot be told. A tree has to be put together
+    again, which no built-in expression does, so this is an Arrow batch
+    function; call it on the few texts that are to be written or shown.
     ``deep`` also empties every text inside secret-named objects and lists."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: json.dumps(_blank(json.loads(t), deep), ensure_ascii=False, separators=(",", ":")),
-            na_action="ignore",
-        )
+        return texts.map(lambda t: _cleaned(t, deep), na_action="ignore")
 
     return clean(content)

@@ -6,6 +6,7 @@ All rows in question are followed at once: one join per foreign key and depth.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,8 +21,6 @@ from tidemark.session import checkpointed
 Tables = Mapping[str, DataFrame]
 Keys = Mapping[str, Sequence[str]]
 
-# Fixed value: larger groups are counted but not followed, unless asked.
-EXPAND_CAP = 500
 ROOT = ("root_table", "root_key")
 
 
@@ -79,6 +78,22 @@ def _impact(groups: DataFrame, edge: FkEdge) -> DataFrame:
     return groups.drop(*["fk_" + c for c in edge.child_cols])
 
 
+def _on_cycles(edges: Sequence[FkEdge]) -> set[str]:
+    """Tables that foreign keys lead back to."""
+    reach = defaultdict(set)
+    for e in edges:
+        reach[e.parent].add(e.child)
+    grown = True
+    while grown:
+        grown = False
+        for known in reach.values():
+            more = set().union(*(reach.get(t, ()) for t in known)) - known
+            if more:
+                known |= more
+                grown = True
+    return {t for t, known in reach.items() if t in known}
+
+
 def _followed(groups: DataFrame, edge: FkEdge, edges: Sequence[FkEdge], tables: Tables, keys: Keys, cap: int | None) -> DataFrame:
     """Child rows of the groups small enough to follow."""
     if cap is not None:
@@ -113,36 +128,51 @@ def cascade_impact(
     edges: Sequence[FkEdge],
     tables: Tables,
     keys: Keys,
-    max_depth: int = 3,
-    expand_cap: int | None = EXPAND_CAP,
+    max_depth: int | None = None,
+    expand_cap: int | None = None,
 ) -> DataFrame:
-    """Child rows per root, parent row and foreign key, down to max_depth.
+    """Child rows per root, parent row and foreign key, until nothing new is
+    reached.
 
     ``roots`` maps tables to those of their rows that are looked into. Every
-    group is counted in full; groups beyond ``expand_cap`` are not followed
-    to their own children, None follows all. ``n_paths`` is the number of
-    ways in which the parent row is reached from the root.
+    group is counted in full. For a preview, ``max_depth`` ends the search
+    and groups beyond ``expand_cap`` are not followed; ``followed`` is false
+    for groups whose own children were left out so. ``n_paths`` is the number
+    of ways in which the parent row is reached from the root. In tables that
+    foreign keys lead back to, a row is followed once for each root.
     """
     frontier = {t: _start(t, rows, edges, keys, tables) for t, rows in roots.items()}
     parents = {e.parent for e in edges}
+    cyclic = _on_cycles(edges)
+    seen = {t: checkpointed(frontier[t].select(*ROOT, "row_key")) for t in frontier if t in cyclic}
     impacts = []
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        last = depth == max_depth
         reached = defaultdict(list)
         for e in edges:
             if e.parent not in frontier:
                 continue
             groups = _groups(frontier[e.parent], e, tables, depth)
-            impacts.append(_impact(groups, e))
-            if depth < max_depth and e.child in parents and keys.get(e.child):
+            kept = F.lit(True)
+            if e.child in parents:
+                kept = F.lit(False) if last else kept if expand_cap is None else F.col("n_rows") <= expand_cap
+            impacts.append(_impact(groups, e).withColumn("followed", kept))
+            if not last and e.child in parents:
                 reached[e.child].append(_followed(groups, e, edges, tables, keys, expand_cap))
         frontier = {}
         for table, frames in reached.items():
             rows = union_all(frames)
             if len(frames) > 1:
                 rows = rows.groupBy(*[c for c in rows.columns if c != "n_paths"]).agg(F.sum("n_paths").alias("n_paths"))
+            if table in seen:
+                known = seen[table].toDF("_root_table", "_root_key", "_row_key")
+                rows = rows.join(known, null_safe((c, "_" + c) for c in (*ROOT, "row_key")), "left_anti")
             rows = checkpointed(rows)
             if not rows.isEmpty():
                 frontier[table] = rows
+                if table in cyclic:
+                    new = rows.select(*ROOT, "row_key")
+                    seen[table] = seen[table].union(new) if table in seen else new
         if not frontier:
             break
     return union_all(impacts)
@@ -169,7 +199,10 @@ def cascade_groups(impact: DataFrame) -> DataFrame:
 
 def cascade_delete_plan(impact: DataFrame, roots: Tables, keys: Keys, schema: str = "public") -> DataFrame:
     """One delete per group of child rows and per root, ``step`` ascending:
-    deepest children first, the root last. Take an impact without cap."""
+    deepest children first, the root last. An impact that left out children
+    is refused, since its plan would be incomplete."""
+    if not impact.where("NOT followed").isEmpty():
+        raise ValueError("the impact has groups that were not followed; take one without max_depth and expand_cap")
     text = lambda table, where: F.concat(F.lit("DELETE FROM "), F.lit(schema + "."), table, F.lit(" WHERE "), where, F.lit(";"))
     child = F.concat(F.lit('"'), F.replace("child_table", F.lit('"'), F.lit('""')), F.lit('"'))
     children = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.keys import union_all
@@ -49,14 +51,17 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return union_all([*[s.withColumn("in_cycle", F.lit(False)) for s in settled], caught])
 
 
-def transitive_dependents(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
+def transitive_dependents(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distinct objects that depend on each root (root_id) over edges
     (ref_id, obj_id, obj_class, dep_type), with the depth of the first
-    reach. A root is not among its own dependents."""
+    reach. A root is not among its own dependents. Without ``max_depth`` the
+    search goes on until nothing new is found, which also ends cycles."""
     followed = edges.where(F.col("dep_type").isin(*FOLLOWED)).select("ref_id", "obj_id", "obj_class")
     frontier = roots.select("root_id").distinct().withColumn("ref_id", F.col("root_id"))
     found: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         step = (
             frontier.join(followed, "ref_id").where("obj_id <> root_id")
             .select("root_id", "obj_id", "obj_class").distinct()

@@ -85,8 +85,9 @@ def filter_inventory(inventory: DataFrame, status: str) -> DataFrame:
 
 
 def find_row(df: DataFrame, key_col: str, value: str) -> DataFrame:
-    """The row whose key, written as text, equals the value. The typed
-    comparison follows from the text one and reaches the scan."""
+    """The rows whose key, written as text, equals the value: one, unless the
+    key repeats. The typed comparison follows from the text one and reaches
+    the scan."""
     key = col(key_col)
     typed = F.lit(value).try_cast(df.schema[key_col].dataType)
-    return df.where((key == typed) & (key.cast("string") == value)).limit(1)
+    return df.where((key == typed) & (key.cast("string") == value))

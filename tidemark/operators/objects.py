@@ -28,6 +28,8 @@ KIND_ORDER = (
     "Materialized View", "Index", "Constraint", "Trigger",
 )
 ADDED_ONLY = ("Role", "Enum")
+OF_DATABASE = ("Extension", "Role")
+OF_TABLE = ("Constraint", "Trigger")
 NAMES_SCHEMA = ("View", "Routine", "Materialized View")
 DEPENDENT_KINDS = ("Index", "Trigger", "Constraint")
 PARENT_OF_INDEX = r'(?i)\bON\s+(?:[a-zA-Z0-9_"\.]+\.)?"?([a-zA-Z0-9_]+)\b'
@@ -79,6 +81,18 @@ def rewritten(definition: Column, kind: Column, src_schema: str | None, tgt_sche
     return F.when(kind.isin(*NAMES_SCHEMA), moved).otherwise(definition)
 
 
+def _place(df: DataFrame, src_schema: str | None = None, tgt_schema: str = "public") -> list[Column]:
+    """What tells apart objects of one name: the schema of those that stand in
+    one, the source's read as the target's, and the table of what hangs on one."""
+    schema = F.coalesce("schema", F.lit("")) if "schema" in df.columns else F.lit("")
+    if src_schema:
+        schema = F.when(schema == src_schema, tgt_schema).otherwise(schema)
+    table = F.when(F.col("kind").isin(*OF_TABLE), F.coalesce("parent", F.lit(""))) if "parent" in df.columns else F.lit("")
+    return [
+        F.when(F.col("kind").isin(*OF_DATABASE), "").otherwise(schema).alias("in_schema"), F.coalesce(table, F.lit("")).alias("of_table"),
+    ]
+
+
 def object_diff(
     src: DataFrame,
     tgt: DataFrame,
@@ -94,16 +108,15 @@ def object_diff(
     kinds = [k for k in KIND_ORDER if k != "Table" and not (ignore_extension and k == "Extension")]
 
     def side(df: DataFrame, prefix: str, definition: Column) -> DataFrame:
-        # The table is part of a constraint's identity, not of the others'.
-        table = F.when(F.col("kind") == "Constraint", F.coalesce("parent", F.lit(""))).otherwise(F.lit(""))
+        place = _place(df, src_schema if prefix == "s_" else None, tgt_schema)
         return df.where(F.col("kind").isin(*kinds)).select(
-            "database", "kind", "name", table.alias("of_table"),
+            "database", "kind", "name", *place,
             definition.alias(prefix + "def"), F.col("owner").alias(prefix + "owner"), F.lit(True).alias(prefix + "here"),
         )
 
     new = side(src, "s_", rewritten(F.col("definition"), F.col("kind"), src_schema, tgt_schema))
     old = side(tgt, "t_", F.col("definition"))
-    both = new.join(old, ["database", "kind", "name", "of_table"], "full_outer")
+    both = new.join(old, ["database", "kind", "name", "in_schema", "of_table"], "full_outer")
     kind, name, schema = F.col("kind"), F.col("name"), F.lit(tgt_schema)
     added, removed = F.col("t_here").isNull(), F.col("s_here").isNull()
     owner_changed = F.lit(False)
@@ -136,7 +149,7 @@ def object_diff(
         .otherwise(F.concat("s_def", owner_ddl))
     )
     no_target = F.when(kind.isin("Extension", *ADDED_ONLY), NOT_APPLICABLE).otherwise(ABSENT)
-    shown = F.when(F.col("of_table") != "", F.concat(name, F.lit(" ["), "of_table", F.lit("]"))).otherwise(name)
+    shown = F.when((F.col("of_table") != "") & (kind == "Constraint"), F.concat(name, F.lit(" ["), "of_table", F.lit("]"))).otherwise(name)
     return both.where(reported).select(
         "database", "kind", shown.alias("object_name"),
         F.when(added, "Added").when(removed, "ExistingInTarget").otherwise("Altered").alias("diff_type"),
@@ -146,11 +159,11 @@ def object_diff(
     )
 
 
-def owner_diff(src: DataFrame, tgt: DataFrame, tgt_schema: str = "public") -> DataFrame:
+def owner_diff(src: DataFrame, tgt: DataFrame, tgt_schema: str = "public", src_schema: str | None = None) -> DataFrame:
     """Objects on both sides whose owner differs, with the ownership statement."""
     names = ["database", "kind", "name"]
-    both = src.select(*names, F.col("owner").alias("source_owner")).join(
-        tgt.select(*names, F.col("owner").alias("target_owner")), names
+    both = src.select(*names, *_place(src, src_schema, tgt_schema), F.col("owner").alias("source_owner")).join(
+        tgt.select(*names, *_place(tgt), F.col("owner").alias("target_owner")), [*names, "in_schema", "of_table"]
     )
     text = _by_kind(OWNERS, s=F.lit(tgt_schema), n=F.col("name"), o=F.col("source_owner"))
     return both.where("source_owner <> target_owner").select(

@@ -73,14 +73,18 @@ def scan_records(
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
     """One row per record: the first keyword by list position, and all its
-    columns and keywords in alphabetical order."""
+    columns and keywords in alphabetical order. Equal rows of a table without
+    key are as many records, each of which has every hit once."""
     first = F.struct("keyword_pos", "column_pos")
+    same = F.when(F.col("no_key"), (F.col("_hits") / F.size("_kinds")).cast("int")).otherwise(1)
     return hits.groupBy("table_name", "no_key", "key").agg(
         F.min_by("keyword", first).alias("keyword"),
         F.min_by("content", first).alias("content"),
         F.array_sort(F.collect_set("column_name")).alias("columns"),
         F.array_sort(F.collect_set("keyword")).alias("keywords"),
-    )
+        F.count("*").alias("_hits"),
+        F.collect_set(first).alias("_kinds"),
+    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), same))).drop("_hits", "_kinds", "_copy")
 
 
 def hits_by_table(records: DataFrame, rollup: DataFrame | None = None) -> DataFrame:

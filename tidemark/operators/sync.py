@@ -146,15 +146,23 @@ def apply_changes(
     mode: str = "update",
     ignore: Sequence[str] = (),
     largest_group: int | None = None,
+    where: str | None = None,
 ) -> DataFrame:
     """The target after the changes (a row diff, with or without its S rows).
 
+    ``where`` is the predicate the diff was made with: rows outside it, those
+    of which it is not known included, are neither numbered nor changed.
+
     ``update`` sets the changed columns of a row, ``upsert`` all columns of
     the source that are neither key nor ignored. Ignored columns and columns
     missing in the source keep their value, and are null in inserted rows.
     """
     if mode not in ("update", "upsert"):
         raise ValueError(f"mode must be 'update' or 'upsert', not {mode!r}")
+    outside = None
+    if where:
+        inside = F.coalesce(F.expr(where), F.lit(False))
+        outside, tgt = tgt.where(~inside), tgt.where(inside)
     src_type = image_type(changes, "source")
     skip = lower_set(ignore)
     compared = [c for c in src_type.fieldNames() if c in set(tgt.columns) and c.lower() not in lower_set([*keys, *ignore])]
@@ -193,7 +201,8 @@ def apply_changes(
         .select(*[kept(c) for c in tgt.columns])
     )
     inserted = changes.where("op = 'I'").select(*[added(c) for c in tgt.columns])
-    return remaining.unionByName(inserted)
+    applied = remaining.unionByName(inserted)
+    return applied if outside is None else applied.unionByName(outside)
 
 
 def insert_if_absent(tgt: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

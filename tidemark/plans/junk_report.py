@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.columns import any_of, col
 from tidemark.functions.text import clean_keywords, keyword_test, preview
-from tidemark.operators.cascade import EXPAND_CAP, cascade_impact, cascade_rollup
+from tidemark.operators.cascade import cascade_impact, cascade_rollup
 from tidemark.operators.edges import FkEdge
 from tidemark.operators.scan import DEFAULT_KEYWORDS, dedupe_hits, scan_records, text_columns
 
@@ -37,8 +37,8 @@ def junk_report(
     all_tables: Mapping[str, DataFrame],
     keywords: Sequence[str] = DEFAULT_KEYWORDS,
     match: str = "substring",
-    max_depth: int = 3,
-    expand_cap: int | None = EXPAND_CAP,
+    max_depth: int | None = None,
+    expand_cap: int | None = None,
 ) -> JunkReport:
     """Scan ``tables`` and follow the records found through ``all_tables``.
 

@@ -37,7 +37,7 @@ class Release:
 
     def applied(self, table: str, tgt: DataFrame, mode: str = "update") -> DataFrame:
         """The table of the target after the release."""
-        return apply_changes(tgt, self.diffs[table], self.keys[table], mode, self.options.ignore)
+        return apply_changes(tgt, self.diffs[table], self.keys[table], mode, self.options.ignore, where=self.options.where)
 
 
 def compare_release(
