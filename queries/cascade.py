@@ -82,7 +82,7 @@ def cascade_impact_capped(spark, sf_dir):
 
 @registry.add(
     "cascade_impact_region",
-    f"""WITH n AS (SELECT {_key('n_regionkey')} AS root_key, n_nationkey FROM nation),
+    f"""WITH n AS (SELECT {_key('r_regionkey', 'n_regionkey')} AS root_key, n_nationkey FROM nation),
 g AS (SELECT root_key, 1 AS depth, 'nation' AS child_table, n_nationkey AS parent_no FROM n
   UNION ALL SELECT root_key, 2, 'customer', n_nationkey FROM n JOIN customer ON c_nationkey = n_nationkey
   UNION ALL SELECT root_key, 2, 'supplier', n_nationkey FROM n JOIN supplier ON s_nationkey = n_nationkey

@@ -164,8 +164,9 @@ SELECT 'db_' || o_custkey, 'public',
        CAST(NULL AS STRING), o_orderstatus
 FROM orders WHERE o_orderstatus <> 'F'
 UNION ALL
-SELECT 'db_n', s.schema, 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT ' || n_nationkey || s.schema, CAST(NULL AS STRING), 'o' || n_regionkey
-FROM nation, (SELECT 'one' AS schema UNION ALL SELECT 'two') s WHERE n_nationkey < 5
+SELECT 'db_n', 'one', 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT one ' || n_nationkey, CAST(NULL AS STRING), 'o' || n_regionkey FROM nation
+UNION ALL
+SELECT 'db_n', 'two', 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT two ' || n_nationkey, CAST(NULL AS STRING), 'o' || n_regionkey FROM nation
 UNION ALL
 SELECT 'db_n', 'public', 'Trigger', 'touch', 't_' || n_nationkey, 'CREATE TRIGGER touch AFTER INSERT ON public.t_' || n_nationkey || ' EXECUTE f()', CAST(NULL AS STRING), 'o' || n_regionkey
 FROM nation"""
@@ -188,8 +189,9 @@ SELECT 'db_' || o_custkey, 'public',
        CAST(NULL AS STRING), o_orderstatus
 FROM orders WHERE o_orderstatus <> 'O'
 UNION ALL
-SELECT 'db_n', s.schema, 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT ' || n_nationkey || s.schema, CAST(NULL AS STRING), 'o' || CASE WHEN n_nationkey % 5 = 1 THEN 7 ELSE n_regionkey END
-FROM nation, (SELECT 'one' AS schema UNION ALL SELECT 'two') s WHERE n_nationkey < 5
+SELECT 'db_n', 'one', 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT one ' || n_nationkey, CAST(NULL AS STRING), 'o' || CASE WHEN n_nationkey % 5 = 1 THEN 7 ELSE n_regionkey END FROM nation
+UNION ALL
+SELECT 'db_n', 'two', 'View', 'v_' || n_nationkey, CAST(NULL AS STRING), 'SELECT two ' || n_nationkey, CAST(NULL AS STRING), 'o' || CASE WHEN n_nationkey % 5 = 1 THEN 7 ELSE n_regionkey END FROM nation
 UNION ALL
 SELECT 'db_n', 'public', 'Trigger', 'touch', 't_' || n_nationkey, 'CREATE TRIGGER touch AFTER INSERT ON public.t_' || n_nationkey || ' EXECUTE f()', CAST(NULL AS STRING), 'o' || CASE WHEN n_nationkey % 5 = 1 THEN 7 ELSE n_regionkey END
 FROM nation"""
