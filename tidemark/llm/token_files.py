@@ -20,6 +20,7 @@ lost executor costs the ranges it was writing.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -43,6 +44,11 @@ BLOCK_DOCUMENTS = 1024
 #: Words that a worker remembers, and their longest.
 _KNOWN = 300_000
 _LONGEST = 40
+#: Punctuation at a word's end, after a letter or digit: always a token run of its own.
+#: The letter left out ends in a mark, which joins the run, when lower-cased.
+_TAIL = re.compile(r"(?<=[^\W_İ])[.,;:!?%$*&#\"()/+=\[\]{}-]+\Z")
+#: Stands between words that are encoded together.
+_MARK = "~"
 
 
 class Encoder:
@@ -51,39 +57,76 @@ class Encoder:
     For tokenizers that drop white space, a blank or line feed always ends a
     token and what stands beside it has no influence, so words are encoded one
     by one by the library and joined. Any other white space stays inside a
-    word and is the library's to treat.
+    word and is the library's to treat. It lower-cases and takes runs of
+    punctuation apart from letters and digits, so ASCII case and punctuation
+    at a word's end are told apart here already.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        mark = self._tokenizer.encode(f" {_MARK} ", add_special_tokens=False).ids
+        self._mark = mark[0] if len(mark) == 1 else -1
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._forget()
 
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
+        self._parts: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
         self._ids = np.empty(1 << 16, np.uint32)
         self._starts = np.zeros(1 << 14, np.int64)
         self._sizes = np.zeros(1 << 14, np.int64)
         self._used = self._next = 0
 
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Most are encoded as one text, with a mark that is a
+        single token between them; words that hold the mark alone."""
+        plain = [w for w in words if _MARK not in w]
+        ids = np.array(self._tokenizer.encode(f" {_MARK} ".join([*plain, ""]), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(ids == self._mark)
+        if len(ends) != len(plain):
+            return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
+        parts = iter(np.split(ids, ends + 1) if len(ends) else [])
+        alone = lambda w: np.array(self._tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+        return [alone(w) if _MARK in w else next(parts)[:-1] for w in words]
+
     def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids, number = found.ids, self._next
-            if self._used + len(ids) > len(self._ids):
-                self._ids = np.resize(self._ids, max(2 * len(self._ids), self._used + len(ids)))
-            if number >= len(self._starts):
-                self._starts, self._sizes = np.resize(self._starts, 2 * number), np.resize(self._sizes, 2 * number)
-            self._ids[self._used : self._used + len(ids)] = ids
-            self._starts[number], self._sizes[number] = self._used, len(ids)
-            self._number[word] = number
-            self._used += len(ids)
-            self._next += 1
+        """Words in other case or before a punctuation mark share their parts."""
+        split = []
+        for word in words:
+            at = _TAIL.search(word) if "<|" not in word else None
+            core, tail = (word[: at.start()], at[0]) if at else (word, "")
+            split.append((core.lower() if core.isascii() and "<|" not in core else core, tail))
+        new = list({p for parts in split for p in parts}.difference(self._parts))
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            self._parts.update(zip(part, self._encoded(part)))
+        found = [self._parts[p] for parts in split for p in parts]
+        sizes = np.array([len(f) for f in found]).reshape(-1, 2).sum(axis=1)
+        flat, number = np.concatenate(found), self._next
+        if self._used + len(flat) > len(self._ids):
+            self._ids = np.resize(self._ids, max(2 * len(self._ids), self._used + len(flat)))
+        if number + len(words) > len(self._starts):
+            size = 2 * (number + len(words))
+            self._starts, self._sizes = np.resize(self._starts, size), np.resize(self._sizes, size)
+        self._ids[self._used : self._used + len(flat)] = flat
+        self._starts[number : number + len(words)] = self._used + np.cumsum(sizes) - sizes
+        self._sizes[number : number + len(words)] = sizes
+        self._number.update(zip(words, range(number, number + len(words))))
+        self._used += len(flat)
+        self._next += len(words)
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        out = []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        words, counts = [], []
+        for text in texts:
+            own = text.replace("\n", " ").split(" ")
+            words += own
+            counts.append(len(own))
+        sizes, out = [], []
         for at in range(0, len(words), 1 << 18):
             part = words[at : at + (1 << 18)]
             if self._next > _KNOWN or self._used > 8 * _KNOWN:
@@ -92,14 +135,15 @@ class Encoder:
             if new:
                 self._learn(new)
             numbers = np.fromiter(map(self._number.__getitem__, part), np.int64, len(part))
-            sizes = self._sizes[numbers]
-            ends = np.cumsum(sizes)
-            places = np.arange(ends[-1]) + np.repeat(self._starts[numbers] - ends + sizes, sizes)
-            out.append(self._ids[places])
+            size = self._sizes[numbers]
+            ends = np.cumsum(size)
+            out.append(self._ids[np.arange(ends[-1]) + np.repeat(self._starts[numbers] - ends + size, size)])
+            sizes.append(size)
             for word in new:
                 if len(word) > _LONGEST:  # comes once
                     del self._number[word]
-        return np.concatenate(out)
+        ends = np.cumsum(np.concatenate(sizes))[np.cumsum(counts) - 1]
+        return np.split(np.concatenate(out), ends[:-1])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -119,9 +163,8 @@ def _sample(path: str, end_id: int):
     def run(batches):
         tokenizer = encoder(path)
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                rows.append(_frames(np.append(tokenizer.encode(text or ""), end_id), tokenizer.width)[:SAMPLE_BYTES])
+            found = tokenizer.encode_all([t or "" for t in batch.column(0).to_pylist()])
+            rows = [_frames(np.append(ids, end_id), tokenizer.width)[:SAMPLE_BYTES] for ids in found]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     return run
@@ -170,9 +213,16 @@ def _write(tokenizer_path: str, end_id: int, dictionary: bytes):
             }
             return pa.RecordBatch.from_pylist([row], schema=_schema)
 
+        def encoded(batch):
+            # A few documents at once; a very long one is taken apart by the encoder.
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = tokenizer.encode_all([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, tokens in zip(part.column(0).to_pylist(), found):
+                    yield doc_id, np.append(tokens, end_id)
+
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.append(tokenizer.encode(text.as_py() or ""), end_id)
+            for doc_id, tokens in encoded(batch):
                 frame = compressor.compress(_frames(tokens, tokenizer.width))
                 ids.append(doc_id)
                 counts.append(len(tokens))
