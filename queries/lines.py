@@ -105,18 +105,18 @@ def signature_scan(spark, sf_dir):
     return L.signature_scan(_all_lines(spark, sf_dir), "doc")
 
 
-def _outside(frame: str, start: str, end: str) -> str:
-    """Rows of a frame outside marked regions, by the last mark before each."""
-    return f"""(SELECT doc, line_no, line FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, {start} AS starts, CASE WHEN {end} THEN 0 WHEN {start} THEN 1 END AS mark FROM {frame}))
-WHERE NOT starts AND coalesce(before, 0) = 0)"""
-
-
-_COPY = _outside("a", "regexp_matches(trim(line), '(?i)^COPY .*FROM stdin')", "trim(line) = chr(92) || '.'")
-_INSERT = _outside("k", "regexp_matches(trim(line), '(?i)^INSERT INTO ')", "trim(line) LIKE '%;'")
-
-
-@registry.add("drop_marked_regions", f"{_LINES},\nk AS {_COPY}\nSELECT * FROM {_INSERT}")
+_ONE_PASS = f"""{_LINES.replace("WITH ", "WITH RECURSIVE ", 1)},
+m AS (SELECT doc, line_no, line, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS i,
+  regexp_matches(trim(line), '(?i)^COPY .*FROM stdin') AS c, trim(line) = chr(92) || '.' AS ce,
+  regexp_matches(trim(line), '(?i)^INSERT INTO ') AS ins, trim(line) LIKE '%;' AS e FROM a),
+walk(doc, i, was, now) AS (
+  SELECT doc, i, 0, CASE WHEN c THEN 1 WHEN ins AND NOT e THEN 2 ELSE 0 END FROM m WHERE i = 1
+  UNION ALL SELECT m.doc, m.i, now, CASE now WHEN 1 THEN CASE WHEN ce THEN 0 ELSE 1 END WHEN 2 THEN CASE WHEN e THEN 0 ELSE 2 END
+    ELSE CASE WHEN c THEN 1 WHEN ins AND NOT e THEN 2 ELSE 0 END END FROM walk JOIN m ON m.doc = walk.doc AND m.i = walk.i + 1)
+SELECT doc, line_no, line FROM walk JOIN m USING (doc, i) WHERE was = 0 AND NOT c AND NOT ins"""
+
+
+@registry.add("drop_marked_regions", _ONE_PASS)
 def drop_marked_regions(spark, sf_dir):
     return L.drop_data(_all_lines(spark, sf_dir), "doc")
 

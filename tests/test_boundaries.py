@@ -99,3 +99,52 @@ def test_clean_json_keeps_numbers(spark):
     got = {r.id: r.c for r in rows.select("id", clean_json(F.col("t")).alias("c")).collect()}
     assert got[1] == '{"a":0.12345678901234567890123,"b":[12345678901234567890.5,1e400,-0,7],"password":"","key":{"n":1.0}}'
     assert all(got[i] is None for i in range(2, 7))
+
+
+@pytest.mark.parametrize("chunk_lines", [3, 100_000])
+def test_data_is_dropped_in_one_pass(spark, chunk_lines):
+    import random
+
+    from tidemark.operators import lines as L
+
+    script = [
+        "SELECT 1;", "INSERT INTO t VALUES (1, 'x", "COPY a FROM stdin", "z');", "SELECT 2;", "COPY b FROM stdin;", "INSERT INTO u VALUES (1", "1\tx;", "\\.",
+        "SELECT 3;", "\\.", "INSERT INTO v VALUES (1);", "SELECT 4;", "COPY c FROM stdin", "never ends",
+    ]
+    draw = random.Random(1)
+    texts = {"a": script, "b": [draw.choice(script) for _ in range(200)], "c": ["SELECT 9;"], "d": ["COPY x FROM stdin", *["1"] * 20, "\\.", "SELECT 5;"]}
+    rows = [(d, i, t) for d, lines in texts.items() for i, t in enumerate(lines)]
+    want = []
+    for d, lines in texts.items():
+        state = ""
+        for i, t in enumerate(lines):
+            if state == "copy":
+                state = "" if t == "\\." else state
+            elif state == "insert":
+                state = "" if t.endswith(";") else state
+            elif t.startswith("COPY"):
+                state = "copy"
+            elif t.startswith("INSERT"):
+                state = "" if t.endswith(";") else "insert"
+            else:
+                want.append((d, i, t))
+    got = L.drop_data(spark.createDataFrame(rows, "doc string, line_no long, line string"), "doc", chunk_lines=chunk_lines)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_rules_see_past_comments(spark):
+    from tidemark.operators import lines as L
+
+    texts = [
+        "-- Name: t; Type: ACL\nGRANT ALL ON t TO x", "/* c */ ALTER TABLE t OWNER TO x", "SELECT '-- GRANT' AS a", "DO $$ -- keep\n$$",
+        "-- c\nCREATE TABLE t (a int)", "SELECT \"/*\" AS x, 'it''s -- so' -- end",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    reasons = {r.id: r.reason for r in L.rule_filter(rows, "text").collect()}
+    assert reasons == {0: "Privilege statement removed", 1: "OWNER TO statement removed", 2: None, 3: None, 4: None, 5: None}
+    plain = [r.p for r in rows.select(L.without_comments(F.col("text")).alias("p")).collect()]
+    assert plain[2:] == [texts[2], texts[3], "\nCREATE TABLE t (a int)", "SELECT \"/*\" AS x, 'it''s -- so' "]
+    from tidemark.operators.rules import SAFE_RUN_REWRITES
+
+    new = {r.id: r.rewritten for r in L.rule_rewrite(rows, "text", chain=SAFE_RUN_REWRITES).collect()}
+    assert new[4] == "-- c\nCREATE TABLE IF NOT EXISTS t (a int)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import any_of, col
@@ -182,25 +183,112 @@ def drop_marked_regions(
     return state.join(begins, on, "left_outer").where(~inside & ~F.col("_starts")).select(*[col(c) for c in lines.columns])
 
 
-def drop_data(lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """Script lines without COPY blocks and without INSERT statements."""
-    kept = drop_marked_regions(lines, doc, copy_start(col(line)), copy_end(col(line)), line_no)
-    return drop_marked_regions(kept, doc, insert_start(col(line)), statement_end(col(line)), line_no)
+# States while a script is read, and what a line can do, as bits.
+OUTSIDE, IN_COPY, IN_INSERT = 0, 1, 2
+_COPY, _COPY_END, _INSERT, _END = 1, 2, 4, 8
+
+
+def _after(state: int, marks: int) -> int:
+    """State after a line with these marks."""
+    if state == IN_COPY:
+        return OUTSIDE if marks & _COPY_END else IN_COPY
+    if state == IN_INSERT:
+        return OUTSIDE if marks & _END else IN_INSERT
+    if marks & _COPY:
+        return IN_COPY
+    return IN_INSERT if marks & _INSERT and not marks & _END else OUTSIDE
+
+
+def _kept_lines(batches):
+    """Lines that start outside and open nothing, from chunks in line order;
+    the first column is the chunk, the second its first state, the third the marks."""
+    current, state = None, OUTSIDE
+    for batch in batches:
+        keep = []
+        for chunk, first, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if chunk != current:
+                current, state = chunk, first
+            keep.append(state == OUTSIDE and not marks & (_COPY | _INSERT))
+            state = _after(state, marks)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(3, batch.num_columns)], names=batch.schema.names[3:]
+        )
+
+
+def drop_data(
+    lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line", chunk_lines: int = CHUNK_LINES
+) -> DataFrame:
+    """Script lines without COPY blocks and without INSERT statements.
+
+    One pass: inside a statement a line that looks like another's start is
+    text. Texts are looked through in chunks; each chunk's lines with marks
+    are first folded into where it leads to from each of the three states,
+    and that is handed on, so a very long text is spread over many tasks.
+    """
+    bits = ((copy_start(col(line)), _COPY), (copy_end(col(line)), _COPY_END), (insert_start(col(line)), _INSERT), (statement_end(col(line)), _END))
+    marks = sum((F.when(F.coalesce(test, F.lit(False)), bit).otherwise(0) for test, bit in bits), F.lit(0))
+    marked = lines.withColumn("_chunk", F.floor(col(line_no) / F.lit(chunk_lines))).withColumn("_marks", marks)
+
+    def step(state, m):
+        # The table of `_after`, as an array by state and marks.
+        table = F.array(*[F.lit(_after(s, k)) for s in range(3) for k in range(16)])
+        return F.get(table, state * 16 + m)
+
+    opened = marked.where("_marks > 0").groupBy(F.col(doc).alias("_doc"), "_chunk").agg(
+        F.array_sort(F.collect_list(F.struct(col(line_no).alias("at"), F.col("_marks").alias("m")))).alias("_all")
+    )
+    leads = [F.aggregate("_all", F.lit(s), lambda state, x: step(state, x["m"])) for s in range(3)]
+    ordered = opened.select("_doc", F.struct("_chunk", F.array(*leads).alias("to")).alias("_lead")).groupBy("_doc").agg(
+        F.array_sort(F.collect_list("_lead")).alias("_leads")
+    )
+    # One entry for each chunk of a text: the state it ends with, for the chunks after it.
+    begins = ordered.select("_doc", F.posexplode("_leads").alias("_i", "_lead"), "_leads").select(
+        "_doc", F.col("_lead._chunk").alias("_c"),
+        F.aggregate(F.slice("_leads", 1, F.col("_i") + 1), F.lit(OUTSIDE), lambda state, x: F.get(x["to"], state)).alias("_ends"),
+    )
+    # The chunk that last changed the state before a chunk may not be the one before it.
+    spans = begins.withColumn("_until", F.lead("_c").over(Window.partitionBy("_doc").orderBy("_c"))).where(F.col("_ends") != OUTSIDE)
+    on = (F.col(doc) == F.col("_doc")) & (F.col("_chunk") > F.col("_c")) & (F.col("_until").isNull() | (F.col("_chunk") <= F.col("_until")))
+    chunks = marked.select(doc, "_chunk").distinct().join(spans, on).select(
+        F.col(doc).alias("_d"), F.col("_chunk").alias("_k"), F.col("_ends").alias("_first")
+    )
+    names = lines.columns
+    placed = marked.join(chunks, (F.col(doc) == F.col("_d")) & (F.col("_chunk") == F.col("_k")), "left_outer").select(
+        F.concat_ws(":", F.col(doc).cast("string"), F.col("_chunk").cast("string")).alias("_key"),
+        F.coalesce("_first", F.lit(OUTSIDE)).alias("_state"), "_marks", *[col(c) for c in names],
+    )
+    kind = placed.select(*[col(c) for c in names]).schema
+    return placed.repartition("_key").sortWithinPartitions("_key", line_no).mapInArrow(_kept_lines, kind)
+
+
+# What comments may not be looked for in, then the comments.
+_COMMENT = r"""('(?:[^']|'')*'|"[^"]*"|\$(\w*)\$[\s\S]*?\$\2\$)|--[^\n]*|/\*[\s\S]*?\*/"""
+
+
+def without_comments(text: Column) -> Column:
+    """Statement text without -- and /* */ comments; those marks stay inside
+    quoted text, quoted names and dollar-quoted bodies."""
+    return F.regexp_replace(text, _COMMENT, "$1")
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(without_comments(text), r"^\s+|\s+$", "")
 
 
 def rule_filter(
     records: DataFrame, text: str, rules: Sequence[DropRule] = DROP_RULES, disabled: Sequence[str] = ()
 ) -> DataFrame:
     """The records with the reason of the first enabled rule that drops them,
-    null for those kept. Rules see the text with white space squeezed."""
-    clean = squeezed(col(text))
+    null for those kept. Rules see the text without comments and with white
+    space squeezed."""
+    clean = squeezed(without_comments(col(text)))
     reasons = [F.when(clean.rlike(r.pattern), F.lit(r.reason)) for r in rules if r.name not in set(disabled)]
     return records.withColumn("reason", F.coalesce(*reasons) if reasons else F.lit(None).cast("string"))
 
 
 def _rewrite(text: Column, rule: RewriteRule) -> Column:
     new = F.regexp_replace(text, rule.pattern, rule.replacement)
-    return F.when(F.trim(text).rlike(rule.unless), text).otherwise(new) if rule.unless else new
+    return F.when(_bare(text).rlike(rule.unless), text).otherwise(new) if rule.unless else new
 
 
 def rule_rewrite(
@@ -211,14 +299,16 @@ def rule_rewrite(
 ) -> DataFrame:
     """The records with ``rewritten`` text and whether it is ``modified``
     apart from white space. All inline rules are applied, then the first rule
-    of the chain (such as `SAFE_RUN_REWRITES`) that fits."""
+    of the chain (such as `SAFE_RUN_REWRITES`) that fits. Comments do not keep
+    a rule from fitting, and stay."""
     new = col(text)
     for rule in inline:
-        fits = F.trim(new).rlike(rule.when)
+        fits = _bare(new).rlike(rule.when)
         new = F.when(fits, _rewrite(new, rule)).otherwise(new) if rule.when else _rewrite(new, rule)
     out = records.withColumn("rewritten", new)
     if chain:
-        chosen = F.coalesce(*[F.when(F.trim("rewritten").rlike(r.when), _rewrite(F.col("rewritten"), r)) for r in chain])
+        plain = _bare(F.col("rewritten"))
+        chosen = F.coalesce(*[F.when(plain.rlike(r.when), _rewrite(F.col("rewritten"), r)) for r in chain])
         out = out.withColumn("rewritten", F.coalesce(chosen, F.col("rewritten")))
     return out.withColumn("modified", squeezed(col(text)) != squeezed(F.col("rewritten")))
 
@@ -237,9 +327,3 @@ def rule_audit(records: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.count("*").alias("n_records"))
     )
 
-
-__all__ = [
-    "CHUNK_LINES", "SAFE_RUN_REWRITES", "copy_end", "copy_start", "drop_data", "drop_marked_regions", "filter_log",
-    "insert_start", "normalize_log", "rule_audit", "rule_filter", "rule_rewrite", "severity", "severity_counts",
-    "severity_summary", "signature_scan", "statement_end",
-]
