@@ -53,8 +53,8 @@ _ELSE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo",
 _ELSE_NAMES = {
     "ad", "ads", "adsense", "advert", "advertisement", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments",
     "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "form", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar",
-    "navigation", "newsletter", "notice", "notification", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "reply",
-    "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
+    "navigation", "newsletter", "notice", "notification", "overlay", "pager", "pagination", "paywall", "popover", "popup", "promo", "rail", "recommended", "related", "replies", "reply",
+    "respond", "search", "share", "sharing", "side", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toast", "toolbar", "topbar", "widget",
 }
 _HEADER = "header"
 
