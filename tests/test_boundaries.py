@@ -148,3 +148,14 @@ def test_rules_see_past_comments(spark):
 
     new = {r.id: r.rewritten for r in L.rule_rewrite(rows, "text", chain=SAFE_RUN_REWRITES).collect()}
     assert new[4] == "-- c\nCREATE TABLE IF NOT EXISTS t (a int)"
+
+
+def test_hot_keys_keep_their_values(spark):
+    from tidemark.operators import keys as K
+
+    rows = spark.createDataFrame([(1, v, i % 3) for i, v in enumerate([-0.0, 0.0, float("nan")] * 6)], "k long, v double, w int")
+    rows = rows.select("k", "v", F.create_map(F.lit("w"), F.col("w")).alias("m"), F.expr("parse_json(cast(w as string))").alias("j"))
+    got = K.with_occurrence(rows, ["k"], [], hot_group_rows=4).collect()
+    assert sorted(r.occurrence for r in got) == list(range(1, 19))
+    assert Counter(str(r.v) for r in got) == Counter({"-0.0": 6, "0.0": 6, "nan": 6})
+    assert Counter(r.m["w"] for r in got) == Counter({0: 6, 1: 6, 2: 6})

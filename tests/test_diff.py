@@ -153,7 +153,6 @@ def random_rows(rng, n, keys):
 @pytest.mark.parametrize("hot_rows", [10_000, 5])
 def test_properties_with_repeated_and_null_keys(spark, hot_rows, monkeypatch):
     """Small limits send every repeated key through the split numbering."""
-    monkeypatch.setattr(K, "COPIES_PER_STEP", 3)
     monkeypatch.setattr(K.with_occurrence, "__defaults__", ((), "occurrence", None, hot_rows))
     rng = random.Random(7)
     schema = "k int, k2 string, v int, w string"
@@ -173,7 +172,6 @@ def test_properties_with_repeated_and_null_keys(spark, hot_rows, monkeypatch):
 
 
 def test_split_numbering_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(K, "COPIES_PER_STEP", 4)
     rng = random.Random(3)
     rows = [(1, rng.randrange(5), "c") for _ in range(200)] + [(2, i, "d") for i in range(90)] + [(3, 1, "e"), (None, 2, None)]
     df = spark.createDataFrame(rows, "k int, v int, w string").repartition(5)

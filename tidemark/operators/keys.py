@@ -12,8 +12,6 @@ from tidemark.session import checkpointed
 
 # Rows of one key that a single task may sort; larger groups are split.
 HOT_GROUP_ROWS = 1_000_000
-# Copies of one row that a single generated array may number.
-COPIES_PER_STEP = 100_000
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -107,37 +105,25 @@ def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
 def _split_numbering(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, parts: int) -> DataFrame:
     """Row numbers of large groups without one task per group.
 
-    Equal rows are counted into one, the distinct rows are range-partitioned
-    by key and order, each range numbers its own rows, and the sizes of the
-    earlier ranges are added. Counted copies are spread out again at the end.
+    The rows themselves are range-partitioned by key and order, each range
+    numbers its own rows, and the sizes of the earlier ranges are added. The
+    written rows get a number that breaks ties, so equal rows spread too.
     """
     names = df.columns
-    ordering = [*[col(k).asc_nulls_first() for k in keys], *_order(df, order)]
-    ranges = checkpointed(
-        df.groupBy(*[col(c) for c in names]).agg(F.count("*").alias("_n"))
-        .repartitionByRange(parts, *ordering)
-        .withColumn("_range", F.spark_partition_id())
-    )
-    inside = Window.partitionBy(*[col(k) for k in keys], "_range").orderBy(*_order(df, order) or [F.lit(1)])
-    before = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = ranges.withColumn("_in_range", before)
-    earlier = Window.partitionBy(*[col("_k_" + k) for k in keys]).orderBy("_k_range")
+    # Written first: the tie-breaker must not change when a task runs again.
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    ordering = [*[col(k).asc_nulls_first() for k in keys], *_order(df, order), F.col("_row")]
+    ranges = checkpointed(rows.repartitionByRange(parts, *ordering).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*[col(k) for k in keys], "_range").orderBy(*_order(df, order), "_row")
+    placed = ranges.withColumn("_in_range", F.row_number().over(inside))
+    earlier = Window.partitionBy(*[col("_k_" + k) for k in keys]).orderBy("_k_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranges.groupBy(*[col(k).alias("_k_" + k) for k in keys], F.col("_range").alias("_k_range"))
-        .agg(F.sum("_n").alias("_size"))
-        .withColumn("_start", F.coalesce(F.sum("_size").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranges.groupBy(*[col(k).alias("_k_" + k) for k in keys], F.col("_range").alias("_k_range")).agg(F.count("*").alias("_size"))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     )
     on = null_safe([*[(k, "_k_" + k) for k in keys], ("_range", "_k_range")])
-    numbered = rows.join(starts, on).withColumn("_first", F.col("_start") + F.col("_in_range"))
-    steps = (
-        numbered.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(COPIES_PER_STEP).cast("bigint"))))
-        .repartition(parts, "_first", "_step")
-        .withColumn("_last", F.least(F.col("_step") + COPIES_PER_STEP, F.col("_n")))
-    )
-    return steps.select(
-        *[col(c) for c in names],
-        F.explode(F.sequence(F.col("_first") + F.col("_step") + 1, F.col("_first") + F.col("_last"))).alias(name),
-    )
+    number = (F.col("_start") + F.col("_in_range")).cast("bigint").alias(name)
+    return placed.join(starts, on).select(*[col(c) for c in names], number)
 
 
 def key_presence(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
