@@ -143,12 +143,18 @@ def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius:
             shingles.select(F.col("h").alias("x")).distinct(), "x", "left_semi"
         ).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("hits")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
         hashed = hashed.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).drop("d", "t")
-    # Fewest common shingles that any item needs: common >= percent * (a + b) / (100 + percent), where b <= a.
-    hit = checkpointed(hashed.filter(F.size("hits") > 0).select("doc_id", "text_hash", "h", "hits").dropDuplicates(["doc_id", "text_hash"]))
+    # A window of any size that is similar to an item holds this many hits; documents without go before their
+    # shingles are moved.
+    lengths = [r.m for r in items.select((F.col("n") - size + 1).alias("m")).distinct().orderBy("m").collect()]
+    fewest = max(1, -(-percent * lengths[0] // 100))
+    dense = F.exists(
+        F.sequence(F.lit(0), F.size("hits") - fewest),
+        lambda j: F.get(F.col("hits"), j + fewest - 1) < F.get(F.col("hits"), j) + lengths[-1],
+    )
+    hit = checkpointed(hashed.filter((F.size("hits") >= fewest) & F.when(F.size("hits") >= fewest, dense)).select("doc_id", "text_hash", "h", "hits").dropDuplicates(["doc_id", "text_hash"]))
 
     # Windows of every item size that begin at a hit and hold enough hits.
-    lengths = items.select("n").distinct().withColumn("m", F.col("n") - size + 1)
-    known_lengths = F.array(*[F.lit(r.m) for r in lengths.orderBy("m").collect()])
+    known_lengths = F.array(*[F.lit(m) for m in lengths])
     spots = hit.select(
         "doc_id", "text_hash", F.size("h").alias("all"), "hits", F.explode(known_lengths).alias("m"),
     ).withColumn("w", F.least("m", "all")).withColumn(
