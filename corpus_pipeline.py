@@ -30,10 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates by five-word shingles, that with the smallest id."""
-    found = checkpointed(near_duplicates(docs, words=5, percent=80))
-    kept = found.filter("kept").select(F.col("doc_id").alias("__kept"))
+    found = checkpointed(near_duplicates(docs, words=5, percent=80, with_texts=True))
+    # By id and text: ids may be null or come more than once.
+    kept = found.filter("kept").select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__text"))
     ids = kept.distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")) & (F.xxhash64(docs["text"]) == F.col("__text")), "left_semi")
     # Rows that come more than once are one document.
     return out if kept.count() == ids.count() else out.dropDuplicates(["doc_id", "text"])
 

@@ -430,6 +430,27 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert packed.count() > 0 and json.dumps(packed.columns)
 
 
+def test_pipeline_decides_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    draw = random.Random(21)
+    a, b, c, leak = (" ".join(f"{k}{draw.randrange(10**6)}" for _ in range(60)) for k in "abcl")
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [
+        (None, a), (None, near(a)), (None, b), (None, leak), (None, None), (None, ""),
+        (7, b), (7, c), (7, near(c)), (7, leak), (9, near(c)), (9, leak + " tail"),
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = Counter((r.doc_id, r.text) for r in pipeline.drop_leaks(spark, frame, str(tmp_path)).collect())
+    assert left == Counter((i, t) for i, t in rows if leak not in (t or ""))
+    kept = Counter((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).collect())
+    assert sum(kept.values()) == len(kept) == 6
+    assert kept[(None, a)] + kept[(None, near(a))] == 1 and kept[(7, c)] + kept[(7, near(c))] == 1
+    assert {(None, None), (None, ""), (7, b), (7, leak)} <= set(kept)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

@@ -95,6 +95,7 @@ def _bitmap(hashes: DataFrame) -> Column | None:
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, percent: int = PERCENT, radius: int = RADIUS,
+    by_text: bool = False,
 ) -> DataFrame:
     """Items found in documents: doc_id, item_id, similarity (of the best
     window), start (its first word, from 0; the first of equals), n_words (of the item).
@@ -103,18 +104,20 @@ def contaminated(
     `words` words are one shingle; items and documents without words match
     nothing; a document shorter than an item is one window. Rows with equal id
     and text are one document, items with equal id and text one item; a null
-    id is an id like any other. Other columns are not read. Empty tables give
-    an empty result.
+    id is an id like any other. `by_text` tells the texts of one id apart
+    and adds text_hash (xxhash64 of the text). Other columns are not read.
+    Empty tables give an empty result.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct()
     items = items.withColumn("words", words_of(F.col("text"))).withColumn("n", F.size("words")).filter("n > 0")
     items = checkpointed(items.select("item_id", "n", "words"))
     sizes = [r.s for r in items.select(F.least("n", F.lit(words)).alias("s")).distinct().orderBy("s").collect()]
-    found = [_found(plain, items.filter(F.least("n", F.lit(words)) == s), s, percent, radius) for s in sizes]
+    keys = ["doc_id", "text_hash"] if by_text else ["doc_id"]
+    found = [_found(plain, items.filter(F.least("n", F.lit(words)) == s), s, percent, radius, keys) for s in sizes]
     if not found:
-        empty = plain.join(items.withColumnRenamed("n", "n_words"), F.lit(False)).select(
-            "doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), "n_words"
+        empty = plain.withColumn("text_hash", F.xxhash64("text")).join(items.withColumnRenamed("n", "n_words"), F.lit(False)).select(
+            *keys, "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), "n_words"
         )
         return empty
     whole = found[0]
@@ -123,7 +126,7 @@ def contaminated(
     return whole
 
 
-def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius: int) -> DataFrame:
+def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius: int, keys: list[str]) -> DataFrame:
     shingles = checkpointed(_item_shingles(items, size))
     bitmap = _bitmap(shingles.select("h"))
     hashed = plain.withColumn("words", words_of(F.col("text"))).select(
@@ -198,12 +201,14 @@ def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius:
         "whole", F.size("shingles") + F.size("item_shingles") - F.col("common")
     ).filter(100 * F.col("common") >= percent * F.col("whole"))
     best = F.struct((F.col("common") / F.col("whole")).alias("similarity"), (-F.col("start")).alias("start"))
-    return alike.groupBy("doc_id", "item_id", "n").agg(F.max(best).alias("best")).select(
-        "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start"), F.col("n").alias("n_words")
+    return alike.groupBy(*keys, "item_id", "n").agg(F.max(best).alias("best")).select(
+        *keys, "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start"), F.col("n").alias("n_words")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no item was found, with all their columns."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(checkpointed(bad), docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents in which no item was found, with all their columns; others of the same or no id stay."""
+    found = contaminated(docs, benchmark, id_col, text_col, by_text=True, **options)
+    bad = checkpointed(found.select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__text")).distinct())
+    same = F.xxhash64(docs[text_col].cast("string")) == F.col("__text")
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")) & same, "left_anti")

@@ -265,19 +265,22 @@ def _class_links(buckets: DataFrame, sets: DataFrame, keys: DataFrame, percent:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    bands: int = BANDS, rows: int = ROWS,
+    bands: int = BANDS, rows: int = ROWS, with_texts: bool = False,
 ) -> DataFrame:
     """Components of documents whose shingle sets are alike.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the
     smallest id reachable by links, its own included), kept (doc_id =
-    component_id).
+    component_id; of different texts of a component with that id, the one with
+    the smallest hash). `with_texts` adds text_hash (xxhash64 of the text) and
+    component (a digest, null without words), which tell rows and components
+    apart where ids are null or come more than once.
 
     Null and empty texts and texts without words have an empty set and are
     linked to nothing. Equal texts are always linked. Repeated rows come out
     as often as they came in. A row without id takes its component's smallest
     id and is not kept, unless no row of the component has an id: then
-    component_id is null and kept is true. Other columns of the input are not
+    component_id is null and the rows of one text are kept. Other columns of the input are not
     read. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
@@ -288,7 +291,8 @@ def near_duplicates(
         _features(words, bands, rows), "doc_id long, text_hash long, n_shingles long, cls binary, keys array<long>"
     ))
     classes = checkpointed(features.filter("n_shingles > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash")).alias("row"),
+        # Rows without id come last.
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"),
         F.first("n_shingles").alias("n"), F.first("keys").alias("keys"),
     ))
     posted = checkpointed(classes.select("cls", "n", F.explode("keys").alias("key")))
@@ -303,12 +307,13 @@ def near_duplicates(
     sets = checkpointed(texts.mapInArrow(_sets(words), "cls binary, items array<long>"))
 
     roots = components(_class_links(buckets, sets, classes.select("cls", "keys"), percent)).select(F.col("node").alias("cls"), "root")
-    whole = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    whole = classes.select("cls", "row").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = checkpointed(
-        whole.join(whole.groupBy("root").agg(F.min("rep").alias("smallest")), "root").select("cls", "smallest")
+        whole.join(whole.groupBy("root").agg(F.min("row").alias("smallest")), "root").select("cls", "root", "smallest")
     )
-    return (
-        features.drop("keys", "text_hash").join(named, "cls", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = F.col("doc_id").eqNullSafe(F.col("smallest.doc_id")) & (F.col("text_hash") == F.col("smallest.text_hash"))
+    found = features.drop("keys").join(named, "cls", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, first).otherwise(True).alias("kept"), "text_hash", F.col("root").alias("component"),
     )
+    return found if with_texts else found.drop("text_hash", "component")
