@@ -175,6 +175,27 @@ def test_decontamination_without_bitmap(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole and whole
 
 
+def test_decontamination_of_repetitive_passages(spark):
+    from tidemark.llm.decontaminate import _numbered, contaminated
+
+    draw = random.Random(8)
+    items, rows = [], []
+    for i in range(6):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(454)]
+        at = draw.randrange(20, 380)
+        items.append((i, " ".join(words)))
+        rows.append((i, " ".join(["start"] * 9 + words[:at] + ["la"] * 42 + words[at + 42 :] + ["end"] * 9)))
+    items.append((9, " ".join(["la"] * 60 + [f"x{k}" for k in range(40)])))
+    rows.append((9, " ".join(["la"] * 55 + [f"x{k}" for k in range(40)])))
+    frames = [spark.createDataFrame(x, f"{k} long, text string") for x, k in ((rows, "doc_id"), (items, "item_id"))]
+    got = sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.start, r.n_words) for r in contaminated(*frames).collect())
+    assert got == sorted(brute.contaminated(rows, items)) and len(got) == 7
+
+    bag = spark.createDataFrame([(1, [5, 3, 5, 5]), (2, [3, 5, 5]), (3, [4, 6])], "k long, shingles array<long>")
+    one, two, three = (set(r.h) for r in _numbered(bag, ["k"]).orderBy("k").collect())
+    assert len(one) == 4 and two < one and {3, 5} < two and three == {4, 6}
+
+
 # --- toxicity
 
 

@@ -14,7 +14,9 @@ of n words of every document, as sets of word shingles with multiplicity.
    in a block; windows and items of one size are joined on block number and
    block, once for the first block they agree in, and kept within the radius.
    The default radius lies more than four deviations beyond the distance that
-   is expected at the threshold.
+   is expected at the threshold. Repeats of a shingle are numbered in their
+   window and hashed with the number, so each counts on its own and none
+   outweighs the others; the weighted similarity is that of plain sets.
 3. Candidates are confirmed by the similarity of the weighted shingle sets:
    the sum of the smaller multiplicities over the sum of the larger ones.
 """
@@ -54,10 +56,24 @@ def _block(fingerprint: Column, low: int, bits: int) -> Column:
     return F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys and, in the array h, the shingles of each row with their repeats told
+    apart: the first of equals as it is, the others hashed with their number."""
+    parts = held(rows.select(*keys, F.array_sort("shingles").alias("h")), "h")
+    last = F.size("h") - 1
+    first = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(F.col("h"), i) != F.get(F.col("h"), i - 1)))
+    parts = held(parts.withColumn("first", F.when(F.size(F.array_distinct("h")) < F.size("h"), first)), "first")
+    runs = F.transform(F.col("first"), lambda at, i: F.struct(at.alias("at"), (F.coalesce(F.get(F.col("first"), i + 1), last + 1) - at).alias("times")))
+    told = F.flatten(F.transform(runs, lambda r: F.transform(
+        F.sequence(F.lit(0), r["times"] - 1), lambda k: F.when(k == 0, F.get(F.col("h"), r["at"])).otherwise(F.xxhash64(F.get(F.col("h"), r["at"]), k))
+    )))
+    return parts.select(*keys, F.when(F.col("first").isNull(), F.col("h")).otherwise(told).alias("h"))
+
+
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash of the array `shingles` of each row: per bit, whether more shingle
-    hashes, counted with multiplicity, have it set than not."""
-    bits = rows.select(*keys, F.explode("shingles").alias("h")).groupBy(*keys).agg(
+    """SimHash of the array `shingles` of each row: per bit, whether more of its shingles,
+    repeats told apart, have it set in their hash than not."""
+    bits = _numbered(rows, keys).select(*keys, F.explode("h").alias("h")).groupBy(*keys).agg(
         *[F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)]
     )
     whole = F.lit(0).cast("long")
