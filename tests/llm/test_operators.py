@@ -300,6 +300,20 @@ def test_packing(docs, empty):
     assert best_fit(empty).count() == 0
 
 
+def test_near_copies_are_packed_apart(spark, tmp_path):
+    from tidemark.llm.queries import op7
+
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    rows = [(None if i % 4 == 0 else i // 2, " ".join([*base[:-1], f"end{i}"]), f"s{i}") for i in range(12)]
+    rows += [(50 + i, _text(draw, 60), f"t{i}") for i in range(12)] + [(None, None, "u"), (None, " ", "v")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.length for r in got) == sum(len((t or "").split()) + 1 for _, t, _ in rows)
+    near = Counter(r.bin_id for r in got if r.length == 61 and (r.doc_id is None or r.doc_id < 50))
+    assert sum(near.values()) == 12 and set(near.values()) == {1}
+
+
 def test_best_fit_is_tightest():
     from tidemark.llm.packing import pack
 

@@ -65,14 +65,16 @@ def _group(capacity: int):
 
 def best_fit(
     docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
-    cluster_col: str | None = None, length_col: str | None = None,
+    cluster_col: str | None = None, length_col: str | None = None, clusters: DataFrame | None = None,
 ) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset, bin_length, one row per piece.
 
     The length of a document is `length_col`, or else its words and an end
     mark. A document longer than a bin is cut into full pieces and a rest, so
     nothing is dropped; pieces of one document are in different bins. Its
-    cluster is `cluster_col`, or else a hash of the whole text.
+    cluster is `cluster_col`, or that which `clusters` (doc_id, text_hash,
+    cluster; text_hash is xxhash64 of the text) has for its id and text, or
+    else a hash of the whole text.
 
     Null and empty texts are an end mark and in no cluster; a null source or
     cluster conflicts with nothing; a null or negative length is 0. Repeated
@@ -86,7 +88,14 @@ def best_fit(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).alias("whole"),
         source.alias("source"), cluster.alias("cluster"), F.xxhash64(F.col(id_col), text).alias("tie"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
     )
+    if clusters is not None:
+        # Null ids are ids like any other.
+        of = clusters.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("cluster").cast("string").alias("given")).distinct()
+        rows = rows.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").withColumn(
+            "cluster", F.coalesce(F.concat(F.lit("given "), F.col("given")), "cluster")
+        )
     groups = max(1, -(-docs.count() // GROUP_ROWS))
     last = F.greatest(F.lit(0), F.floor((F.col("whole") - 1) / capacity).cast("int"))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(

@@ -100,9 +100,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("op7_conflict_best_fit")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_duplicates import near_duplicates
     from tidemark.llm.packing import best_fit
+    from tidemark.session import checkpointed
 
-    return best_fit(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    near = near_duplicates(docs, words=5, percent=80, with_texts=True).filter("component IS NOT NULL")
+    return best_fit(docs, clusters=checkpointed(near.select("doc_id", "text_hash", F.hex("component").alias("cluster"))))
 
 
 def files_of(docs: DataFrame) -> DataFrame:
