@@ -55,4 +55,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     folder = ensure_checkpoint_dir(spark)
     path = f"{folder.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.checkpoint_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove checkpointed tables that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.checkpoint_path
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
