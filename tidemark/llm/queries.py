@@ -164,3 +164,73 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pages import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+_FIM_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS d FROM documents),
+k AS (SELECT *, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) AS c2,
+      ('0x' || substr(d, 17, 8))::BIGINT % 100 AS p3, ('0x' || substr(d, 25, 8))::BIGINT % 100 AS p4 FROM h),
+f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p3 >= 90 THEN 'plain' WHEN p4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+@registry.add("op11_fill_in_middle", _FIM_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fill_in_middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql() -> str:
+    """Three assignments and two averages, one after the other."""
+    distance = " + ".join(f"(x.v[{i}] - k.v[{i}]) * (x.v[{i}] - k.v[{i}])" for i in range(1, 5))
+    near = lambda book: (
+        f"SELECT vec_id, p, v, (min(d * 64 + e) % 64) AS e, min(d) AS d FROM "
+        f"(SELECT x.vec_id, x.p, x.v, k.e, {distance} AS d FROM x JOIN {book} k ON x.p = k.p) GROUP BY vec_id, p, v"
+    )
+    mean = ", ".join(f"floor(sum(v[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, 5))
+    update = lambda book, codes: (
+        f"SELECT k.p, k.e, coalesce(n.v, k.v) AS v FROM {book} k LEFT JOIN "
+        f"(SELECT p, e, [{mean}] AS v FROM {codes} GROUP BY p, e) n ON k.p = n.p AND k.e = n.e"
+    )
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, v[4 * p + 1 : 4 * p + 4] AS v FROM kept, range(16) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+a0 AS MATERIALIZED ({near("b0")}), b1 AS MATERIALIZED ({update("b0", "a0")}),
+a1 AS MATERIALIZED ({near("b1")}), b2 AS MATERIALIZED ({update("b1", "a1")}),
+a2 AS MATERIALIZED ({near("b2")}),
+codes AS (SELECT vec_id, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), books"""
+
+
+@registry.add("op12_vector_codes", _codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vector_codes import codebooks_digest, compress, with_label_errors
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256")
+    )
+
+
+@registry.add("op13_bpe_automaton")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.bpe_automaton import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
