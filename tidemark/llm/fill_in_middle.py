@@ -29,8 +29,9 @@ from pyspark.rdd import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Units of a piece.
+#: Units of a piece, and text bytes of a partition.
 CHUNK = 1 << 14
+PARTITION_BYTES = 32 << 20
 #: Parts of 100 that stay plain, and of the others those that become spm.
 PLAIN_FROM, SPM_BELOW = 90, 20
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -91,13 +92,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     """Pieces ((row, position), chunk) in output order within their documents,
     each document whole in one partition, its head (row, -1) first.
 
-    As many partitions as the input has, at least those Spark shuffles into,
+    Unless `partitions` is given, one is made for every PARTITION_BYTES of text,
     so tasks stay of a size as the input grows. The input must give the same
     rows in the same partitions if a task is repeated, as stored tables do.
     """
-    plain = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).rdd
-    many = partitions or max(plain.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return plain.mapPartitions(_emitted).repartitionAndSortWithinPartitions(many, _spread)
+    plain = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text"))
+    many = partitions or _partitions(plain)
+    return plain.rdd.mapPartitions(_emitted).repartitionAndSortWithinPartitions(many, _spread)
+
+
+def _partitions(texts: DataFrame) -> int:
+    """Partitions for the bytes of all texts, no fewer than Spark runs at once."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(-(-total // PARTITION_BYTES), texts.sparkSession.sparkContext.defaultParallelism)
 
 
 def _documents(sorted_pieces: Iterable[Piece]) -> Iterator[tuple[Row, tuple, Iterator[str]]]:
@@ -212,7 +219,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def restore(outputs: DataFrame, id_col: str = "doc_id", form_col: str = "form", output_col: str = "output") -> DataFrame:
     """Texts from outputs and forms alone: doc_id, text. Null outputs are empty;
     a null form is plain."""
-    rows = outputs.select(F.col(id_col).cast("long"), F.col(form_col), F.col(output_col)).rdd
+    rows = outputs.select(F.col(id_col).cast("long"), F.col(form_col), F.col(output_col).alias("text"))
 
     def emitted(part: Iterable[tuple]) -> Iterator[Piece]:
         own = TaskContext.get().partitionId()
@@ -222,8 +229,8 @@ def restore(outputs: DataFrame, id_col: str = "doc_id", form_col: str = "form",
             for i, (place, chunk) in enumerate(parts_of(form or "plain", _cut(output, 0, len(output)))):
                 yield (row, (place << 40) + i), chunk
 
-    many = max(rows.getNumPartitions(), int(outputs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = rows.mapPartitions(emitted).repartitionAndSortWithinPartitions(many, _spread).mapPartitions(_finished(*_TEXT))
+    placed = rows.rdd.mapPartitions(emitted).repartitionAndSortWithinPartitions(_partitions(rows), _spread)
+    made = placed.mapPartitions(_finished(*_TEXT))
     return outputs.sparkSession.createDataFrame(made, "doc_id long, text string", verifySchema=False)
 
 
