@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -228,3 +229,63 @@ def test_codec_forgets_and_goes_on():
         own._words.number.update({f"filler {i}": 0 for i in range(bpe_automaton._KNOWN + 1)} if draw.random() < 0.2 else {})
         flat, counts = own.encode(pa.array([text, None]))
         assert flat.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(flat), 0]
+
+
+# --- toxicity: the fit against its definition, and the sample's bound
+
+
+def test_toxicity_fit_minimises_its_loss():
+    """Loss with explicit swapped sentences, minimised by plain gradient steps."""
+    from tidemark.llm import toxicity as tox
+
+    words = ["hate", "love", "women", "men", "people", "tree", "stone"]
+    draw = random.Random(4)
+    texts = [" ".join(draw.sample(words, 3)) for _ in range(60)]
+    labels = np.array([float("hate" in t or ("women" in t and draw.random() < 0.7)) for t in texts])
+    known = np.unique(np.concatenate([tox.features(w) for w in words] + [tox._term(t) for g in tox.GROUPS for t in g]))
+    rows = [np.searchsorted(known, f) for f in map(tox.features, texts)]
+    got_w, got_b = tox._fit(np.concatenate(rows), np.array([len(r) for r in rows]), labels, known)
+
+    x = np.zeros((len(texts), len(known)))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    swaps = []
+    for group in tox.GROUPS:
+        for term in group:
+            mine = np.searchsorted(known, tox._term(term))
+            times = max(1, int(x[:, mine].sum(0).min()))
+            for other in group:
+                if other != term:
+                    d = np.zeros(len(known))
+                    np.add.at(d, np.searchsorted(known, tox._term(other)), 1)
+                    np.add.at(d, mine, -1)
+                    swaps.append(d * np.sqrt(times / (len(group) - 1) / len(texts)))
+    swaps = np.array(swaps)
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.log1p(np.exp(-z)) * labels + np.log1p(np.exp(z)) * (1 - labels)) + tox.RIDGE / 2 * w @ w + tox.COUNTERFACTUAL / 2 * ((swaps @ w) ** 2).sum()
+
+    w, b = np.zeros(len(known)), 0.0
+    for _ in range(20_000):
+        e = 1 / (1 + np.exp(-(x @ w + b))) - labels
+        w, b = w - 0.2 * (x.T @ e / len(texts) + tox.RIDGE * w + tox.COUNTERFACTUAL * swaps.T @ (swaps @ w)), b - 0.2 * e.mean()
+    assert loss(got_w, got_b) <= loss(w, b) * 1.01 + 1e-4
+    scores = tox.Model(known, got_w, got_b).score(["women tree", "men tree", "hate tree"])
+    assert abs(scores[0] - scores[1]) < 0.1 < scores[2] - scores[0]
+
+
+def test_labelled_sample_is_bounded(spark, monkeypatch):
+    from tidemark.llm import toxicity as tox
+
+    monkeypatch.setattr(tox, "SAMPLE_ROWS", 20)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id AS label")
+    hot = spark.range(900).selectExpr("cast(7 AS long) AS doc_id", "'the same' AS text", "id AS label")
+    none = spark.createDataFrame([(None, "x", 1), (3, None, 1)], "doc_id long, text string, label long")
+    labels = spark.range(400).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS label").union(spark.createDataFrame([(None, 1), (4, None)], "doc_id long, label int"))
+    rows = tox.labelled_sample(docs.union(hot).union(none), labels.union(labels)).collect()
+    assert 5 <= len(rows) <= 40 and all(r.text and r.label in (0, 1) for r in rows)
+    assert len({r.text for r in rows}) == len(rows)
+    assert tox.labelled_sample(docs.filter("false"), labels).collect() == []
+    with pytest.raises(ValueError, match="labelled_sample"):
+        tox.train(docs.select("text", F.lit(1).alias("label")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Registry
 from tidemark.llm.common import learnable, table
+from tidemark.session import release
 
 registry = Registry()
 
@@ -52,7 +53,10 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     from tidemark.llm import toxicity
 
     labels = table(spark, sf_dir, "labels").filter(learnable()).select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    sample = toxicity.labelled_sample(docs, labels)
+    model = toxicity.train(sample)
+    release(sample)
+    return model
 
 
 @registry.add("op5_counterfactual_toxicity")

@@ -6,10 +6,11 @@ squared difference of the two scores' logits is part of the loss, so that
 which group a sentence mentions cannot carry weight. A text's features are the
 words and beginnings it has, each counted once.
 
-Fitted on a bounded sample: about `SAMPLE_ROWS` labelled rows chosen by a hash
-of the text. `FEATURES` features are kept, those whose use differs most
-between the labels over the whole sample, and all group terms. Scoring reads
-whole texts.
+Fitted on a bounded sample: about `SAMPLE_ROWS` labelled ids chosen by a hash
+of id and label, one text of each. The labels are sampled before texts are
+looked up, and the sample is written once. `FEATURES` features are kept, those
+whose use differs most between the labels over the whole sample, and all group
+terms. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches
 from tidemark.llm.hashing import part_hashes, prefix_sums, word_bounds
+from tidemark.session import checkpointed, release
 
 #: Bounds of what is fitted: labelled rows about, and features.
 SAMPLE_ROWS = 20_000
@@ -107,51 +109,66 @@ def _explode(batches):
 
 
 def _rows(known: np.ndarray):
+    """Labels of a batch, numbers of known features and the features' places, packed."""
+
     def run(batches):
         for batch in batches:
-            found = [features(t or "") for t in batch.column(1).to_pylist()]
             places = []
-            for f in found:
+            for text in batch.column(1):
+                f = features(text.as_py() or "")
                 at = np.searchsorted(known, f)
                 at[at == len(known)] = 0
-                places.append(at[known[at] == f])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32()))], names=["label", "places"])
+                places.append(at[known[at] == f].astype(np.uint16))
+            packed = (
+                batch.column(0).to_numpy().astype(np.uint8), np.array([len(p) for p in places], np.uint16),
+                np.concatenate([*places, np.empty(0, np.uint16)]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in packed], names=["labels", "sizes", "places"])
 
     return run
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch accelerated gradient descent."""
+def _fit(cells: np.ndarray, lengths: np.ndarray, labels: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch accelerated gradient descent; `cells` are the
+    places of the rows' features, one row after the other, `lengths` of each."""
     number = {int(f): i for i, f in enumerate(known)}
     place = lambda hashes: [number[int(h)] for h in hashes if int(h) in number]
     swaps = [(place(t), [place(o) for o in others]) for t, others in _swaps()]
     # Differences of swapped and given sentences: feature places with signs.
     # A group term always teaches, also where the sample has it in no sentence.
-    having: dict[int, int] = {}
-    for r in rows:
-        for i in r.tolist():
-            having[i] = having.get(i, 0) + 1
+    having = np.bincount(cells, minlength=len(known))
     pairs = []
     for mine, others in swaps:
-        times = max(1, min((having.get(i, 0) for i in mine), default=0))
+        times = max(1, min((int(having[i]) for i in mine), default=0))
         for other in others:
             pairs.append((mine, other, times / len(others)))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cells = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    sizes, n = len(known), max(1, len(rows))
+    owner, rows = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), len(lengths)
+    sizes, n = len(known), max(1, rows)
     w, bias = np.zeros(sizes), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
-    ahead_w, ahead_b, step, momentum = w.copy(), bias, 1.0, 1.0
-    lengths = np.bincount(owner, minlength=len(rows)) if len(rows) else np.zeros(0)
-    step = 4.0 / (max(1.0, np.sqrt((lengths**2).mean() if len(lengths) else 1.0)) + 1)
+    ahead_w, ahead_b, momentum = w.copy(), bias, 1.0
+
+    def pulled(at: np.ndarray) -> np.ndarray:
+        """Slope of the penalty on score changes."""
+        out = np.zeros(sizes)
+        for mine, other, times in pairs:
+            pull = COUNTERFACTUAL * times / n * (at[other].sum() - at[mine].sum())
+            out[other] += pull
+            out[mine] -= pull
+        return out
+
+    # Its largest curvature, by power iteration, so that steps never overshoot.
+    turn, curve = pulled(np.random.default_rng(1).normal(size=sizes)), 0.0
+    for _ in range(30):
+        if not turn.any():
+            break
+        turn /= np.linalg.norm(turn)
+        turn, before = pulled(turn), turn
+        curve = float(turn @ before)
+    step = 1 / ((max(1.0, np.sqrt((lengths.astype(float) ** 2).mean() if rows else 1.0)) + 1) / 4 + curve)
     for _ in range(600):
-        logits = np.bincount(owner, ahead_w[cells], len(rows)) + ahead_b
+        logits = np.bincount(owner, ahead_w[cells], rows) + ahead_b
         error = 1 / (1 + np.exp(-np.clip(logits, -40, 40))) - labels
-        slope = np.bincount(cells, error[owner], sizes) / n + RIDGE * ahead_w
-        for mine, other, times in pairs:
-            difference = ahead_w[other].sum() - ahead_w[mine].sum()
-            pull = COUNTERFACTUAL * times / n * difference
-            slope[other] += pull
-            slope[mine] -= pull
+        slope = np.bincount(cells, error[owner], sizes) / n + RIDGE * ahead_w + pulled(ahead_w)
         new_w, new_b = ahead_w - step * slope, ahead_b - step * error.mean()
         momentum, last = (1 + np.sqrt(1 + 4 * momentum**2)) / 2, momentum
         pace = (last - 1) / momentum
@@ -160,50 +177,70 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray) -> tuple
     return w, float(bias)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> DataFrame:
+    """Label and text of about `SAMPLE_ROWS` labelled ids, at most twice as many, as a written table.
+
+    Ids with two labels may come with both; of the texts of a repeated id the
+    one with the smallest hash teaches. Null ids, labels and texts teach
+    nothing. The sampled labels are small and meet the documents where those
+    are; only sampled texts move.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().distinct()
+    share = max(1, known.count() // SAMPLE_ROWS)
+    chosen = checkpointed(known.filter(F.pmod(F.xxhash64("id", "label"), F.lit(share)) == 0).limit(2 * SAMPLE_ROWS))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    met = texts.join(chosen, "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row"))
+    sample = checkpointed(met.select("label", "row.text"))
+    release(chosen)
+    return sample
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> Model:
     """Classifier of the rows' 0/1 labels; rows without text or label teach nothing.
 
     Without rows every score is 0.5; with one label only, scores are near it.
+    More than twice `SAMPLE_ROWS` rows are refused: give a `labelled_sample`.
     """
     bounded_batches(labelled.sparkSession)
-    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    sample = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text")
     )
-    total = rows.count()
-    if not total:
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0)
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLE_ROWS))) == 0)
     size = sample.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     n, ones = size.n, size.ones or 0
+    if not n:
+        return Model(np.empty(0, np.int64), np.empty(0), 0.0)
+    if n > 2 * SAMPLE_ROWS:
+        raise ValueError(f"{n} labelled rows to fit; draw a labelled_sample")
     counts = (
         sample.mapInArrow(_explode, "feature long, label int").groupBy("feature")
         .agg(F.sum("label").alias("hit"), F.count("*").alias("use")).filter("use >= 3")
     )
     # Signed difference of the shares, in deviations from chance.
-    base = ones / max(1, n)
+    base = ones / n
     strength = F.abs(F.col("hit") - base * F.col("use")) / F.sqrt(F.col("use") * base * (1 - base) + 1e-9)
     best = counts.orderBy(strength.desc(), "feature").limit(FEATURES).select("feature")
     terms = np.concatenate([_term(t) for group in GROUPS for t in group])
     known = np.unique(np.concatenate([np.array([r.feature for r in best.collect()], np.int64), terms]))
-    table = sample.mapInArrow(_rows(known), "label int, places array<int>").toPandas()
-    weights, bias = _fit([np.asarray(p, np.int64) for p in table["places"]], table["label"].to_numpy(float), known)
+    packed = sample.mapInArrow(_rows(known), "labels binary, sizes binary, places binary").collect()
+    sizes = np.concatenate([np.frombuffer(r.sizes, np.uint16) for r in packed]).astype(np.int64)
+    places = np.concatenate([np.frombuffer(r.places, np.uint16) for r in packed]).astype(np.int32)
+    labels = np.concatenate([np.frombuffer(r.labels, np.uint8) for r in packed]).astype(float)
+    weights, bias = _fit(places, sizes, labels, known)
     return Model(known, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """The rows with a score (0 to 1) and predicted (1 from THRESHOLD on).
 
     Null and empty texts get the score of a text without words. Columns named
-    score or predicted are replaced; all others, null and repeated rows stay.
+    as the two new ones are replaced; all others, null and repeated rows stay.
     """
     spark = bounded_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # at most FEATURES and the group terms
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.score(texts.tolist()), dtype="float64")
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(texts.to_pylist()), pa.float64())
 
-    scored = docs.drop("score", "predicted").withColumn("score", of(F.col(text_col).cast("string")))
-    return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    scored = docs.drop(score_col, predicted_col).withColumn(score_col, of(F.col(text_col).cast("string")))
+    return scored.withColumn(predicted_col, F.when(F.col(score_col) >= THRESHOLD, 1).otherwise(0))
