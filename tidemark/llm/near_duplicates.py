@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, components
 from tidemark.llm.hashing import mix, word_hashes
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, release
 
 BANDS = 32
 ROWS = 5
@@ -216,6 +216,9 @@ def _class_links(buckets: DataFrame, sets: DataFrame, keys: DataFrame, percent:
         .select("key", F.col("top.label").alias("largest"))
     )
     open_ = checkpointed(labelled.join(largest, "key"))
+    if open_.isEmpty():  # every bucket is one component
+        release(open_)
+        return first
 
     # Among what is left, elements that few have: counted out of every bound, and pairs that share some found by them.
     left = checkpointed(open_.select("cls", "n", "label").distinct())
@@ -260,7 +263,7 @@ def _class_links(buckets: DataFrame, sets: DataFrame, keys: DataFrame, percent:
         .filter(f"{100 + percent} * (least(m_a, m_b) + both) >= {percent} * (n_a + n_b)").select("a", "b")
     )
     rest = checkpointed(apart.union(enough).distinct().join(tried, ["a", "b"], "left_anti"))
-    return first.union(_confirmed(rest, sets, percent))
+    return first if rest.isEmpty() else first.union(_confirmed(rest, sets, percent))
 
 
 def near_duplicates(
@@ -298,6 +301,9 @@ def near_duplicates(
     posted = checkpointed(classes.select("cls", "n", F.explode("keys").alias("key")))
     crowded = posted.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = checkpointed(posted.join(crowded, "key"))
+    release(posted)
+    if buckets.isEmpty():  # no two classes meet
+        return _named(features, classes.select("cls", F.col("cls").alias("root"), F.col("row").alias("smallest")), with_texts)
 
     # The text of one row of each class that meets another is read again.
     wanted = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select(
@@ -311,6 +317,11 @@ def near_duplicates(
     named = checkpointed(
         whole.join(whole.groupBy("root").agg(F.min("row").alias("smallest")), "root").select("cls", "root", "smallest")
     )
+    return _named(features, named, with_texts)
+
+
+def _named(features: DataFrame, named: DataFrame, with_texts: bool) -> DataFrame:
+    """Rows with the root and the smallest row of their component."""
     first = F.col("doc_id").eqNullSafe(F.col("smallest.doc_id")) & (F.col("text_hash") == F.col("smallest.text_hash"))
     found = features.drop("keys").join(named, "cls", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
