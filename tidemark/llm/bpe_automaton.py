@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches
 
 #: Words that a worker remembers; longer ones than `_LONGEST` are not kept.
-_KNOWN = 400_000
+_KNOWN = 200_000
 _LONGEST = 40
 #: Text bytes that are encoded together.
-_TOGETHER = 4 << 20
+_TOGETHER = 2 << 20
 #: What the pre-splitting of a tokenizer that drops white space must be like. Fixed values.
 _DROPS_SPACE = {
     "normalizers": ["NFC", "Replace", "Lowercase"],
@@ -262,7 +263,7 @@ class _Store:
 
 
 class Codec:
-    """Encoder and decoder of one tokenizer file with byte-level BPE.
+    """Encoder of one tokenizer file with byte-level BPE.
 
     White space splits the words of a tokenizer whose normalizer and splitting
     drop it; for any other one whole texts are split by the file's own rules.
@@ -292,15 +293,6 @@ class Codec:
         self._letters = byte_letters()
         vocab = model["vocab"]
         self.automaton = self._compiled(vocab, [m.split(" ") if isinstance(m, str) else m for m in model["merges"]])
-        labels = vocab | self._added
-        self.labels = [b""] * (max(labels.values(), default=-1) + 1)
-        self._joint = b" " if parts["decoder"] is None else b""
-        if parts["decoder"] is not None and parts["decoder"]["type"] != "ByteLevel":
-            raise ValueError("decoder is neither absent nor byte-level")
-        for token, i in labels.items():
-            # Without a decoder labels are emitted as written, else as bytes.
-            whole = self._joint or token in self._added or any(c not in self._letters for c in token)
-            self.labels[i] = token.encode() if whole else bytes(self._letters[c] for c in token)
         self._forget()
 
     def _compiled(self, vocab: dict[str, int], merges: list[list[str]]) -> Automaton:
@@ -381,20 +373,39 @@ class Codec:
         sums = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
         return flat, np.diff(sums)
 
+
+class Labels:
+    """What the arcs of a tokenizer file emit."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        if parts["decoder"] is not None and parts["decoder"]["type"] != "ByteLevel":
+            raise ValueError("decoder is neither absent nor byte-level")
+        letters, added = byte_letters(), {t["content"]: t["id"] for t in parts["added_tokens"]}
+        # Without a decoder labels are emitted as written with blanks between, else as bytes.
+        self._joint = b" " if parts["decoder"] is None else b""
+        labels = parts["model"]["vocab"] | added
+        self._labels = [b""] * (max(labels.values(), default=-1) + 1)
+        for token, i in labels.items():
+            whole = self._joint or token in added or any(c not in letters for c in token)
+            self._labels[i] = token.encode() if whole else bytes(letters[c] for c in token)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The labels of ids, as UTF-8; bytes that are none are replaced."""
-        out = self._joint.join(map(self.labels.__getitem__, ids.tolist()))
+        out = self._joint.join(map(self._labels.__getitem__, ids.tolist()))
         return out if self._joint else out.decode("utf-8", "replace").encode()
 
 
-_codecs: dict[str, Codec] = {}
-
-
+@lru_cache
 def codec(path: str) -> Codec:
     """The codec of a tokenizer file, compiled once in a worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return Codec(path)
+
+
+@lru_cache
+def labels(path: str) -> Labels:
+    return Labels(path)
 
 
 def _portions(batch: pa.RecordBatch, column: int, most: int):
@@ -427,7 +438,7 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches):
-        own = codec(path)
+        own = labels(path)
         for batch in batches:
             for part in _portions(batch, 2, _TOGETHER):
                 texts = [own.decode(np.frombuffer(ids, "<u4")) if ids is not None else b"" for ids in part.column(2).to_pylist()]
