@@ -18,14 +18,18 @@ from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.near_duplicates import near_duplicates
 from tidemark.llm.packing import best_fit
 from tidemark.llm.suffix_dedup import remove_repeats
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not call toxic, trained on the labelled ones it may learn from."""
     labels = table(spark, sf_dir, "labels").filter(learnable()).select("doc_id", F.col("toxic").alias("label"))
-    model = tox.train(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return tox.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    sample = tox.labelled_sample(docs, labels)
+    model = tox.train(sample)
+    release(sample)
+    # Under names of our own: documents may have columns called score or predicted.
+    scored = tox.score(docs, model, score_col="__score", predicted_col="__toxic")
+    return scored.filter(F.col("__toxic") == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
