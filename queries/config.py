@@ -157,6 +157,46 @@ def drift_report(spark, sf_dir):
     return C.drift_report(old, new)
 
 
+# Three kinds of files go bad: new ones of error events are cut short, old ones of
+# clicks say a name twice, and added ones are no JSON at all.
+_BAD_SQL = f"""{_FILES}, bad AS (
+  SELECT lower('host_' || user_id || '/' || event_id || '.json') AS file, event_type AS t FROM events
+  WHERE event_type IN ('error', 'click') OR (event_type = 'signup' AND user_id < 50)),"""
+
+
+@registry.add(
+    "drift_report_bad_files",
+    f"""{_REPORT.replace(_FILES + ",", _BAD_SQL, 1)}
+SELECT * FROM report WHERE lower(path) NOT IN (SELECT file FROM bad WHERE t <> 'signup')
+UNION ALL SELECT file, CASE t WHEN 'signup' THEN 'added' ELSE 'common' END, NULL, 'error',
+  CASE t WHEN 'click' THEN 'a name is repeated, or text follows the end' END, CASE WHEN t <> 'click' THEN 'no readable JSON' END,
+  '! Not read, ' || CASE t WHEN 'click' THEN 'old: a name is repeated, or text follows the end' ELSE 'new: no readable JSON' END FROM bad""",
+)
+def drift_report_bad_files(spark, sf_dir):
+    new, old = load(spark, sf_dir, "config_files", "old_config_files")
+    is_json = F.col("path").endswith(".json")
+    kind = F.get_json_object("content", "$.app.name")
+    cut = F.when(is_json & (kind == "error"), F.expr("left(content, length(content) - 1)")).when(is_json & (kind == "signup"), "no JSON")
+    twice = F.when(is_json & (kind == "click"), F.regexp_replace("content", '"none":', '"debug":1,"none":'))
+    damaged = lambda df, text: df.withColumn("content", F.coalesce(text, "content"))
+    return C.drift_report(damaged(old, twice), damaged(new, cut))
+
+
+@registry.add(
+    "deep_json",
+    f"""{with_frames("json_files")},
+d AS (SELECT path AS file, 25 + 475 * (hash_id % 100 = 0)::INT AS depth, content FROM (SELECT path, content, CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) AS hash_id FROM json_files))
+SELECT file, repeat('n.', depth) || 'max' AS path, 'number' AS type, content ->> '$.app.limits.max' AS value FROM d
+UNION ALL SELECT file, repeat('n.', depth) || 'tags', 'array', content ->> '$.app.limits.tags' FROM d""",
+)
+def deep_json(spark, sf_dir):
+    (files,) = load(spark, sf_dir, "json_files")
+    depth = 25 + F.when(F.regexp_extract("path", "/([0-9]+)", 1).cast("long") % 100 == 0, 475).otherwise(0)
+    inner = F.get_json_object("content", "$.app.limits")
+    nested = F.concat(F.repeat(F.lit('{"n":'), depth), inner, F.repeat(F.lit("}"), depth))
+    return C.flatten_json(files.select(F.col("path").alias("file"), nested.alias("content")), "file", "content")
+
+
 @registry.add("drift_files", f"{_REPORT}\nSELECT path, file_status, count(*) AS n_changes FROM report GROUP BY ALL")
 def drift_files(spark, sf_dir):
     new, old = load(spark, sf_dir, "config_files", "old_config_files")

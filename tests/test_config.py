@@ -36,14 +36,43 @@ def test_json_diff(spark):
     assert changes(spark, {"a.b": 1}, {"a": {"b": 1}}) == {("a.b", "removed"): ("1", None), ("a", "added"): (None, '{"b":1}')}
 
 
-def test_too_deep_is_an_error(spark):
-    nested = {"a": {"b": {"c": {"d": 1}}}}
-    other = {"a": {"b": {"c": {"d": 2}}}}
-    assert changes(spark, nested, other, max_depth=4) == {("a.b.c.d", "value"): ("1", "2")}
-    with pytest.raises(Exception, match="max_depth"):
-        changes(spark, nested, other, max_depth=2)
-    with pytest.raises(Exception, match="max_depth"):
-        C.flatten_json(docs(spark, json.dumps(nested)), "id", "content", max_depth=2).collect()
+def _nested(depth, leaf, lists=False):
+    for i in range(depth):
+        leaf = [leaf] if lists and i % 2 else {f"n{i}": leaf}
+    return leaf
+
+
+@pytest.mark.parametrize("depth", [25, 500])
+def test_any_depth(spark, depth):
+    path = ".".join(f"n{i}" for i in reversed(range(depth)))
+    wide = {f"w{i}": {"x": {}} for i in range(300)}
+    assert changes(spark, {**_nested(depth, 1), **wide}, {**_nested(depth, 2), **wide}) == {(path, "value"): ("1", "2")}
+    rows = C.flatten_json(docs(spark, json.dumps({**_nested(depth, 1), **wide})), "id", "content").collect()
+    assert len(rows) == 301 and (path, "1") in {(r.path, r.value) for r in rows}
+    secret = C.redact_json(docs(spark, json.dumps(_nested(depth, {"token": "t", "n": [[["x"]]]}, lists=True))), "id", "content").collect()
+    assert {r.path.split(".")[-1]: r.value for r in secret} == {"token": "", "0": "x"} and {len(r.path.split(".")) for r in secret} == {depth + 1, depth + 4}
+
+
+BAD = ('{"a":1', '{"a":1,"a":2}', "", "not json", '{"b":{"x":1,"x":1}}')
+
+
+def test_bad_files_do_not_stop_the_others(spark):
+    frame = docs(spark, '{"a":1}', *BAD, None)
+    assert {r.id: r.path for r in C.flatten_json(frame, "id", "content").collect() if r.path} == {0: "a"}
+    errors = {r.id: r.error for r in C.json_errors(frame, "id", "content").collect()}
+    assert set(errors) == {1, 2, 3, 4, 5} and "repeated" in errors[2] and "repeated" in errors[5] and "no readable" in errors[1]
+    assert C.json_diff(frame, docs(spark, '{"a":2}', *['{"a":1}'] * 6), "id", "content").where("id < 6").select("id", "new_value").collect() == [(0, "2")]
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, content string")
+    old = files(("a.json", '{"a":1}'), ("b.json", "{"), ("c.json", '{"k":1,"k":1}'), ("gone.json", "x"))
+    new = files(("a.json", '{"a":2}'), ("b.json", "{}"), ("c.json", "["), ("new.json", "y"))
+    report = C.drift_report(old, new)
+    assert {(r.path, r.file_status, r.change) for r in report.collect()} == {
+        ("a.json", "common", "value"), ("b.json", "common", "error"), ("c.json", "common", "error"), ("gone.json", "removed", "file"),
+        ("new.json", "added", "file"), ("new.json", "added", "error"),
+    }
+    assert {r.path: r.content for r in C.clean_files(old, new, report=report).collect()} == {"a.json": '{"a":2}', "new.json": None}
+    assert {r.path for r in C.drift_files(report).collect()} == {"a.json", "gone.json", "new.json"}
+    assert R.config_risk(files(("x.json", "{"), ("y.json", '{"debug":true}'))).collect() == [("y.json", "debug", "debug_setting")]
 
 
 SECRETS = {

@@ -1,7 +1,9 @@
 """Configuration drift: JSON and ENV files of any number of hosts.
 
 Every file is one row; its tree is taken apart inside that row's task, so the
-only shuffle is the one that brings the two versions of a file together.
+only shuffle is the one that brings the two versions of a file together. Trees
+may have any depth the JSON reader takes. A file that cannot be read is left
+out and named by `json_errors`; all others give their results.
 """
 
 from __future__ import annotations
@@ -11,10 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.columns import col
 from tidemark.functions.secrets import clean_json, is_secret
 
-# Nesting that a file may have; deeper files stop the job with an error.
-MAX_DEPTH = 20
-_TOO_DEEP = "JSON is nested deeper than max_depth"
-
 _as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
 _as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
 
@@ -33,12 +31,38 @@ def _plain(v: Column, text: Column) -> Column:
     return F.when(F.substring(text, 1, 1) == '"', F.variant_get(v, "$", "string")).otherwise(text)
 
 
-def _walk(rows: DataFrame, keep: list[str], root: Column, members, max_depth: int) -> DataFrame:
+def _parsed(text: Column) -> Column:
+    """The JSON value of a text, null where it cannot be read."""
+    return F.try_parse_json(text)
+
+
+def _readable(text: Column) -> Column:
+    return text.isNull() | _parsed(text).isNotNull()
+
+
+def _reason(text: Column) -> Column:
+    """Why a text cannot be read, null where it can."""
+    repeated = F.get_json_object(text, "$").isNotNull()
+    return F.when(~_readable(text), F.when(repeated, "a name is repeated, or text follows the end").otherwise("no readable JSON"))
+
+
+def json_errors(df: DataFrame, doc: str, content: str) -> DataFrame:
+    """(doc, error) of the texts that cannot be read as JSON."""
+    return df.select(col(doc).alias(doc), _reason(col(content)).alias("error")).where("error IS NOT NULL")
+
+
+def _levels(*texts: Column) -> Column:
+    """No text nests deeper than it opens brackets."""
+    return F.greatest(*[F.coalesce(F.regexp_count(t, F.lit(r"[\[{]")), F.lit(0)) for t in (*texts, F.lit(""))]) + 1
+
+
+def _walk(rows: DataFrame, keep: list[str], root: Column, members, levels: Column) -> DataFrame:
     """Nodes at which a tree ends, as columns of their own next to ``keep``.
 
     ``members(node)`` is the list of nodes below a node, null where the tree
-    ends. A file stays one row, taken apart level by level, until its ends are
-    all found. ``open`` marks nodes with members left after max_depth levels.
+    ends. A file stays one row, taken apart level by level, until nothing is
+    left to do; ``levels`` is as many as it can have, and those it has not
+    cost nothing.
     """
     def deeper(state: Column, _: Column) -> Column:
         level = F.transform(state["todo"], lambda n: F.struct(n.alias("node"), members(n).alias("below")))
@@ -49,21 +73,19 @@ def _walk(rows: DataFrame, keep: list[str], root: Column, members, max_depth: in
             F.array(level),
             lambda nodes: F.struct(F.concat(state["done"], ended(nodes)).alias("done"), below(nodes).alias("todo")),
         )
-        return step[0]
+        return F.when(F.size(state["todo"]) == 0, state).otherwise(step[0])
 
     start = F.struct(F.slice(F.array(root), 1, 0).alias("done"), F.array(root).alias("todo"))
-    rows = rows.select(*keep, F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, deeper).alias("tree"))
-    marked = lambda nodes, left: F.transform(
-        nodes, lambda n: F.struct(n.alias("node"), (F.lit(left) & members(n).isNotNull()).alias("open"))
-    )
-    ends = F.concat(marked(F.col("tree.done"), False), marked(F.col("tree.todo"), True))
-    return rows.select(*keep, F.inline(ends)).select(*keep, "node.*", "open")
+    rows = rows.select(*keep, F.aggregate(F.sequence(F.lit(1), levels), start, deeper).alias("tree"))
+    ends = F.transform("tree.done", lambda n: F.struct(n.alias("node")))
+    return rows.select(*keep, F.inline(ends)).select(*keep, "node.*")
 
 
-def json_leaves(df: DataFrame, doc: str, content: str, into_arrays: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+def json_leaves(df: DataFrame, doc: str, content: str, into_arrays: bool = False) -> DataFrame:
     """(doc, path, type, value) of everything that is not a non-empty object;
     path is an array of names. ``into_arrays`` also takes lists apart, with
-    the index as name. One pass over the file, whatever its depth."""
+    the index as name. One pass over the file, whatever its depth. Files that
+    cannot be read have no rows, see `json_errors`."""
     if doc == "path":
         raise ValueError("the document column must not be called path")
     below = lambda node, name, value: F.struct(F.concat(node["path"], F.array(name)).alias("path"), value.alias("v"))
@@ -76,13 +98,12 @@ def json_leaves(df: DataFrame, doc: str, content: str, into_arrays: bool = False
             found = found.when(F.size(items) > 0, F.transform(items, lambda x, i: below(node, i.cast("string"), x)))
         return found
 
-    parsed = df.select(col(doc).alias("doc"), F.parse_json(col(content)).alias("v"))
+    text = col(content)
+    parsed = df.where(_readable(text)).select(col(doc).alias("doc"), _parsed(text).alias("v"), _levels(text).alias("_levels"))
     root = F.struct(F.array().cast("array<string>").alias("path"), F.col("v").alias("v"))
-    leaves = _walk(parsed, ["doc"], root, members, max_depth).withColumn("text", F.to_json("v"))
+    leaves = _walk(parsed, ["doc"], root, members, F.col("_levels")).withColumn("text", F.to_json("v"))
     return leaves.select(
-        F.col("doc").alias(doc), "path",
-        F.when(F.col("open"), F.raise_error(F.lit(_TOO_DEEP))).otherwise(json_type(F.col("text"))).alias("type"),
-        _plain(F.col("v"), F.col("text")).alias("value"),
+        F.col("doc").alias(doc), "path", json_type(F.col("text")).alias("type"), _plain(F.col("v"), F.col("text")).alias("value")
     )
 
 
@@ -90,13 +111,13 @@ def dotted(path: Column) -> Column:
     return F.array_join(path, ".")
 
 
-def flatten_json(df: DataFrame, doc: str, content: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_json(df: DataFrame, doc: str, content: str) -> DataFrame:
     """(doc, path, type, value) of the leaves, arrays whole."""
-    return json_leaves(df, doc, content, max_depth=max_depth).withColumn("path", dotted(F.col("path")))
+    return json_leaves(df, doc, content).withColumn("path", dotted(F.col("path")))
 
 
-def _walk_pairs(pairs: DataFrame, keep: list[str], old: str, new: str, max_depth: int) -> DataFrame:
-    """Differences below two JSON texts of the same row."""
+def _walk_pairs(pairs: DataFrame, keep: list[str], old: str, new: str) -> DataFrame:
+    """Differences below two JSON texts of the same row, where both can be read."""
     def members(node: Column) -> Column:
         both = F.map_zip_with(_as_map(node["o"]), _as_map(node["n"]), lambda k, a, b: F.struct(a.alias("o"), b.alias("n")))
         return F.transform(
@@ -107,15 +128,16 @@ def _walk_pairs(pairs: DataFrame, keep: list[str], old: str, new: str, max_depth
             ),
         )
 
-    parsed = pairs.select(*keep, F.parse_json(old).alias("o"), F.parse_json(new).alias("n"))
+    o_content, n_content = F.col(old), F.col(new)
+    both = pairs.where(_readable(o_content) & _readable(n_content))
+    parsed = both.select(*keep, _parsed(o_content).alias("o"), _parsed(n_content).alias("n"), _levels(o_content, n_content).alias("_levels"))
     root = F.struct(F.array().cast("array<string>").alias("path_parts"), F.col("o").alias("o"), F.col("n").alias("n"))
-    ends = _walk(parsed, keep, root, members, max_depth)
+    ends = _walk(parsed, keep, root, members, F.col("_levels"))
     ends = ends.withColumn("o_text", F.to_json("o")).withColumn("n_text", F.to_json("n"))
     o_text, n_text = F.col("o_text"), F.col("n_text")
     o_type, n_type = json_type(o_text), json_type(n_text)
     change = (
-        F.when(F.col("open"), F.raise_error(F.lit(_TOO_DEEP)))
-        .when(F.col("o").isNull(), "added")
+        F.when(F.col("o").isNull(), "added")
         .when(F.col("n").isNull(), "removed")
         .when((o_type == "array") & (n_type == "array"), F.when(o_text != n_text, "array"))
         .when(o_text != n_text, "value")
@@ -127,28 +149,29 @@ def _walk_pairs(pairs: DataFrame, keep: list[str], old: str, new: str, max_depth
     ).where("change IS NOT NULL")
 
 
-def json_diff(old: DataFrame, new: DataFrame, doc: str, content: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def json_diff(old: DataFrame, new: DataFrame, doc: str, content: str) -> DataFrame:
     """Differences between two versions of JSON texts, by document.
 
     added and removed report a subtree once, at its top; two objects are
     compared member by member, two arrays as a whole and in order (array),
     anything else by value. Documents found on one side only are not here,
-    see `tree_diff`.
+    see `tree_diff`, nor are those of which a version cannot be read, see
+    `json_errors`.
     """
     if doc == "path":
         raise ValueError("the document column must not be called path")
     pairs = old.select(doc, F.col(content).alias("_old")).join(new.select(doc, F.col(content).alias("_new")), doc)
-    found = _walk_pairs(pairs, [doc], "_old", "_new", max_depth)
+    found = _walk_pairs(pairs, [doc], "_old", "_new")
     return found.select(doc, dotted(F.col("path_parts")).alias("path"), "change", "old_value", "new_value")
 
 
-def redact_json(df: DataFrame, doc: str, content: str, deep: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+def redact_json(df: DataFrame, doc: str, content: str, deep: bool = False) -> DataFrame:
     """Leaves of JSON texts with blank secrets, lists taken apart.
 
     A string whose own name is secret is emptied. Objects and lists under a
     secret name are left as they are, or with ``deep`` emptied throughout.
     """
-    leaves = json_leaves(df, doc, content, into_arrays=True, max_depth=max_depth)
+    leaves = json_leaves(df, doc, content, into_arrays=True)
     above = F.exists(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))), is_secret)
     own = F.coalesce(is_secret(F.element_at("path", -1)), F.lit(False)) & (F.size("path") > 0)
     secret = (own | above) if deep else (own & ~above)
@@ -232,11 +255,14 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(F.coalesce("n", "o").alias("path"), status.alias("file_status"))
 
 
-def drift_report(old: DataFrame, new: DataFrame, redact: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+def drift_report(old: DataFrame, new: DataFrame, redact: bool = True) -> DataFrame:
     """One row per change between two trees of .json and .env files (path,
     content): (path, file_status, item, change, old_value, new_value, line).
 
-    With ``redact`` secret values are blank, inside whole subtrees as well.
+    With ``redact`` secret values are blank, inside whole subtrees as well. A
+    JSON file that cannot be read on a side where it is needed has one row of
+    change ``error``, with the reasons as values; the others are reported all
+    the same.
     """
     files = _joined_files(old, new)
     one_sided = files.where("file_status <> 'common'").select(
@@ -245,7 +271,7 @@ def drift_report(old: DataFrame, new: DataFrame, redact: bool = True, max_depth:
         F.concat(F.when(F.col("file_status") == "added", "+ ").otherwise("- "), "path").alias("line"),
     )
     common = files.where("file_status = 'common'")
-    trees = _walk_pairs(common.where(F.col("path").endswith(".json")), ["path"], "old_content", "new_content", max_depth)
+    trees = _walk_pairs(common.where(F.col("path").endswith(".json")), ["path"], "old_content", "new_content")
     values = {}
     for side in ("old", "new"):
         value, kind = F.col(side + "_value"), F.col(side + "_type")
@@ -277,17 +303,27 @@ def drift_report(old: DataFrame, new: DataFrame, redact: bool = True, max_depth:
         .otherwise(from_to("Variable"))
     )
     rows = json_rows.withColumn("line", json_line).unionByName(env_rows.withColumn("line", env_line))
-    return one_sided.unionByName(rows.withColumn("file_status", F.lit("common")))
+    # A removed file is not read any more.
+    reasons = F.when(F.col("file_status") != "removed", F.struct(_reason(F.col("old_content")).alias("o"), _reason(F.col("new_content")).alias("n")))
+    unread = files.where(F.col("path").endswith(".json")).withColumn("why", reasons).where("why.o IS NOT NULL OR why.n IS NOT NULL")
+    sides = F.concat_ws(", ", F.concat(F.lit("old: "), F.col("why.o")), F.concat(F.lit("new: "), F.col("why.n")))
+    errors = unread.select(
+        "path", "file_status", F.lit(None).cast("string").alias("item"), F.lit("error").alias("change"),
+        F.col("why.o").alias("old_value"), F.col("why.n").alias("new_value"), F.concat(F.lit("! Not read, "), sides).alias("line"),
+    )
+    return one_sided.unionByName(rows.withColumn("file_status", F.lit("common"))).unionByName(errors)
 
 
 def drift_files(report: DataFrame) -> DataFrame:
-    """Changed files with the number of their changes."""
-    return report.groupBy("path", "file_status").agg(F.count("*").alias("n_changes"))
+    """Changed files with the number of their changes; files that could not be read are not among them."""
+    return report.where("change <> 'error'").groupBy("path", "file_status").agg(F.count("*").alias("n_changes"))
 
 
-def clean_files(old: DataFrame, new: DataFrame, deep: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Content of the added and changed files without secrets (path, content)."""
-    changed = drift_report(old, new, redact=False, max_depth=max_depth).where("file_status <> 'removed'")
+def clean_files(old: DataFrame, new: DataFrame, deep: bool = False, report: DataFrame | None = None) -> DataFrame:
+    """Content of the added and changed files without secrets (path, content).
+    A `drift_report` of the two trees saves comparing them again."""
+    compared = drift_report(old, new, redact=False) if report is None else report
+    changed = compared.where("file_status <> 'removed' AND change <> 'error'")
     files = new.join(changed.select("path").distinct(), "path", "left_semi")
     is_json = F.col("path").endswith(".json")
     env = F.array_join(F.transform(F.split("content", "\r\n|\r|\n"), redact_env_line), "\n")
