@@ -302,3 +302,33 @@ def diff_summary_composite_key(spark, sf_dir):
     return D.diff_summary("lineitem", src, tgt, FULL_KEY)
 
 
+
+
+@registry.add(
+    "row_changes",
+    with_frames("old_lineitem") + ",\n"
+    + diff_cte("d", "lineitem", "old_lineitem", LINE_KEY, LINEITEM, occurrence=True) + "\n" + flat_sql("d", LINE_KEY, LINEITEM) + " WHERE op <> 'S'",
+)
+def row_changes(spark, sf_dir):
+    """Changed rows only, found by digests; keys repeat."""
+    src, tgt = load(spark, sf_dir, "lineitem", "old_lineitem")
+    return flat(D.row_changes(src, tgt, LINE_KEY), LINE_KEY, LINEITEM)
+
+
+_FLAG = "l_returnflag = 'R'"
+_LINE_CELLS = lambda p="": ", ".join(f"CAST({p}{c} AS VARCHAR) AS {c}" if c == "l_shipdate" else f"{p}{c} AS {c}" for c in LINEITEM)
+
+
+@registry.add(
+    "apply_where_duplicate_keys",
+    f"""{with_frames("old_lineitem")},
+{diff_cte("d", "lineitem", "old_lineitem", LINE_KEY, LINEITEM, where=_FLAG, occurrence=True)}
+SELECT {_LINE_CELLS("s_")} FROM d WHERE op <> 'D'
+UNION ALL SELECT {_LINE_CELLS()} FROM old_lineitem WHERE ({_FLAG}) IS NOT TRUE""",
+)
+def apply_where_duplicate_keys(spark, sf_dir):
+    """Changes of part of a table with repeated keys; the other rows stay."""
+    src, tgt = load(spark, sf_dir, "lineitem", "old_lineitem")
+    changes = D.row_changes(src, tgt, LINE_KEY, D.CompareOptions(where=_FLAG))
+    applied = S.apply_changes(tgt, changes, LINE_KEY, where=_FLAG)
+    return applied.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.columns import any_of, col, lower_set, null_safe
+from tidemark.functions.columns import any_of, col, lower_set, null_safe, renamed
 from tidemark.functions.values import changed_columns, value_changed
+from tidemark.operators.digests import comparable_keys, differing_keys, differing_ranges, key_range
 from tidemark.operators.keys import largest_groups, union_all, with_occurrence
 from tidemark.operators.ranking import first_per_class
+from tidemark.session import at_once, checkpointed
 
 SUMMARY_COLUMNS = ("inserted", "deleted", "updated", "source_rows", "target_rows")
 
@@ -105,6 +107,46 @@ def row_diff(
     )
 
 
+def row_changes(
+    src: DataFrame,
+    tgt: DataFrame,
+    keys: Sequence[str],
+    options: CompareOptions = CompareOptions(),
+    by_ranges: bool = False,
+) -> DataFrame:
+    """The rows of `row_diff` that are not S, found by digests first.
+
+    One shuffle of keys and digests, combined before it, finds the keys whose
+    rows differ; they are written, and only rows of those keys are numbered,
+    joined and compared cell by cell. Rows of unchanged keys never move. The
+    written keys are as many as there are changed keys, and Spark broadcasts
+    them only where that is small.
+
+    ``by_ranges`` compares checksums of key ranges before that, so that equal
+    sides cost one scan each and no shuffle of keys: for sides that are
+    expected to be equal. Keys whose types differ between the sides cannot be
+    hashed together and take the way of `row_diff`.
+    """
+    if not keys:
+        raise ValueError("row_changes needs at least one key column")
+    src, tgt = _filtered(src, options.where), _filtered(tgt, options.where)
+    rest = replace(options, where=None)
+    if not comparable_keys(src, tgt, keys):
+        return row_diff(src, tgt, keys, rest).where("op <> 'S'")
+    compared = compared_columns(src, tgt, keys, options.ignore)
+    seen = [src, tgt]
+    if by_ranges:
+        ranges = checkpointed(differing_ranges(src, tgt, keys, compared).select(F.col("range").alias("_range")))
+        seen = [df.join(ranges, key_range(keys) == F.col("_range"), "left_semi") for df in seen]
+    found = checkpointed(differing_keys(*seen, keys, compared))
+    largest_group = 1
+    if not options.unique_keys:
+        largest_group = found.agg(F.max(F.greatest("source_rows", "target_rows"))).first()[0] or 0
+    wanted = renamed(found, keys, "_k_")
+    fetched = lambda df: df.join(wanted, null_safe((k, "_k_" + k) for k in keys), "left_semi")
+    return row_diff(fetched(src), fetched(tgt), keys, rest, largest_group).where("op <> 'S'")
+
+
 def summarize(diff: DataFrame) -> DataFrame:
     """One row of counts over a row diff."""
     rows = lambda *ops: F.coalesce(F.sum(F.col("op").isin(*ops).cast("bigint")), F.lit(0)).cast("bigint")
@@ -123,11 +165,19 @@ def diff_summary(
     tgt: DataFrame,
     keys: Sequence[str],
     options: CompareOptions = CompareOptions(),
-    largest_group: int | None = None,
+    by_ranges: bool = False,
 ) -> DataFrame:
-    """Counts and status of one table; a table without key is all zero."""
+    """Counts and status of one table; a table without key is all zero.
+    Only changed rows are compared, see `row_changes`; rows are counted by
+    scans that read no column unless there is a filter."""
     if keys:
-        counts = summarize(row_diff(src, tgt, keys, options, largest_group))
+        rows = lambda df, what: _filtered(df, options.where).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        changes = row_changes(src, tgt, keys, options, by_ranges).groupBy(F.col("op").alias("what")).agg(F.count("*").alias("n"))
+        n = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).cast("bigint")
+        counts = union_all([changes, rows(src, "source"), rows(tgt, "target")]).agg(
+            n("I").alias("inserted"), n("D").alias("deleted"), n("U").alias("updated"),
+            n("source").alias("source_rows"), n("target").alias("target_rows"),
+        ).withColumn("has_differences", F.expr("inserted + deleted + updated > 0"))
         status = F.when(F.col("has_differences"), F.lit("Different")).otherwise(F.lit("Synchronized"))
     else:
         counts = src.sparkSession.range(1).select(
@@ -169,21 +219,31 @@ def row_diffs(
     }
 
 
+def table_changes(
+    src_tables: Mapping[str, DataFrame],
+    tgt_tables: Mapping[str, DataFrame],
+    keys_by_table: Mapping[str, Sequence[str]],
+    options: CompareOptions = CompareOptions(),
+) -> dict[str, DataFrame]:
+    """`row_changes` of every table that is on both sides and has a key; the
+    jobs that find changed keys run side by side."""
+    keyed = [t for t in sorted(src_tables) if t in tgt_tables and keys_by_table.get(t)]
+    one = lambda t: lambda: row_changes(src_tables[t], tgt_tables[t], keys_by_table[t], options)
+    return dict(zip(keyed, at_once([one(t) for t in keyed])))
+
+
 def diff_summary_all(
     src_tables: Mapping[str, DataFrame],
     tgt_tables: Mapping[str, DataFrame],
     keys_by_table: Mapping[str, Sequence[str]],
     options: CompareOptions = CompareOptions(),
+    by_ranges: bool = False,
 ) -> DataFrame:
-    """`diff_summary` of every table found on both sides, as one plan."""
-    sizes = group_sizes(src_tables, tgt_tables, keys_by_table, options)
-    return union_all(
-        [
-            diff_summary(t, src_tables[t], tgt_tables[t], keys_by_table.get(t, ()), options, sizes.get(t))
-            for t in sorted(src_tables)
-            if t in tgt_tables
-        ]
-    )
+    """`diff_summary` of every table found on both sides, as one plan; the
+    jobs that find changed keys run side by side."""
+    names = [t for t in sorted(src_tables) if t in tgt_tables]
+    one = lambda t: lambda: diff_summary(t, src_tables[t], tgt_tables[t], keys_by_table.get(t, ()), options, by_ranges)
+    return union_all(at_once([one(t) for t in names]))
 
 
 def diff_detail(diff: DataFrame, keys: Sequence[str], limit_per_class: int | None = None) -> DataFrame:

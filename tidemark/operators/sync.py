@@ -12,7 +12,7 @@ from tidemark.operators.diff import (
     CompareOptions,
     diff_summary_all,
     image_type,
-    row_diffs,
+    table_changes,
 )
 from tidemark.operators.edges import FkEdge, table_levels
 from tidemark.operators.keys import largest_groups, union_all, with_occurrence
@@ -120,7 +120,7 @@ def change_feed(
     upsert: bool = False,
 ) -> DataFrame:
     """`feed_of` all keyed tables of two snapshots."""
-    diffs = row_diffs(src_tables, tgt_tables, keys_by_table, options)
+    diffs = table_changes(src_tables, tgt_tables, keys_by_table, options)
     return feed_of(diffs, keys_by_table, edges, schema, options.ignore, upsert)
 
 
@@ -235,9 +235,13 @@ def verify_sync(
     keys_by_table: Mapping[str, Sequence[str]],
     options: CompareOptions = CompareOptions(),
 ) -> DataFrame:
-    """Pass or fail per table: is there nothing left to insert, update or delete?"""
+    """Pass or fail per table: is there nothing left to insert, update or delete?
+
+    Checksums of key ranges are compared first, so sides that are equal are
+    scanned once and neither shuffled by key nor joined; a range that differs
+    is looked into key by key."""
     left = F.expr("inserted + updated + deleted")
-    return diff_summary_all(src_tables, tgt_tables, keys_by_table, options).select(
+    return diff_summary_all(src_tables, tgt_tables, keys_by_table, options, by_ranges=True).select(
         "table_name", left.alias("remaining"), (left == 0).alias("passed")
     )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return table
 
 
+def at_once(jobs: Sequence[Callable[[], object]], threads: int = 8) -> list:
+    """Results of functions that start Spark jobs, in their order. They run
+    side by side, so that small jobs fill the gaps that large ones leave."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [running.result() for running in [pool.submit(job) for job in jobs]]
+
+
 def release(*tables: DataFrame) -> None:
     """Remove checkpointed tables that nothing reads any more."""
     for table in tables:
