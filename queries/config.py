@@ -158,17 +158,17 @@ def drift_report(spark, sf_dir):
 
 
 # Three kinds of files go bad: new ones of error events are cut short, old ones of
-# clicks say a name twice, and added ones are no JSON at all.
+# clicks say a name twice, and new ones of signups, added or not, are no JSON at all.
 _BAD_SQL = f"""{_FILES}, bad AS (
-  SELECT lower('host_' || user_id || '/' || event_id || '.json') AS file, event_type AS t FROM events
-  WHERE event_type IN ('error', 'click') OR (event_type = 'signup' AND user_id < 50)),"""
+  SELECT lower('host_' || user_id || '/' || event_id || '.json') AS file, event_type AS t, event_type = 'signup' AND user_id < 50 AS is_new FROM events
+  WHERE event_type IN ('error', 'click') OR (event_type = 'signup' AND user_id < 100)),"""
 
 
 @registry.add(
     "drift_report_bad_files",
     f"""{_REPORT.replace(_FILES + ",", _BAD_SQL, 1)}
 SELECT * FROM report WHERE lower(path) NOT IN (SELECT file FROM bad WHERE t <> 'signup')
-UNION ALL SELECT file, CASE t WHEN 'signup' THEN 'added' ELSE 'common' END, NULL, 'error',
+UNION ALL SELECT file, CASE WHEN is_new THEN 'added' ELSE 'common' END, NULL, 'error',
   CASE t WHEN 'click' THEN 'a name is repeated, or text follows the end' END, CASE WHEN t <> 'click' THEN 'no readable JSON' END,
   '! Not read, ' || CASE t WHEN 'click' THEN 'old: a name is repeated, or text follows the end' ELSE 'new: no readable JSON' END FROM bad""",
 )
