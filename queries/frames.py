@@ -215,7 +215,7 @@ SELECT 'shop' AS database, lower(p_brand) AS schema,
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 FRAMES["junk_scopes"] = """
 SELECT DISTINCT upper(p_brand) AS schema, p_brand <> 'Brand#7' AS include_structure, true AS include_data FROM part
-UNION ALL SELECT DISTINCT lang, lang <> 'de', true FROM documents"""
+UNION ALL SELECT DISTINCT lang, lang <> 'de', lang <> 'fr' FROM documents"""
 
 # ---- configuration files ----------------------------------------------------
 FRAMES["json_files"] = """

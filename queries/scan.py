@@ -94,6 +94,30 @@ def dedupe_hits(spark, sf_dir):
     return records.withColumn("columns", F.array_join("columns", ", ")).withColumn("keywords", F.array_join("keywords", ", "))
 
 
+@registry.add("found_records", f"{hits_sql('token')},{_DEDUPED}\nSELECT * FROM records")
+def found_records(spark, sf_dir):
+    """Records as the scan itself puts them together, without a shuffle."""
+    records = S.found_records(_tables(spark, sf_dir), KEYS, KEYWORDS, "token")
+    return records.withColumn("columns", F.array_join("columns", ", ")).withColumn("keywords", F.array_join("keywords", ", "))
+
+
+# The schema each table is said to stand in; data of fr is not selected, nor is one that no scope names.
+SCHEMAS = {"documents": "EN", "conversations": "fr", "customer": "nowhere", "part": "de"}
+
+
+@registry.add(
+    "scan_records_scoped",
+    f"""{with_frames("junk_scopes")},
+{hits_sql('substring').removeprefix("WITH ")},
+place AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{p}')" for t, p in SCHEMAS.items())}) AS p(table_name, in_schema))
+SELECT hits.* FROM hits JOIN place USING (table_name) WHERE lower(in_schema) IN (SELECT lower(schema) FROM junk_scopes WHERE include_data)""",
+)
+def scan_records_scoped(spark, sf_dir):
+    """Hits of the tables whose schema is selected for data."""
+    (scopes,) = load(spark, sf_dir, "junk_scopes")
+    return S.scan_records(_tables(spark, sf_dir), KEYS, KEYWORDS, schemas=SCHEMAS, scopes=scopes)
+
+
 def _report(spark, sf_dir):
     everything = fk_tables(spark, sf_dir)
     scanned = _tables(spark, sf_dir)

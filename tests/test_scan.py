@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import first_keyword, keyword_test, occurrences, preview
+from tidemark.functions.text import any_keyword, first_keyword, keyword_test, keywords_found, occurrences, preview
 from tidemark.operators import junk as J, scan as S
 from tidemark.operators.edges import FkEdge
 from tidemark.plans.junk_report import junk_report
@@ -98,3 +98,49 @@ def test_report(spark):
     assert hits.count() == 5 and S.scan_records(scanned, keys, ["test"], cap=1).count() == 3
     numbers = spark.createDataFrame([(1,)], "id int")
     assert S.scan_records({"n": numbers}, {"n": ["id"]}).count() == 0
+
+
+WORDS = ["test", "Testing", "est", "", "te", "a.b", "a", "TEST", "c++", "a b", "é", "É x", "123", "(", "tes t"]
+TEXTS = [
+    "testing", "TESTING est", "a.b", "axb a b", "c++", "éÉ x", "É X", "é x", "tes test", "te-st tes t", "1234 123", "((", "", None, "\n test\n", "aa b", "a ba.b", "K\u212a test\u212a",
+]
+
+
+@pytest.mark.parametrize("match", ["token", "substring"])
+def test_all_keywords_in_one_pass(spark, match):
+    """The same as one test per keyword, also where keywords overlap."""
+    words = [w for w in WORDS if w]
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string").select(
+        "t", keywords_found(F.col("t"), WORDS, match).alias("got"), any_keyword(F.col("t"), WORDS, match).alias("some"),
+        F.array(*[F.coalesce(keyword_test(F.col("t"), w, match), F.lit(False)) for w in words]).alias("want"),
+    )
+    for r in df.collect():
+        assert r.got == [i for i, hit in enumerate(r.want) if hit], (r.t, r.got, r.want)
+        assert r.some == any(r.want)
+
+
+def test_records_need_no_shuffle(spark):
+    rows = [(1, "Test user", "a test"), (2, "real", None), (3, "tmp", "estmp")]
+    users = spark.createDataFrame(rows, "id int, name string, note string")
+    many = [f"word{i}" for i in range(400)] + ["tmp", "test"]
+    for keys in (["id"], []):
+        found = S.found_records({"users": users}, {"users": keys}, many)
+        want = S.dedupe_hits(S.scan_records({"users": users}, {"users": keys}, many))
+        assert sorted(map(repr, found.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    twice = S.found_records({"n": users.select("note").unionAll(users.select("note"))}, {}, ["test"])
+    assert twice.count() == 2
+    assert S.found_records({"n": spark.range(3)}, {"n": ["id"]}, ["test"]).count() == 0
+    assert S.found_records({"n": users}, {"n": ["id"]}, [" "]).count() == 0
+
+
+def test_data_scope(spark):
+    users = spark.createDataFrame([(1, "test")], "id int, name string")
+    scopes = spark.createDataFrame([("PUBLIC", True), ("dev", False), (None, True)], "schema string, include_data boolean")
+    tables, keys = {"a": users, "b": users, "c": users}, {"a": ["id"], "b": ["id"], "c": ["id"]}
+    schemas = {"a": "public", "b": "Dev"}
+    assert set(S.data_scope(tables, schemas, scopes)) == {"a"}
+    assert [r.table_name for r in S.scan_records(tables, keys, schemas=schemas, scopes=scopes).collect()] == ["a"]
+    assert S.scan_records(tables, keys, schemas={"a": "dev"}, scopes=scopes).count() == 0
+    found = junk_report(tables, keys, [FkEdge("b", ("id",), "a", ("id",))], tables, ["test"], schemas=schemas, scopes=scopes)
+    assert [(r.table_name, r.cascade) for r in found.report.collect()] == [("a", "1t × 1r")]

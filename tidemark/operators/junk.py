@@ -65,7 +65,8 @@ def scan_catalog(
 
     A schema that matches by name or comment is reported once and its members
     are not looked at. Names with the system prefix are left out. ``scopes``
-    (schema, include_structure, include_data) limits the schemas.
+    (schema, include_structure) limits the schemas; include_data is for the
+    records, see `data_scope` in scan.py.
     """
     objects = _in_scope(objects, scopes, "include_structure")
     said = lambda what, c: F.concat(F.lit(what + " contains junk: "), first_keyword(F.col(c), keywords))

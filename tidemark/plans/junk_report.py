@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.columns import any_of, col
-from tidemark.functions.text import clean_keywords, keyword_test, preview
+from tidemark.functions.text import any_keyword, preview
 from tidemark.operators.cascade import cascade_impact, cascade_rollup
 from tidemark.operators.edges import FkEdge
-from tidemark.operators.scan import DEFAULT_KEYWORDS, dedupe_hits, scan_records, text_columns
+from tidemark.operators.scan import DEFAULT_KEYWORDS, data_scope, found_records, text_columns
 
 
 @dataclass(frozen=True)
@@ -26,8 +26,7 @@ class JunkReport:
 
 def matching_rows(df: DataFrame, keywords: Sequence[str], match: str = "substring") -> DataFrame:
     """Rows of which a text column holds a keyword."""
-    tests = [keyword_test(col(c), k, match) for c in text_columns(df) for k in clean_keywords(keywords)]
-    return df.where(F.coalesce(any_of(F.coalesce(t, F.lit(False)) for t in tests), F.lit(False)))
+    return df.where(any_of(any_keyword(col(c), keywords, match) for c in text_columns(df)))
 
 
 def junk_report(
@@ -39,13 +38,19 @@ def junk_report(
     match: str = "substring",
     max_depth: int | None = None,
     expand_cap: int | None = None,
+    schemas: Mapping[str, str] | None = None,
+    scopes: DataFrame | None = None,
 ) -> JunkReport:
     """Scan ``tables`` and follow the records found through ``all_tables``.
 
     Every table is read once for the scan and, where foreign keys point at
-    it, once more for the rows to follow; hits are not joined back.
+    it, once more for the rows to follow; hits are not joined back. ``scopes``
+    selects the tables to scan by their schema, as in `scan_records`; the
+    cascade goes wherever foreign keys lead.
     """
-    records = dedupe_hits(scan_records(tables, keys, keywords, match))
+    records = found_records(tables, keys, keywords, match, schemas, scopes)
+    if scopes is not None:
+        tables = data_scope(tables, schemas or {}, scopes)
     parents = {e.parent for e in edges}
     roots = {t: matching_rows(df, keywords, match) for t, df in tables.items() if t in parents and keys.get(t)}
     impact = cascade_impact(roots, edges, all_tables, keys, max_depth, expand_cap) if roots else None
