@@ -254,6 +254,31 @@ def schema_change_plan_objects(spark, sf_dir):
     return plan.where("kind <> 'Table'").select("database", "kind_rank", "kind", "object_name", "diff_type")
 
 
+@registry.add(
+    "schema_change_plan_owners",
+    f"""{_PLAN},
+own AS (SELECT database, table_name, 4 AS s, '' AS column_name, 0 AS position,
+    'ALTER TABLE IF EXISTS public."' || table_name || '" OWNER TO "admin";' AS text FROM t WHERE diff_type = 'Common' AND length(table_name) % 2 = 0),
+every AS (SELECT * FROM al UNION ALL SELECT * FROM own)
+SELECT database, table_name AS object_name, string_agg(text, chr(10) ORDER BY s, column_name, position) AS diff_script FROM every GROUP BY database, table_name""",
+)
+def schema_change_plan_owners(spark, sf_dir):
+    """Altered tables where some have another owner, with or without other changes."""
+    src, tgt = _sides(spark, sf_dir)
+    empty = F.lit(None).cast("string")
+
+    def owners(catalog, owner):
+        tables = catalog.select("database", "schema", F.col("table_name").alias("name")).distinct()
+        return tables.select(
+            "database", "schema", F.lit("Table").alias("kind"), "name", empty.alias("parent"), empty.alias("definition"),
+            empty.alias("comment"), owner.alias("owner"),
+        )
+
+    new = owners(src, F.when(F.length("name") % 2 == 0, "admin").otherwise("app"))
+    plan = O.schema_change_plan(src, tgt, new, owners(tgt, F.lit("app")), include_owner=True)
+    return plan.where("diff_type = 'Altered'").select("database", "object_name", "diff_script")
+
+
 @registry.add("verify_schema", f"{_PLAN}\nSELECT count(*) AS remaining, count(*) = 0 AS passed FROM plan")
 def verify_schema(spark, sf_dir):
     return O.verify_schema(_plan(spark, sf_dir))

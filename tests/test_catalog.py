@@ -105,6 +105,22 @@ def test_object_changes(spark):
     assert [r.name for r in O.owner_diff(src, tgt).collect()] == ["same"]
 
 
+def test_owners_of_tables(spark):
+    rows = lambda *tables: catalog(spark, [(t, *ID) for t in tables])
+    owners = lambda **o: objects(spark, [("Table", t, None, None, owner) for t, owner in o.items()])
+    src, tgt = rows("kept", "moved", "new"), rows("kept", "moved", "gone")
+    new, old = owners(kept="a", moved="b", new="c"), owners(kept="a", moved="a", gone="a")
+    plan = lambda **o: {(r.object_name, r.diff_type): r.diff_script for r in O.schema_change_plan(src, tgt, new, old, **o).collect()}
+    changed = plan(include_owner=True)
+    assert changed[("moved", "Altered")] == 'ALTER TABLE IF EXISTS public."moved" OWNER TO "b";'
+    assert set(changed) == {("moved", "Altered"), ("new", "Added"), ("gone", "ExistingInTarget")}
+    assert ("moved", "Altered") not in plan()
+    # A schema that is called otherwise on the target.
+    dev = src.withColumn("schema", F.lit("dev"))
+    both = O.owner_diff(new.withColumn("schema", F.lit("dev")), old, src_schema="dev")
+    assert [r.name for r in both.collect()] == ["moved"] and dev.count() == 3
+
+
 def test_catalog_of_frames(spark):
     df = spark.sql("select 1 as a, 'x' as b, cast(1.5 as decimal(8,2)) as c, array(1) as d, timestamp_ntz'2024-01-01 00:00:00' as e")
     rows = C.catalog_of({"t": df}, "db").orderBy("ordinal").collect()

@@ -159,15 +159,18 @@ def object_diff(
     )
 
 
-def owner_diff(src: DataFrame, tgt: DataFrame, tgt_schema: str = "public", src_schema: str | None = None) -> DataFrame:
-    """Objects on both sides whose owner differs, with the ownership statement."""
+def owner_diff(
+    src: DataFrame, tgt: DataFrame, tgt_schema: str = "public", src_schema: str | None = None, with_place: bool = False
+) -> DataFrame:
+    """Objects on both sides whose owner differs, with the ownership statement;
+    ``with_place`` adds the schema they are compared in (in_schema)."""
     names = ["database", "kind", "name"]
     both = src.select(*names, *_place(src, src_schema, tgt_schema), F.col("owner").alias("source_owner")).join(
         tgt.select(*names, *_place(tgt), F.col("owner").alias("target_owner")), [*names, "in_schema", "of_table"]
     )
     text = _by_kind(OWNERS, s=F.lit(tgt_schema), n=F.col("name"), o=F.col("source_owner"))
     return both.where("source_owner <> target_owner").select(
-        *names, "source_owner", "target_owner", F.ltrim(F.coalesce(text, F.lit("")), F.lit("\n")).alias("diff_script")
+        *names, *(["in_schema"] if with_place else []), "source_owner", "target_owner", F.ltrim(F.coalesce(text, F.lit("")), F.lit("\n")).alias("diff_script")
     )
 
 
@@ -204,6 +207,20 @@ def _leveled(tables: DataFrame, src_edges: DataFrame | None, tgt_edges: DataFram
     return tables.join(levels.select("node.*", "level"), ["diff_type", "database", "table_name"])
 
 
+def _owner_lines(
+    src_objects: DataFrame, tgt_objects: DataFrame, tables: DataFrame, tgt_schema: str, src_schema: str | None
+) -> DataFrame:
+    """A last line for every table on both sides that has another owner."""
+    of_tables = lambda df: df.where("kind = 'Table'")
+    schema = F.when(F.col("in_schema") == tgt_schema, src_schema).otherwise(F.col("in_schema")) if src_schema else F.col("in_schema")
+    changed = owner_diff(of_tables(src_objects), of_tables(tgt_objects), tgt_schema, src_schema, with_place=True)
+    line = F.struct(F.lit(4).alias("s"), F.lit("").alias("column_name"), F.lit(0).alias("position"), F.col("diff_script").alias("text"))
+    # Catalogs name tables by the schema they stand in on their side.
+    named = changed.select("database", F.array_distinct(F.array("in_schema", schema)).alias("_in"), F.col("name").alias("table_name"), line.alias("_line"))
+    spread = named.select("database", F.explode("_in").alias("schema"), "table_name", "_line")
+    return tables.where("diff_type = 'Common'").select(*TABLE).join(spread, list(TABLE))
+
+
 def schema_change_plan(
     src_catalog: DataFrame,
     tgt_catalog: DataFrame,
@@ -217,6 +234,8 @@ def schema_change_plan(
 ) -> DataFrame:
     """All drift in the order it is to be run: kinds in their fixed order,
     tables as added (parents first), removed (children first) and altered.
+    With ``include_owner`` the Table rows of the objects give the owners of
+    tables: another owner alters a table, as its last statement.
 
     The order is in the columns `PLAN_ORDER`; sort at the sink.
     """
@@ -233,10 +252,12 @@ def schema_change_plan(
     )
     dropped = filled('DROP TABLE IF EXISTS {s}."{n}" CASCADE;', s=F.lit(tgt_schema), n=F.col("table_name"))
     section = F.when(F.col("change") == "ADD", 1).when(F.col("change") == "DROP", 2).otherwise(3)
-    lines = F.sort_array(
-        F.collect_list(F.struct(section.alias("s"), "column_name", "position", alter_statement(tgt_schema).alias("text")))
+    changes = column_diff(src_catalog, tgt_catalog).select(
+        *TABLE, F.struct(section.alias("s"), "column_name", "position", alter_statement(tgt_schema).alias("text")).alias("_line")
     )
-    altered = column_diff(src_catalog, tgt_catalog).groupBy(*TABLE).agg(lines.alias("_l"))
+    if object_options.get("include_owner") and src_objects is not None and tgt_objects is not None:
+        changes = changes.unionByName(_owner_lines(src_objects, tgt_objects, tables, tgt_schema, object_options.get("src_schema")))
+    altered = changes.groupBy(*TABLE).agg(F.sort_array(F.collect_list("_line")).alias("_l"))
     plan = (
         table_rows(added.join(ddl, list(TABLE)), 1, F.col("level"), "Added", F.col("ddl"))
         .unionByName(table_rows(removed, 2, -F.col("level"), "ExistingInTarget", dropped))
