@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queries import Registry
 from queries.frames import load, with_frames
 from tidemark.functions.types import display_type, normalize_type
-from tidemark.operators import catalog as C, objects as O, risk as R
+from tidemark.operators import alignment as A, catalog as C, objects as O, risk as R
 
 registry = Registry()
 
@@ -311,3 +311,31 @@ UNION ALL SELECT doc_id, line, 'same', least(cs, ct), fs FROM g WHERE cs > 0 AND
 )
 def line_diff(spark, sf_dir):
     return O.line_diff(*load(spark, sf_dir, "documents", "old_documents"), "doc_id", "text")
+
+
+@registry.add(
+    "line_alignment",
+    """WITH s AS (SELECT o_custkey, o_orderpriority = '1-URGENT' AS moved, o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') AS kept, o_orderpriority <> '2-HIGH' AS there, o_orderkey FROM orders),
+c AS (SELECT *, count(*) FILTER (kept) OVER w + count(*) FILTER (moved) OVER (PARTITION BY o_custkey) - count(*) FILTER (moved) OVER w AS n
+      FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey, greatest(max(n), count(*) FILTER (moved)) AS n_same, count(*) AS n_source, count(*) FILTER (there) AS n_target FROM c GROUP BY o_custkey""",
+)
+def line_alignment(spark, sf_dir):
+    """One text per customer, a line per order. In the old version urgent
+    orders stand last, low ones read differently and high ones are missing;
+    the most lines that keep their order are those kept before some place and
+    those moved behind it."""
+    (orders,) = load(spark, sf_dir, "orders")
+    priority = F.col("o_orderpriority")
+    line = F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderstatus")
+    old_line = F.when(priority != "2-HIGH", F.when(priority == "5-LOW", F.concat(line, F.lit(" x"))).otherwise(line))
+
+    def text(place, of_line):
+        lines = F.array_sort(F.collect_list(F.when(of_line.isNotNull(), F.struct(place.alias("p"), "o_orderkey", of_line.alias("l")))))
+        joined = F.array_join(F.transform(lines, lambda r: r["l"]), "\n")
+        return orders.groupBy("o_custkey").agg(F.when(F.size(lines) > 0, joined).alias("text"))
+
+    found = A.line_alignment(text(F.lit(0), line), text((priority == "1-URGENT").cast("int"), old_line), "o_custkey", "text")
+    return found.groupBy("o_custkey").agg(
+        F.count(F.when(F.col("kind") == "same", 1)).alias("n_same"), F.count("source_line").alias("n_source"), F.count("target_line").alias("n_target"),
+    )
