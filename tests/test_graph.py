@@ -139,3 +139,18 @@ def test_cascade_with_column_names_of_its_own(spark):
     assert sorted((r.depth, r.child_table, r.n_rows, r.predicate) for r in impact.collect()) == [
         (1, "c", 2, '"root_key" = 1'), (2, "g", 1, '"depth" = 8'), (2, "g", 2, '"depth" = 7'),
     ]
+
+
+def test_few_rows_do_not_move_their_children(spark):
+    """A child table is read by the keys of the frontier, once for all its foreign keys."""
+    parents = spark.range(3).select(F.col("id").alias("k"))
+    others = spark.range(2).select(F.col("id").cast("string").alias("name"))
+    child = spark.range(1000).select("id", (F.col("id") % 5).alias("k"), F.when(F.col("id") < 10, (F.col("id") % 4).cast("int")).alias("other"))
+    edges = [FkEdge("c", ("k",), "p", ("k",)), FkEdge("c", ("other",), "o", ("name",))]
+    tables, keys = {"p": parents, "o": others, "c": child}, {"p": ["k"], "o": ["name"], "c": ["id"]}
+    roots = {"p": parents, "o": others}
+    started = {t: C._start(t, rows, edges, keys, tables) for t, rows in roots.items()}
+    plan = C._met("c", edges, started, tables, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+    got = {(r.root_table, r.parent_key): r.n_rows for r in C.cascade_impact(roots, edges, tables, keys).collect()}
+    assert got == {("p", f'{{"k":{i}}}'): 200 for i in range(3)} | {("o", f'{{"name":"{i}"}}'): 3 for i in range(2)}

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.columns import all_of, col, json_image, null_safe, renamed
+from tidemark.functions.columns import all_of, any_of, col, json_image, null_safe, renamed
 from tidemark.functions.values import key_predicate, sql_name
 from tidemark.operators.edges import FkEdge, table_levels
 from tidemark.operators.keys import union_all
@@ -53,12 +53,39 @@ def _start(table: str, rows: DataFrame, edges: Sequence[FkEdge], keys: Keys, tab
 CHILD = "child."
 
 
-def _groups(frontier: DataFrame, edge: FkEdge, tables: Tables, depth: int) -> DataFrame:
+def _mark(edge: FkEdge) -> str:
+    return "met." + ",".join([edge.parent, *edge.parent_cols, "", *edge.child_cols])
+
+
+def _met(
+    table: str, arriving: Sequence[FkEdge], frontier: Tables, tables: Tables, columns: Sequence[str]
+) -> DataFrame:
+    """Rows of a table that hang on the frontier by one of the foreign keys
+    arriving at it, with a mark per key. The table is read once for all of
+    them, and each is met by the distinct values of the frontier, which Spark
+    broadcasts where they are few, so that the table itself does not move."""
+    child = tables[table]
+    names = list(dict.fromkeys([*(c for e in arriving for c in e.child_cols), *columns]))
+    rows = renamed(child, names, CHILD)
+    for e in arriving:
+        # Where types differ this may let too much through; the join with the frontier is exact.
+        value = lambda p, c: col(p, "ref_").try_cast(child.schema[c].dataType)
+        wanted = frontier[e.parent].select(*[value(p, c).alias("_to_" + c) for p, c in zip(e.parent_cols, e.child_cols)])
+        wanted = wanted.where(all_of(col(c).isNotNull() for c in wanted.columns)).distinct().withColumn(_mark(e), F.lit(True))
+        rows = rows.join(wanted, all_of(col(c, CHILD) == col("_to_" + c) for c in e.child_cols), "left_outer")
+        rows = rows.drop(*["_to_" + c for c in e.child_cols])
+    return rows.where(any_of(col(_mark(e)).isNotNull() for e in arriving))
+
+
+def _counts(met: DataFrame, edge: FkEdge) -> DataFrame:
+    """Rows met through one foreign key, by its values."""
+    return met.where(col(_mark(edge)).isNotNull()).groupBy(*[col(c, CHILD) for c in edge.child_cols]).agg(F.count("*").alias("n_rows"))
+
+
+def _groups(frontier: DataFrame, edge: FkEdge, tables: Tables, counts: DataFrame, depth: int) -> DataFrame:
     """Child rows per frontier row. Children are counted per foreign-key value
     before the join, so a parent with very many children is one row there."""
     child = tables[edge.child]
-    fk = [col(c).alias(CHILD + c) for c in edge.child_cols]
-    counts = child.where(all_of(col(c).isNotNull() for c in edge.child_cols)).groupBy(*fk).agg(F.count("*").alias("n_rows"))
     on = all_of(col(p, "ref_") == col(c, CHILD) for p, c in zip(edge.parent_cols, edge.child_cols))
     return frontier.join(counts, on).select(
         *ROOT,
@@ -94,14 +121,15 @@ def _on_cycles(edges: Sequence[FkEdge]) -> set[str]:
     return {t for t, known in reach.items() if t in known}
 
 
-def _followed(groups: DataFrame, edge: FkEdge, edges: Sequence[FkEdge], tables: Tables, keys: Keys, cap: int | None) -> DataFrame:
+def _followed(
+    groups: DataFrame, edge: FkEdge, edges: Sequence[FkEdge], tables: Tables, keys: Keys, met: DataFrame, cap: int | None
+) -> DataFrame:
     """Child rows of the groups small enough to follow."""
     if cap is not None:
         groups = groups.where(F.col("n_rows") <= cap)
     groups = groups.select(*ROOT, "n_paths", *[col(c, "fk_") for c in edge.child_cols])
-    child = renamed(tables[edge.child], tables[edge.child].columns, CHILD)
     on = all_of(col(c, "fk_") == col(c, CHILD) for c in edge.child_cols)
-    return child.join(groups, on).select(
+    return met.where(col(_mark(edge)).isNotNull()).join(groups, on).select(
         *ROOT, "n_paths", *_frontier_columns(edge.child, edges, keys, tables, CHILD)
     )
 
@@ -110,7 +138,8 @@ def fk_impact(table: str, rows: DataFrame, edges: Sequence[FkEdge], tables: Tabl
     """Per row of the table and foreign key on it: the number of child rows.
     Keys without children have no row."""
     start = _start(table, rows, edges, keys, tables)
-    return union_all([_impact(_groups(start, e, tables, 1), e) for e in edges if e.parent == table])
+    one = lambda e: _counts(_met(e.child, [e], {table: start}, tables, ()), e)
+    return union_all([_impact(_groups(start, e, tables, one(e), 1), e) for e in edges if e.parent == table])
 
 
 def fk_children(rows: DataFrame, edge: FkEdge, tables: Tables, keys: Keys, limit: int | None = None) -> DataFrame:
@@ -141,24 +170,35 @@ def cascade_impact(
     of ways in which the parent row is reached from the root. In tables that
     foreign keys lead back to, a row is followed once for each root.
     """
-    frontier = {t: _start(t, rows, edges, keys, tables) for t, rows in roots.items()}
+    frontier = {t: checkpointed(_start(t, rows, edges, keys, tables)) for t, rows in roots.items()}
     parents = {e.parent for e in edges}
     cyclic = _on_cycles(edges)
     seen = {t: checkpointed(frontier[t].select(*ROOT, "row_key")) for t in frontier if t in cyclic}
     impacts = []
     for depth in count(1):
         last = depth == max_depth
-        reached = defaultdict(list)
+        reached, arriving = defaultdict(list), defaultdict(list)
         for e in edges:
-            if e.parent not in frontier:
-                continue
-            groups = _groups(frontier[e.parent], e, tables, depth)
-            kept = F.lit(True)
-            if e.child in parents:
-                kept = F.lit(False) if last else kept if expand_cap is None else F.col("n_rows") <= expand_cap
-            impacts.append(_impact(groups, e).withColumn("followed", kept))
-            if not last and e.child in parents:
-                reached[e.child].append(_followed(groups, e, edges, tables, keys, expand_cap))
+            if e.parent in frontier:
+                arriving[e.child].append(e)
+        for table, through in arriving.items():
+            follow = table in parents and not last
+            columns = [*_row(table, keys, tables), *_references(table, edges)] if follow else ()
+            met = _met(table, through, frontier, tables, columns)
+            # Written once: counts and the next frontier come from it.
+            if follow or len(through) > 1:
+                met = checkpointed(met)
+                counts = [_counts(met, e) for e in through]
+            else:
+                counts = [checkpointed(_counts(met, e)) for e in through]
+            for e, counted in zip(through, counts):
+                groups = _groups(frontier[e.parent], e, tables, counted, depth)
+                kept = F.lit(True)
+                if table in parents:
+                    kept = F.lit(False) if last else kept if expand_cap is None else F.col("n_rows") <= expand_cap
+                impacts.append(_impact(groups, e).withColumn("followed", kept))
+                if follow:
+                    reached[table].append(_followed(groups, e, edges, tables, keys, met, expand_cap))
         frontier = {}
         for table, frames in reached.items():
             rows = union_all(frames)
