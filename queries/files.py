@@ -12,6 +12,8 @@ from queries.lines import _CLEAN, _SEVERITY
 from queries.sqltext import CUSTOMER, ORDERS, diff_cte
 from queries.tables import _feed
 from tidemark.operators import sync as S
+from tidemark.operators.digests import differing_ranges
+from tidemark.operators.keys import union_all
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import files as X, snapshots as P
 from tidemark.streaming import logs as T
@@ -55,6 +57,23 @@ def export_snapshot(spark, sf_dir):
     return P.export_snapshot(dict(zip(_EXPORTED, load(spark, sf_dir, *_EXPORTED))), _folder(spark))
 
 
+@registry.add("read_export", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, 0 AS ranges_that_differ FROM {t}" for t in _EXPORTED))
+def read_export(spark, sf_dir):
+    """An export read back by its manifest and held against the tables."""
+    path, tables = _folder(spark), dict(zip(_EXPORTED, load(spark, sf_dir, *_EXPORTED)))
+    P.export_snapshot(tables, path)
+    back = P.read_export(spark, path)
+
+    def held(table):
+        source, copy = tables[table], back[table]
+        differ = differing_ranges(source, copy, source.columns, ()).agg(F.lit(0).cast("bigint").alias("n_rows"), F.count("*").alias("n"))
+        rows = copy.agg(F.count("*").alias("n_rows"), F.lit(0).cast("bigint").alias("n"))
+        both = differ.unionByName(rows).agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("ranges_that_differ"))
+        return both.select(F.lit(table).alias("table_name"), "*")
+
+    return union_all([held(t) for t in _EXPORTED])
+
+
 @registry.add("read_snapshot", "SELECT o_orderstatus, count(*) AS n_rows FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus")
 def read_snapshot(spark, sf_dir):
     orders = P.read_snapshot(spark, sf_dir, ["orders"], "o_orderstatus <> 'P'", suffix=".parquet")["orders"]

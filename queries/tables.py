@@ -9,7 +9,9 @@ from queries.frames import load, with_frames
 from queries.sqltext import CUSTOMER, CUSTOMER_KINDS, ORDERS, ORDERS_KINDS, PART, diff_cte, dml, summary
 from tidemark.operators import diff as D, inventory as I, risk as R, sync as S
 from tidemark.operators.edges import FkEdge
+from tidemark.operators.keys import union_all
 from tidemark.plans.release import compare_release
+from tidemark.session import checkpointed
 
 registry = Registry()
 KEYS = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "part": ["p_partkey"], "supplier": []}
@@ -74,15 +76,22 @@ def change_feed(spark, sf_dir):
     return S.ordered_feed(_feed(spark, sf_dir)).withColumn("changed_columns", F.array_join("changed_columns", ","))
 
 
-@registry.add("apply_feed", "SELECT 'S' AS after_apply, count(*) AS n_rows FROM customer")
+@registry.add(
+    "apply_feed",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, 'S' AS after_apply, count(*) AS n_rows FROM {t}" for t in ("customer", "orders", "part")),
+)
 def apply_feed(spark, sf_dir):
-    """The feed read back, applied, and compared with the source again."""
+    """The feed of all keyed tables read back, applied, and compared with the source again."""
     src, tgt = _sides(spark, sf_dir)
-    feed = S.change_feed(src, tgt, KEYS, [EDGE])
-    changes = S.feed_changes(feed, "customer", src["customer"], tgt["customer"], KEYS["customer"])
-    applied = S.apply_changes(tgt["customer"], changes, KEYS["customer"])
-    left = D.row_diff(src["customer"], applied, KEYS["customer"])
-    return left.groupBy(F.col("op").alias("after_apply")).agg(F.count("*").alias("n_rows"))
+    feed = checkpointed(S.change_feed(src, tgt, KEYS, [EDGE]))
+
+    def left(table):
+        changes = S.feed_changes(feed, table, src[table], tgt[table], KEYS[table])
+        applied = S.apply_changes(tgt[table], changes, KEYS[table])
+        diff = D.row_diff(src[table], applied, KEYS[table])
+        return diff.groupBy(F.lit(table).alias("table_name"), F.col("op").alias("after_apply")).agg(F.count("*").alias("n_rows"))
+
+    return union_all([left(t) for t in sorted(KEYS) if KEYS[t]])
 
 
 def _inventory(spark, sf_dir, with_summaries=False):
@@ -202,16 +211,18 @@ def change_risk(spark, sf_dir):
 SELECT 'summary' AS part, table_name, status AS op, source_rows AS n_rows FROM ({summary('customer', 'dc')} UNION ALL {summary('orders', 'dor')} UNION ALL {summary('part', 'dp')})
 UNION ALL SELECT 'feed', 'customer', op, count(*) FROM dc WHERE op <> 'S' GROUP BY op
 UNION ALL SELECT 'feed', 'orders', op, count(*) FROM dor WHERE op <> 'S' GROUP BY op
-UNION ALL SELECT 'applied', 'orders', '', count(*) FROM orders""",
+UNION ALL SELECT 'applied', 'customer', '', count(*) FROM customer UNION ALL SELECT 'applied', 'orders', '', count(*) FROM orders
+UNION ALL SELECT 'applied', 'part', '', count(*) FROM part""",
 )
 def release_plan(spark, sf_dir):
-    """Summary, feed and resulting table from diffs that are run once."""
+    """Summary, feed and resulting tables from diffs that are run once."""
     src, tgt = _sides(spark, sf_dir)
     release = compare_release(src, tgt, KEYS)
     feed = release.feed([EDGE]).groupBy("table_name", "op").agg(F.count("*").alias("n_rows"))
-    applied = release.applied("orders", tgt["orders"]).agg(F.count("*").alias("n_rows"))
+    rows = lambda t: release.applied(t, tgt[t]).agg(F.lit(t).alias("table_name"), F.lit("").alias("op"), F.count("*").alias("n_rows"))
+    applied = union_all([rows(t) for t in sorted(release.diffs)])
     return (
         release.summary().select(F.lit("summary").alias("part"), "table_name", F.col("status").alias("op"), F.col("source_rows").alias("n_rows"))
         .unionAll(feed.select(F.lit("feed"), "table_name", "op", "n_rows"))
-        .unionAll(applied.select(F.lit("applied"), F.lit("orders"), F.lit(""), "n_rows"))
+        .unionAll(applied.select(F.lit("applied"), "table_name", "op", "n_rows"))
     )

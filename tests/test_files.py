@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.risk import change_risk
@@ -73,3 +74,23 @@ def test_change_risk(spark):
     assert got[("users", "sensitive_value", "password")] == (2, True)
     assert got[("users", "unusual_null", "note")] == (1, True)
     assert got[("posts", "orphan", "user_id -> users")] == (1, True)
+
+
+def test_exports_are_read_by_their_manifest(spark, tmp_path):
+    path = str(tmp_path / "out")
+    tables = {"a": spark.range(10), "b": spark.sql("SELECT 1 AS x, CAST(NULL AS STRING) AS y"), "none": spark.range(0)}
+    assert {r.table_name: r.n_rows for r in P.export_snapshot(tables, path).collect()} == {"a": 10, "b": 1, "none": 0}
+    back = P.read_export(spark, path)
+    assert {t: sorted(df.collect()) for t, df in back.items()} == {t: sorted(df.collect()) for t, df in tables.items()}
+    assert all(back[t].dtypes == df.dtypes for t, df in tables.items())
+    # Rows that came later, and an export that was broken off.
+    spark.range(1).write.mode("append").parquet(f"{path}/a")
+    with pytest.raises(ValueError, match="a has 11 rows, not 10"):
+        P.read_export(spark, path)
+    broken = spark.range(5).select(F.raise_error(F.lit("stopped")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        P.export_snapshot({"a": spark.range(3), "b": broken}, path, "overwrite")
+    with pytest.raises(Exception, match="(?i)path.*not.*exist"):
+        P.read_export(spark, path)
+    P.export_snapshot({"a": spark.range(3)}, path, "overwrite")
+    assert set(P.read_export(spark, path)) == {"a"}

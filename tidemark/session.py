@@ -69,9 +69,13 @@ def at_once(jobs: Sequence[Callable[[], object]], threads: int = 8) -> list:
         return [running.result() for running in [pool.submit(job) for job in jobs]]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever Spark's files are; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Remove checkpointed tables that nothing reads any more."""
     for table in tables:
-        spark, path = table.sparkSession, table.checkpoint_path
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        remove(table.sparkSession, table.checkpoint_path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from tidemark.session import at_once, remove
 
 MANIFEST = "_manifest"
 
@@ -46,14 +49,38 @@ def write_script(feed: DataFrame, path: str, order: Sequence[str], mode: str = "
 
 
 def export_snapshot(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> DataFrame:
-    """Write every table as parquet and a manifest of the rows written. The
-    rows are counted by the writes themselves."""
-    counts = []
-    for table, df in sorted(tables.items()):
-        seen = Observation(f"rows of {table}")
-        df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode(mode).parquet(f"{path}/{table}")
-        counts.append((table, seen.get["n_rows"]))
+    """Write every table as parquet, side by side, and last of all a manifest:
+    table_name, n_rows as read back from the written files, and columns.
+
+    An export without manifest is not complete. ``overwrite`` removes the old
+    manifest before it touches a table, so that a manifest never stands beside
+    tables of another export.
+    """
+    if not tables:
+        raise ValueError("there is no table to export")
     spark = next(iter(tables.values())).sparkSession
-    manifest = spark.createDataFrame(counts, "table_name string, n_rows bigint")
-    manifest.coalesce(1).write.mode(mode).parquet(f"{path}/{MANIFEST}")
-    return manifest
+    manifest = f"{path}/{MANIFEST}"
+    if mode == "overwrite":
+        remove(spark, manifest)
+
+    def written(table: str, df: DataFrame):
+        df.write.mode(mode).parquet(f"{path}/{table}")
+        columns = df.schema.json()
+        return table, spark.read.schema(df.schema).parquet(f"{path}/{table}").count(), columns
+
+    rows = at_once([lambda t=t, df=df: written(t, df) for t, df in sorted(tables.items())])
+    spark.createDataFrame(rows, "table_name string, n_rows bigint, columns string").coalesce(1).write.mode(mode).parquet(manifest)
+    return spark.read.parquet(manifest).select("table_name", "n_rows")
+
+
+def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a complete export, with the columns they were written
+    with. One without manifest, or with other rows than it names, is refused."""
+    named = spark.read.parquet(f"{path}/{MANIFEST}").collect()
+    read = lambda r: spark.read.schema(T.StructType.fromJson(json.loads(r.columns))).parquet(f"{path}/{r.table_name}")
+    tables = {r.table_name: read(r) for r in named}
+    counts = at_once([df.count for df in tables.values()])
+    wrong = [f"{r.table_name} has {n} rows, not {r.n_rows}" for r, n in zip(named, counts) if n != r.n_rows]
+    if wrong:
+        raise ValueError("the export is not what its manifest says: " + "; ".join(wrong))
+    return tables
