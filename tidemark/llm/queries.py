@@ -25,7 +25,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.suffix_dedup import remove_repeats
 
     done = remove_repeats(table(spark, sf_dir, "documents"), length=400, columns=["doc_id", "text"])
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeat"))
 
 
 @registry.add("op1_token_files")
