@@ -154,3 +154,14 @@ def test_few_rows_do_not_move_their_children(spark):
     assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
     got = {(r.root_table, r.parent_key): r.n_rows for r in C.cascade_impact(roots, edges, tables, keys).collect()}
     assert got == {("p", f'{{"k":{i}}}'): 200 for i in range(3)} | {("o", f'{{"name":"{i}"}}'): 3 for i in range(2)}
+
+
+def test_levels_are_one_scan(spark):
+    """The plan does not grow with the depth of the graph."""
+    for n in (3, 12):
+        nodes = spark.range(n).select(F.col("id").alias("node"))
+        edges = spark.range(n - 1).select((F.col("id") + 1).alias("child"), F.col("id").alias("parent"))
+        levels = G.topological_levels(nodes, edges)
+        assert [tuple(r) for r in levels.orderBy("node").collect()] == [(i, i, False) for i in range(n)]
+        assert levels._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    assert G.topological_levels(nodes.where("false"), edges).count() == 0

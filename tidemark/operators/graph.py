@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.operators.keys import union_all
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, new_folder
 
 # Kinds of dependency that a drop follows.
 FOLLOWED = ("n", "a")
@@ -22,8 +22,11 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     and ``in_cycle``. Self edges and edges leaving the set do not count.
 
     Each round settles all nodes that wait for no parent; the rounds are as
-    many as the graph is deep, and only the waiting counts are rewritten.
+    many as the graph is deep, and only nodes that still wait are written
+    again. All rounds are parts of one table, so the result is one scan,
+    however deep the graph is.
     """
+    spark = nodes.sparkSession
     nodes = checkpointed(nodes.select("node").distinct())
     # Copies of an edge are added and taken off alike, and what is counted for
     # children outside the set is never looked up; only parents must be in it.
@@ -32,23 +35,23 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
     )
     waits = inside.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("waits"))
-    state = checkpointed(nodes.join(waits, "node", "left_outer").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
-    settled = []
-    while True:
-        ready = state.where("waits = 0").select("node")
+    state = nodes.join(waits, "node", "left_outer").select("node", F.coalesce("waits", F.lit(0)).alias("waits"))
+    folder = new_folder(spark)
+    counted = T.StructType([nodes.schema["node"], T.StructField("waits", T.LongType()), T.StructField("ready", T.BooleanType())])
+    for level in count():
+        part = f"{folder}/level={level}"
+        state.withColumn("ready", F.col("waits") == 0).write.partitionBy("ready").parquet(part)
+        state = spark.read.schema(counted).parquet(part)
+        ready = state.where("ready").select(F.col("node").alias("parent"))
         if ready.isEmpty():
             break
-        settled.append(ready.withColumn("level", F.lit(len(settled))))
-        freed = (
-            inside.join(ready.withColumnRenamed("node", "parent"), "parent")
-            .groupBy(F.col("child").alias("node")).agg(F.count("*").alias("freed"))
+        freed = inside.join(ready, "parent").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("freed"))
+        state = state.where("NOT ready").join(freed, "node", "left_outer").select(
+            "node", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")
         )
-        state = checkpointed(
-            state.where("waits > 0").join(freed, "node", "left_outer")
-            .select("node", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"))
-        )
-    caught = state.select("node", F.lit(len(settled)).alias("level"), F.lit(True).alias("in_cycle"))
-    return union_all([*[s.withColumn("in_cycle", F.lit(False)) for s in settled], caught])
+    levels = spark.read.schema(counted.add("level", T.IntegerType())).parquet(folder)
+    # Nodes that still wait in the last round hang on a cycle.
+    return levels.where(F.col("ready") | (F.col("level") == level)).select("node", "level", (~F.col("ready")).alias("in_cycle"))
 
 
 def transitive_dependents(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:

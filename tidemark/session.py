@@ -45,6 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Name of a folder nobody has used, for tables of this application in the checkpoint folder."""
+    folder = ensure_checkpoint_dir(spark)
+    return f"{folder.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame as a table written once to the checkpoint folder.
 
@@ -54,8 +60,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     the checkpoint folder, which can go when the application has ended.
     """
     spark = df.sparkSession
-    folder = ensure_checkpoint_dir(spark)
-    path = f"{folder.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.checkpoint_path = path
