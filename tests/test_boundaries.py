@@ -132,6 +132,27 @@ def test_data_is_dropped_in_one_pass(spark, chunk_lines):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_states_of_very_many_chunks(spark):
+    """Two lines a chunk and four chunks a run: 50,000 chunks go up eight levels and down again."""
+    from tidemark.operators import lines as L
+
+    # Every 1,000 lines a COPY block of 700 lines; the text without a name starts one that never ends.
+    n = 100_000
+    line = F.when(F.col("id") % 1000 == 10, "COPY a FROM stdin").when(F.col("id") % 1000 == 710, "\\.").otherwise("SELECT 1;")
+    long = spark.range(n).select(F.lit("a").alias("doc"), F.col("id").alias("line_no"), line.alias("line"))
+    other = spark.range(5000).select(
+        F.lit(None).cast("string").alias("doc"), F.col("id").alias("line_no"),
+        F.when(F.col("id") == 7, "COPY b FROM stdin").otherwise("x").alias("line"),
+    )
+    rows = long.unionByName(other)
+    got = L.drop_data(rows, "doc", chunk_lines=2, fan=4)
+    assert got.where("doc = 'a'").agg(F.count("*"), F.min("line_no"), F.max("line_no")).first()[:] == (n // 1000 * 299, 0, n - 1)
+    assert got.where("doc = 'a' AND line_no % 1000 BETWEEN 10 AND 710").count() == 0
+    assert sorted(r.line_no for r in got.where("doc IS NULL").collect()) == list(range(7))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert L.drop_data(rows.where("false"), "doc").count() == 0
+
+
 def test_rules_see_past_comments(spark):
     from tidemark.operators import lines as L
 

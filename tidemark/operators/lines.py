@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import any_of, col
 from tidemark.functions.text import squeezed
 from tidemark.operators.rules import DROP_RULES, INLINE_REWRITES, SAFE_RUN_REWRITES, DropRule, RewriteRule
 from tidemark.operators.signatures import DECLARED, SIGNATURES
+from tidemark.session import checkpointed
 
 # Patterns of a psql log and marks of its classes.
 LOG_LEVEL = r"(?i)^psql:.+?:(\d+):\s*(NOTICE|ERROR|WARNING|INFO|CONTEXT):\s*(.*)$"
@@ -31,6 +31,9 @@ CLASS_MARKS = {
 
 # Lines of one text that one task looks through.
 CHUNK_LINES = 100_000
+# Lines whose states are noted together, and chunks that are folded into one.
+STATE_LINES = 64
+FAN = 64
 
 
 def _has(text: Column, marks: Sequence[str]) -> Column:
@@ -199,66 +202,89 @@ def _after(state: int, marks: int) -> int:
     return IN_INSERT if marks & _INSERT and not marks & _END else OUTSIDE
 
 
-def _kept_lines(batches):
-    """Lines that start outside and open nothing, from chunks in line order;
-    the first column is the chunk, the second its first state, the third the marks."""
-    current, state = None, OUTSIDE
-    for batch in batches:
-        keep = []
-        for chunk, first, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if chunk != current:
-                current, state = chunk, first
-            keep.append(state == OUTSIDE and not marks & (_COPY | _INSERT))
-            state = _after(state, marks)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(3, batch.num_columns)], names=batch.schema.names[3:]
-        )
+def _step(state: Column, marks: Column) -> Column:
+    """`_after` as a look-up."""
+    table = F.array(*[F.lit(_after(s, m)) for s in range(3) for m in range(16)])
+    return F.get(table, state * 16 + marks)
+
+
+def _folded(chunks: DataFrame, fan: int) -> DataFrame:
+    """Runs of `fan` neighbouring chunks as one: (_doc, _n, _parts, _to), with
+    where the parts together lead to from each state."""
+    parts = chunks.groupBy("_doc", F.floor(F.col("_n") / F.lit(fan)).alias("_n")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_to").alias("to")))).alias("_parts")
+    )
+    ends = [F.aggregate("_parts", F.lit(s), lambda state, x: F.get(x["to"], state)) for s in range(3)]
+    return parts.withColumn("_to", F.array(*ends))
+
+
+def _first_states(chunks: DataFrame, fan: int) -> DataFrame:
+    """(_doc, _n, _first): the state every chunk begins with.
+
+    What chunks lead to is folded by `fan` until one run is left of each text,
+    and the states go down the same way. Each level has one in `fan` of the
+    rows of the one below, so the work is linear in the chunks, and no task
+    holds more than `fan` of them for a text.
+    """
+    last = chunks.agg(F.max("_n")).first()[0] or 0
+    levels = [_folded(chunks, fan)]
+    while last >= fan:
+        last //= fan
+        levels.append(_folded(levels[-1].select("_doc", "_n", "_to"), fan))
+    begun = levels[-1].select("_doc", "_parts", F.lit(OUTSIDE).alias("_first"))
+    for below in [*reversed(levels[:-1]), None]:
+        empty = F.struct(F.col("_first").alias("state"), F.array().cast("array<int>").alias("seen"))
+        firsts = F.aggregate("_parts", empty, lambda acc, x: F.struct(
+            F.get(x["to"], acc["state"]).alias("state"), F.array_append(acc["seen"], acc["state"]).alias("seen")
+        ))["seen"]
+        states = begun.select("_doc", F.inline(F.arrays_zip(F.col("_parts")["n"].alias("n"), firsts.alias("first")))).toDF("_doc", "_n", "_first")
+        if below is not None:
+            upper = states.toDF("_d", "_up", "_first")
+            begun = below.join(upper, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("_up"))).select("_doc", "_parts", "_first")
+    return states
 
 
 def drop_data(
-    lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line", chunk_lines: int = CHUNK_LINES
+    lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line", chunk_lines: int = STATE_LINES, fan: int = FAN
 ) -> DataFrame:
     """Script lines without COPY blocks and without INSERT statements.
 
     One pass: inside a statement a line that looks like another's start is
-    text. Texts are looked through in chunks; each chunk's lines with marks
-    are first folded into where it leads to from each of the three states,
-    and that is handed on, so a very long text is spread over many tasks.
+    text. What a line can do is folded over chunks of a text, chunks are
+    folded by `fan` in as many levels as they need (`_first_states`), and
+    each line looks up the state its chunk noted for it: a text of any length
+    is spread over many tasks, its lines move once, and only JVM functions see
+    them. The chunks' marks are written between. Lines of no document are one
+    text; a line without number is dropped only for what itself begins.
     """
     bits = ((copy_start(col(line)), _COPY), (copy_end(col(line)), _COPY_END), (insert_start(col(line)), _INSERT), (statement_end(col(line)), _END))
     marks = sum((F.when(F.coalesce(test, F.lit(False)), bit).otherwise(0) for test, bit in bits), F.lit(0))
-    marked = lines.withColumn("_chunk", F.floor(col(line_no) / F.lit(chunk_lines))).withColumn("_marks", marks)
-
-    def step(state, m):
-        # The table of `_after`, as an array by state and marks.
-        table = F.array(*[F.lit(_after(s, k)) for s in range(3) for k in range(16)])
-        return F.get(table, state * 16 + m)
-
-    opened = marked.where("_marks > 0").groupBy(F.col(doc).alias("_doc"), "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct(col(line_no).alias("at"), F.col("_marks").alias("m")))).alias("_all")
-    )
-    leads = [F.aggregate("_all", F.lit(s), lambda state, x: step(state, x["m"])) for s in range(3)]
-    ordered = opened.select("_doc", F.struct("_chunk", F.array(*leads).alias("to")).alias("_lead")).groupBy("_doc").agg(
-        F.array_sort(F.collect_list("_lead")).alias("_leads")
-    )
-    # One entry for each chunk of a text: the state it ends with, for the chunks after it.
-    begins = ordered.select("_doc", F.posexplode("_leads").alias("_i", "_lead"), "_leads").select(
-        "_doc", F.col("_lead._chunk").alias("_c"),
-        F.aggregate(F.slice("_leads", 1, F.col("_i") + 1), F.lit(OUTSIDE), lambda state, x: F.get(x["to"], state)).alias("_ends"),
-    )
-    # The chunk that last changed the state before a chunk may not be the one before it.
-    spans = begins.withColumn("_until", F.lead("_c").over(Window.partitionBy("_doc").orderBy("_c"))).where(F.col("_ends") != OUTSIDE)
-    on = (F.col(doc) == F.col("_doc")) & (F.col("_chunk") > F.col("_c")) & (F.col("_until").isNull() | (F.col("_chunk") <= F.col("_until")))
-    chunks = marked.select(doc, "_chunk").distinct().join(spans, on).select(
-        F.col(doc).alias("_d"), F.col("_chunk").alias("_k"), F.col("_ends").alias("_first")
-    )
-    names = lines.columns
-    placed = marked.join(chunks, (F.col(doc) == F.col("_d")) & (F.col("_chunk") == F.col("_k")), "left_outer").select(
-        F.concat_ws(":", F.col(doc).cast("string"), F.col("_chunk").cast("string")).alias("_key"),
-        F.coalesce("_first", F.lit(OUTSIDE)).alias("_state"), "_marks", *[col(c) for c in names],
+    chunk = F.floor(col(line_no) / F.lit(chunk_lines))
+    place = F.pmod(col(line_no), F.lit(chunk_lines)).cast("int")
+
+    # Chunks without marks are there as well: lines after a mark need not have one.
+    found = lines.where(col(line_no).isNotNull()).select(col(doc).alias("_doc"), chunk.alias("_n"), place.alias("_at"), marks.alias("_marks"))
+    mark = F.when(F.col("_marks") > 0, F.struct(F.col("_at").alias("at"), F.col("_marks").alias("m")))
+    noted = found.groupBy("_doc", "_n").agg(F.array_sort(F.collect_list(mark)).alias("_all"))
+    ends = [F.aggregate("_all", F.lit(s), lambda state, x: _step(state, x["m"])) for s in range(3)]
+    chunks = checkpointed(noted.withColumn("_to", F.array(*ends)))
+
+    # The state before each line of a chunk, as a text of digits.
+    before = F.aggregate(
+        "_all", F.struct(F.col("_first").alias("state"), F.lit("").alias("text")),
+        lambda acc, x: F.struct(
+            _step(acc["state"], x["m"]).alias("state"), F.rpad(acc["text"], x["at"] + 1, acc["state"].cast("string")).alias("text")
+        ),
+        lambda acc: F.rpad(acc["text"], F.lit(chunk_lines), acc["state"].cast("string")),
     )
-    kind = placed.select(*[col(c) for c in names]).schema
-    return placed.repartition("_key").sortWithinPartitions("_key", line_no).mapInArrow(_kept_lines, kind)
+    firsts = _first_states(chunks.select("_doc", "_n", "_to"), fan).toDF("_d", "_c", "_first")
+    states = chunks.join(firsts, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("_c"))).select("_doc", "_n", before.alias("_states"))
+    busy = states.where(F.col("_states").rlike("[^0]"))
+
+    opens = marks.bitwiseAND(F.lit(_COPY | _INSERT)) != 0
+    kept = lines.where(~opens).join(busy, col(doc).eqNullSafe(F.col("_doc")) & (chunk == F.col("_n")), "left_outer")
+    state = F.substr(F.col("_states"), place + 1, F.lit(1))
+    return kept.where(F.col("_states").isNull() | (state == F.lit(str(OUTSIDE)))).select(*[col(c) for c in lines.columns])
 
 
 # What comments may not be looked for in, then the comments.
