@@ -51,13 +51,24 @@ def empty(docs):
 # --- token files
 
 
-def test_token_files(spark, docs, empty):
+def test_sampled_pieces_are_spread_over_the_document():
+    from tidemark.llm.token_files import SAMPLE_BYTES, SAMPLE_PIECES, _pieces
+
+    assert _pieces(b"") == b"" and _pieces(b"x" * SAMPLE_BYTES) == b"x" * SAMPLE_BYTES
+    data, size = np.arange(300_001, dtype="<u4").tobytes(), SAMPLE_BYTES // SAMPLE_PIECES
+    ids = np.frombuffer(_pieces(data), "<u4").reshape(SAMPLE_PIECES, size // 4)
+    assert ids[0, 0] == 0 and ids[-1, -1] == 300_000 and (np.diff(ids, axis=1) == 1).all() and (np.diff(ids[:, 0]) > 40_000).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files(spark, docs, empty, name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from tidemark.llm.token_files import read_token_files, scratch_folder, write_token_files
+    from tidemark.llm.token_files import Encoder, read_token_files, scratch_folder, write_token_files
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path(name)
+    assert Encoder(path).by_words == (name == "word_bpe_49k.json")
     plain, folder = Tokenizer.from_file(path), scratch_folder(spark)
     write_token_files(docs.union(docs.filter("doc_id = 3")), folder, path, end_id=2)
     got = read_token_files(spark, folder, with_ids=True).orderBy("start").collect()

@@ -20,12 +20,14 @@ lost executor costs the ranges it was writing.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,13 +36,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches
 from tidemark.session import ensure_checkpoint_dir
 
-#: Bounds of the sample that the dictionary is trained on: documents about, and bytes of each.
+#: Bounds of the sample that the dictionary is trained on: documents about, and the bytes
+#: of each, which of a longer one are that many pieces spread over the whole of it.
 SAMPLE_DOCUMENTS = 1000
 SAMPLE_BYTES = 16 << 10
+SAMPLE_PIECES = 8
 DICTIONARY_BYTES = 64 << 10
 #: A block is closed at this payload or number of documents.
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCUMENTS = 1024
+#: Texts that are encoded together, by their bytes, and words that are looked up together.
+_TEXT_BYTES = 4 << 20
+_WORDS_AT_ONCE = 1 << 20
 #: Words that a worker remembers, and their longest.
 _KNOWN = 300_000
 _LONGEST = 40
@@ -49,23 +56,29 @@ _LONGEST = 40
 _TAIL = re.compile(r"(?<=[^\W_İ])[.,;:!?%$*&#\"()/+=\[\]{}-]+\Z")
 #: Stands between words that are encoded together.
 _MARK = "~"
+#: Normalizer steps and splitting of tokenizers whose words do not depend on each other. Fixed values.
+_BY_WORDS = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class Encoder:
     """A tokenizer that remembers the ids of words.
 
-    For tokenizers that drop white space, a blank or line feed always ends a
-    token and what stands beside it has no influence, so words are encoded one
-    by one by the library and joined. Any other white space stays inside a
-    word and is the library's to treat. It lower-cases and takes runs of
-    punctuation apart from letters and digits, so ASCII case and punctuation
-    at a word's end are told apart here already.
+    For tokenizers that drop white space and lower-case (`by_words`, told by
+    the file's own rules), a blank or line feed always ends a token and what
+    stands beside it has no influence, so words are encoded one by one by the
+    library and joined. Any other white space stays inside a word and is the
+    library's to treat. It takes runs of punctuation apart from letters and
+    digits, so ASCII case and punctuation at a word's end are told apart here
+    already. With any other tokenizer the library gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self.by_words = _splits_words(path)
         mark = self._tokenizer.encode(f" {_MARK} ", add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else -1
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -117,24 +130,25 @@ class Encoder:
         self._used += len(flat)
         self._next += len(words)
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        words, counts = [], []
-        for text in texts:
-            own = text.replace("\n", " ").split(" ")
-            words += own
-            counts.append(len(own))
-        sizes, out = [], []
-        for at in range(0, len(words), 1 << 18):
-            part = words[at : at + (1 << 18)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every whole text; null is empty."""
+        texts = texts.fill_null("")
+        if not len(texts):
+            return []
+        if not self.by_words:
+            return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        # Python only sees the different words.
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words, sizes, out = split.flatten(), [np.zeros(1, np.int64)], [np.empty(0, np.uint32)]
+        for at in range(0, len(words), _WORDS_AT_ONCE):
             if self._next > _KNOWN or self._used > 8 * _KNOWN:
                 self._forget()
-            new = list(set(part).difference(self._number))
+            part = words.slice(at, _WORDS_AT_ONCE).dictionary_encode()
+            own = part.dictionary.to_pylist()
+            new = [w for w in own if w not in self._number]
             if new:
                 self._learn(new)
-            numbers = np.fromiter(map(self._number.__getitem__, part), np.int64, len(part))
+            numbers = np.fromiter(map(self._number.__getitem__, own), np.int64, len(own))[part.indices.to_numpy(zero_copy_only=False)]
             size = self._sizes[numbers]
             ends = np.cumsum(size)
             out.append(self._ids[np.arange(ends[-1]) + np.repeat(self._starts[numbers] - ends + size, size)])
@@ -142,10 +156,27 @@ class Encoder:
             for word in new:
                 if len(word) > _LONGEST:  # comes once
                     del self._number[word]
-        ends = np.cumsum(np.concatenate(sizes))[np.cumsum(counts) - 1]
+        ends = np.cumsum(np.concatenate(sizes))[np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]
         return np.split(np.concatenate(out), ends[:-1])
 
 
+def _splits_words(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    steps = (rules["normalizer"] or {}).get("normalizers", [])
+    splitting = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    first = splitting[0] if splitting else {}
+    added = rules["added_tokens"]
+    return (
+        [n["type"] for n in steps] == _BY_WORDS[0]
+        and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " "
+        and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": _BY_WORDS[1]}, "Removed", True)
+        and not rules["model"].get("dropout")
+        and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in added)
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+    )
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -159,13 +190,31 @@ def _frames(ids: np.ndarray, width: int) -> bytes:
     return ids.astype(f"<u{width}").tobytes()
 
 
+def _pieces(data: bytes) -> bytes:
+    """The data, or of longer ones SAMPLE_PIECES pieces from its beginning to its end."""
+    if len(data) <= SAMPLE_BYTES:
+        return data
+    size = SAMPLE_BYTES // SAMPLE_PIECES
+    starts = [(len(data) - size) * i // (SAMPLE_PIECES - 1) // 4 * 4 for i in range(SAMPLE_PIECES)]
+    return b"".join(data[s : s + size] for s in starts)
+
+
+def _portions(texts: pa.Array):
+    """Bounds of runs of texts of about _TEXT_BYTES, or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    groups = (np.cumsum(sizes, dtype=np.int64) - sizes) // _TEXT_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(texts)]
+    return zip(edges, edges[1:])
+
+
 def _sample(path: str, end_id: int):
     def run(batches):
         tokenizer = encoder(path)
         for batch in batches:
-            found = tokenizer.encode_all([t or "" for t in batch.column(0).to_pylist()])
-            rows = [_frames(np.append(ids, end_id), tokenizer.width)[:SAMPLE_BYTES] for ids in found]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+            for a, b in _portions(batch.column(0)):
+                found = tokenizer.encode(batch.column(0).slice(a, b - a))
+                rows = [_pieces(_frames(np.append(ids, end_id), tokenizer.width)) for ids in found]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     return run
 
@@ -214,10 +263,9 @@ def _write(tokenizer_path: str, end_id: int, dictionary: bytes):
             return pa.RecordBatch.from_pylist([row], schema=_schema)
 
         def encoded(batch):
-            # A few documents at once; a very long one is taken apart by the encoder.
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = tokenizer.encode_all([t or "" for t in part.column(1).to_pylist()])
+            for a, b in _portions(batch.column(1)):
+                part = batch.slice(a, b - a)
+                found = tokenizer.encode(part.column(1))
                 for doc_id, tokens in zip(part.column(0).to_pylist(), found):
                     yield doc_id, np.append(tokens, end_id)
 
@@ -250,8 +298,8 @@ def write_token_files(
     """Encode every whole text, append the end id, and write the three tables to `path`.
 
     Null and empty texts are the end id alone. Documents with a null id come
-    first; rows with equal ids are ordered by a hash of the text, and equal
-    rows are kept as often as they come. Other columns are not read. An empty
+    first; rows with equal ids are ordered by a hash of the text, which also
+    spreads the rows of one id, and equal rows are kept as often as they come. Other columns are not read. An empty
     table gives a dictionary of no bytes and no blocks.
     """
     spark = bounded_batches(docs.sparkSession)
@@ -261,7 +309,7 @@ def write_token_files(
     spark.createDataFrame(
         [(hashlib.sha256(dictionary).hexdigest(), dictionary, width, end_id)], "sha256 string, data binary, width int, end_id long"
     ).coalesce(1).write.parquet(f"{path}/dictionary")
-    ordered = plain.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+    ordered = plain.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     )
     ordered.mapInArrow(_write(tokenizer_path, end_id, dictionary), _BLOCKS).write.parquet(f"{path}/blocks")
