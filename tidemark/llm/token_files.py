@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe_automaton import _Store
 from tidemark.llm.common import bounded_batches
 from tidemark.session import ensure_checkpoint_dir
 
@@ -49,11 +50,11 @@ BLOCK_DOCUMENTS = 1024
 _TEXT_BYTES = 4 << 20
 _WORDS_AT_ONCE = 1 << 20
 #: Words that a worker remembers, and their longest.
-_KNOWN = 300_000
+_KNOWN = 400_000
 _LONGEST = 40
 #: Punctuation at a word's end, after a letter or digit: always a token run of its own.
-#: The letter left out ends in a mark, which joins the run, when lower-cased.
-_TAIL = re.compile(r"(?<=[^\W_İ])[.,;:!?%$*&#\"()/+=\[\]{}-]+\Z")
+#: (A dotted capital I ends in a mark, which joins the run, when lower-cased.)
+_TAIL = ".,;:!?%$*&#\"()/+=[]{}-"
 #: Stands between words that are encoded together.
 _MARK = "~"
 #: Normalizer steps and splitting of tokenizers whose words do not depend on each other. Fixed values.
@@ -73,62 +74,65 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self.by_words = _splits_words(path)
+        # ASCII lower-case words are what normalizing and splitting leave whole, so blanks alone divide them.
+        self._letters = Tokenizer.from_file(path)
+        self._letters.no_truncation()
+        self._letters.no_padding()
+        self._letters.normalizer = normalizers.Sequence([])
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         mark = self._tokenizer.encode(f" {_MARK} ", add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else -1
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._forget()
 
     def _forget(self) -> None:
-        self._number: dict[str, int] = {}
-        self._parts: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
-        self._ids = np.empty(1 << 16, np.uint32)
-        self._starts = np.zeros(1 << 14, np.int64)
-        self._sizes = np.zeros(1 << 14, np.int64)
-        self._used = self._next = 0
-
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Most are encoded as one text, with a mark that is a
-        single token between them; words that hold the mark alone."""
-        plain = [w for w in words if _MARK not in w]
-        ids = np.array(self._tokenizer.encode(f" {_MARK} ".join([*plain, ""]), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(ids == self._mark)
-        if len(ends) != len(plain):
-            return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
-        parts = iter(np.split(ids, ends + 1) if len(ends) else [])
-        alone = lambda w: np.array(self._tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-        return [alone(w) if _MARK in w else next(parts)[:-1] for w in words]
+        self._words, self._parts = _Store(), _Store()
+        self._parts.add([""], np.empty(0, np.uint32), np.zeros(1, np.int64))
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _encoded(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without the mark, and their counts; encoded as one text,
+        with the mark, a single token, between them."""
+        joined = tokenizer.encode_batch_fast([f" {_MARK} ".join([*words, ""])], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, np.uint32)
+        marks = ids == self._mark
+        ends = np.flatnonzero(marks)
+        if len(ends) != len(words):
+            return self._alone(words)
+        return ids[~marks], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, words: list[str]) -> None:
         """Words in other case or before a punctuation mark share their parts."""
-        split = []
+        parts = []
         for word in words:
-            at = _TAIL.search(word) if "<|" not in word else None
-            core, tail = (word[: at.start()], at[0]) if at else (word, "")
-            split.append((core.lower() if core.isascii() and "<|" not in core else core, tail))
-        new = list({p for parts in split for p in parts}.difference(self._parts))
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            self._parts.update(zip(part, self._encoded(part)))
-        found = [self._parts[p] for parts in split for p in parts]
-        sizes = np.array([len(f) for f in found]).reshape(-1, 2).sum(axis=1)
-        flat, number = np.concatenate(found), self._next
-        if self._used + len(flat) > len(self._ids):
-            self._ids = np.resize(self._ids, max(2 * len(self._ids), self._used + len(flat)))
-        if number + len(words) > len(self._starts):
-            size = 2 * (number + len(words))
-            self._starts, self._sizes = np.resize(self._starts, size), np.resize(self._sizes, size)
-        self._ids[self._used : self._used + len(flat)] = flat
-        self._starts[number : number + len(words)] = self._used + np.cumsum(sizes) - sizes
-        self._sizes[number : number + len(words)] = sizes
-        self._number.update(zip(words, range(number, number + len(words))))
-        self._used += len(flat)
-        self._next += len(words)
+            core = word.rstrip(_TAIL)
+            if len(core) == len(word) or not core or not core[-1].isalnum() or core[-1] == "İ" or "<|" in word:
+                core, tail = word, ""
+            else:
+                tail = word[len(core) :]
+            parts += (core.lower() if core.isascii() and "<|" not in core else core), tail
+        new = list(set(parts).difference(self._parts.number))
+        marked = [p for p in new if _MARK in p]
+        letters = [p for p in new if p.isascii() and p.isalpha()]
+        rest = set(new).difference(letters, marked)
+        for plain, tokenizer in ((letters, self._letters), (list(rest), self._tokenizer)):
+            for at in range(0, len(plain), 2000):
+                self._parts.add(plain[at : at + 2000], *self._encoded(plain[at : at + 2000], tokenizer))
+        if marked:
+            self._parts.add(marked, *self._alone(marked))
+        flat, sizes = self._parts.of(np.fromiter(map(self._parts.number.__getitem__, parts), np.int64, len(parts)))
+        self._words.add(words, flat, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every whole text; null is empty."""
@@ -141,21 +145,20 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words, sizes, out = split.flatten(), [np.zeros(1, np.int64)], [np.empty(0, np.uint32)]
         for at in range(0, len(words), _WORDS_AT_ONCE):
-            if self._next > _KNOWN or self._used > 8 * _KNOWN:
+            if max(len(self._words.number), len(self._parts.number)) > _KNOWN:
                 self._forget()
             part = words.slice(at, _WORDS_AT_ONCE).dictionary_encode()
-            own = part.dictionary.to_pylist()
-            new = [w for w in own if w not in self._number]
+            own, known = part.dictionary.to_pylist(), self._words.number
+            new = [w for w in own if w not in known]
             if new:
                 self._learn(new)
-            numbers = np.fromiter(map(self._number.__getitem__, own), np.int64, len(own))[part.indices.to_numpy(zero_copy_only=False)]
-            size = self._sizes[numbers]
-            ends = np.cumsum(size)
-            out.append(self._ids[np.arange(ends[-1]) + np.repeat(self._starts[numbers] - ends + size, size)])
+            numbers = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+            ids, size = self._words.of(numbers[part.indices.to_numpy(zero_copy_only=False)])
+            out.append(ids.view(np.uint32))
             sizes.append(size)
             for word in new:
-                if len(word) > _LONGEST:  # comes once
-                    del self._number[word]
+                if len(word) > _LONGEST:  # comes once; its number stays taken
+                    known[f"\n{known.pop(word)}"] = -1
         ends = np.cumsum(np.concatenate(sizes))[np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]
         return np.split(np.concatenate(out), ends[:-1])
 
