@@ -3,15 +3,18 @@
 Only DataFrame functions are used. An item of n words is compared with windows
 of n words of every document, as sets of word shingles with multiplicity.
 
-1. A window shares nothing with any item unless shingles of items start in
+1. A window shares nothing with an item unless shingles of the item start in
    it. Each document's shingle hashes are looked up in a bitmap of the items'
    shingles (for benchmarks up to `BITMAP_SHINGLES`; larger ones are joined).
-   A window that could reach the similarity has that many hits in it, and it
-   can be moved right to begin at a hit, or left to end with the document,
-   without losing any. Only those windows are looked at; this loses nothing.
+   A window that could reach the similarity holds at least one of the item's
+   marks, as many of its rarest shingles among items as it may lack and one
+   more, so a shingle that many items share pairs nothing by itself. Of a pair
+   of a document and an item that meet in a mark, the windows that begin at a
+   shingle of the item, or end with the document, and hold enough of them are
+   looked at; any other can be moved to one of these. This loses nothing.
 2. Windows and items get 64-bit SimHash fingerprints. Fingerprints are cut
    into more blocks than the radius has bits, so two within the radius agree
-   in a block; windows and items of one size are joined on block number and
+   in a block; windows and their items are joined on item, block number and
    block, once for the first block they agree in, and kept within the radius.
    The default radius lies more than four deviations beyond the distance that
    is expected at the threshold. Repeats of a shingle are numbered in their
@@ -172,34 +175,43 @@ def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius:
     )
     hit = checkpointed(hashed.filter((F.size("hits") >= fewest) & F.when(F.size("hits") >= fewest, dense)).select("doc_id", "text_hash", "h", "hits").dropDuplicates(["doc_id", "text_hash"]))
 
-    # Windows of every item size that begin at a hit and hold enough hits.
-    known_lengths = F.array(*[F.lit(m) for m in lengths])
-    spots = hit.select(
-        "doc_id", "text_hash", F.size("h").alias("all"), "hits", F.explode(known_lengths).alias("m"),
-    ).withColumn("w", F.least("m", "all")).withColumn(
+    # Per item its shingles and its marks: so many of the rarest among items that a similar window holds one.
+    shared = shingles.groupBy("h").agg(F.count_distinct("item_id", "n").alias("df"))
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"])
+    own = shingles.join(shared, "h").groupBy("item_id", "n").agg(rarest.alias("item_shingles")).withColumn("m", F.size("item_shingles"))
+    spare = F.col("m") - F.ceil(F.col("m") * F.lit(percent) / F.lit(100.0) - 1e-9) + 1
+    own = checkpointed(own.withColumn("item", F.xxhash64("item_id", "item_shingles")).withColumn("marks", F.slice("item_shingles", 1, spare.cast("int"))))
+    marks = own.select("item", F.explode("marks").alias("x")).distinct()
+    values = F.array_distinct(F.transform("hits", lambda at: F.get(F.col("h"), at)))
+    pairs = checkpointed(
+        hit.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.explode(values).alias("x"))
+        .join(marks, "x").select("d", "t", "item").distinct()
+    )
+
+    # Windows of a document for an item that begin at one of its shingles and hold enough of them.
+    met = pairs.join(own.select("item", "m", "item_shingles"), "item").join(
+        hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    )
+    spots = held(
+        met.withColumn("mine", F.filter("hits", lambda at: F.array_contains("item_shingles", F.get(F.col("h"), at))))
+        .select("doc_id", "text_hash", "item", "m", "h", "mine", F.least("m", F.size("h")).alias("w")), "mine",
+    ).withColumn(
         # At similarity percent, 100 * common >= percent * (m + w - common).
         "least", F.ceil(F.lit(percent) * (F.col("m") + F.col("w")) / F.lit(100.0 + percent) - 1e-9).cast("int")
-    ).filter("least <= w AND size(hits) >= least")
+    ).filter("least <= w AND size(mine) >= least")
     rich = F.filter(
-        F.sequence(F.lit(0), F.size("hits") - F.col("least")),
-        lambda j: F.get(F.col("hits"), j + F.col("least") - 1) < F.get(F.col("hits"), j) + F.col("w"),
-    )
-    # The windows of one document and size; equal ones at its end are one.
-    starts = F.array_distinct(F.transform(rich, lambda j: F.least(F.get(F.col("hits"), j), F.col("all") - F.col("w"))))
-    windows = (
-        spots.withColumn("start", F.explode(starts)).select("doc_id", "text_hash", "m", "w", "start")
-        .withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+        F.sequence(F.lit(0), F.size("mine") - F.col("least")),
+        lambda j: F.get(F.col("mine"), j + F.col("least") - 1) < F.get(F.col("mine"), j) + F.col("w"),
     )
+    # Equal windows at a document's end are one.
+    starts = F.array_distinct(F.transform(rich, lambda j: F.least(F.get(F.col("mine"), j), F.size("h") - F.col("w"))))
     cut = checkpointed(
-        windows.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
-        .select("doc_id", "text_hash", "m", "start", F.slice("h", F.col("start") + 1, F.col("w")).alias("shingles"))
-        .withColumn("window", F.xxhash64("doc_id", "text_hash", "m", "start"))
-    )
-    own = checkpointed(shingles.groupBy("item_id", "n").agg(F.collect_list("h").alias("shingles")).withColumn("m", F.size("shingles")).withColumn("item", F.xxhash64("item_id", "shingles")))
-    marked = cut.join(_fingerprints(cut, ["window"]), "window")
-    items_marked = own.join(_fingerprints(own, ["item"]), "item").select(
-        "item_id", "n", "m", F.col("shingles").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint")
+        spots.withColumn("start", F.explode(starts))
+        .select("doc_id", "text_hash", "item", "start", F.slice("h", F.col("start") + 1, F.col("w")).alias("shingles"))
+        .withColumn("window", F.xxhash64("doc_id", "text_hash", "item", "start"))
     )
+    windows = _fingerprints(cut, ["window", "item"])
+    items_marked = _fingerprints(own.select("item", F.col("item_shingles").alias("shingles")), ["item"]).withColumnRenamed("fingerprint", "item_fingerprint")
 
     blocks = _blocks(radius)
 
@@ -207,13 +219,14 @@ def _found(plain: DataFrame, items: DataFrame, size: int, percent: int, radius:
         values = F.array(*[_block(F.col(name), low, bits) for low, bits in blocks])
         return rows.select("*", F.posexplode(values).alias("block", "value"))
 
+    # Only fingerprints are posted; shingles are fetched for the windows that stay.
     differs = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     first = F.array_position(F.array(*[_block(differs, low, bits) == 0 for low, bits in blocks]), True) - 1
-    candidates = posted(marked, "fingerprint").join(posted(items_marked, "item_fingerprint"), ["m", "block", "value"]).filter(
+    candidates = posted(windows, "fingerprint").join(posted(items_marked, "item_fingerprint"), ["item", "block", "value"]).filter(
         (first == F.col("block")) & (F.bit_count(differs) <= radius)
-    )
-    common = _common("shingles", "item_shingles")
-    alike = candidates.withColumn("common", common).withColumn(
+    ).select("window")
+    near = cut.join(candidates, "window", "left_semi").join(own.select("item", "item_id", "n", "item_shingles"), "item")
+    alike = near.withColumn("common", _common("shingles", "item_shingles")).withColumn(
         "whole", F.size("shingles") + F.size("item_shingles") - F.col("common")
     ).filter(100 * F.col("common") >= percent * F.col("whole"))
     best = F.struct((F.col("common") / F.col("whole")).alias("similarity"), (-F.col("start")).alias("start"))
