@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import config as C, risk as R
 
@@ -136,3 +137,20 @@ def test_report(spark):
         ("a.json", "debug", "debug_setting"), ("a.json", "keys.0.token", "secret_value"), ("a.json", "mode", "debug_setting"),
         ("b.env", "APP_DEBUG", "debug_setting"), ("b.env", "PASSWORD", "secret_value"),
     }
+
+
+def test_texts_are_read_after_they_are_spread(spark):
+    texts = ('{"a\\"b":[1,{"k":[]}],"e":{},"l":[{}, "x,]{"],"":{"\\u0041":1.50}}', ' [ ] ', '"s"', "{", '{"a":1,"a":2}', None)
+    frame = docs(spark, *texts).repartition(4)
+    rows = C.json_leaves(frame, "id", "content", into_arrays=True)
+    assert {(r.id, ".".join(r.path), r.type, r.value) for r in rows.collect()} == {
+        (0, 'a"b.0', "number", "1"), (0, 'a"b.1.k', "array", "[]"), (0, "e", "object", "{}"), (0, "l.0", "object", "{}"),
+        (0, "l.1", "string", "x,]{"), (0, ".A", "number", "1.5"), (1, "", "array", "[]"), (2, "", "string", "s"), (5, "", "number", None),
+    }
+    files = frame.select(F.concat("id", F.lit(".json")).alias("path"), "content")
+    for result in (rows, R.config_risk(files), C.drift_report(files, files)):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and "parseJson" in line]
+    # One pass, however deep: a level used to copy all that lies below it.
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan

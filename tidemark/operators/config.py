@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import col
+from tidemark.functions.json_parts import difference_texts, leaf_texts
 from tidemark.functions.secrets import clean_json, is_secret
 
-_as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-_as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
-
 
 def json_type(text: Column) -> Column:
     """object, array, string, boolean, null or number, from the JSON text."""
@@ -51,34 +49,10 @@ def json_errors(df: DataFrame, doc: str, content: str) -> DataFrame:
     return df.select(col(doc).alias(doc), _reason(col(content)).alias("error")).where("error IS NOT NULL")
 
 
-def _levels(*texts: Column) -> Column:
-    """No text nests deeper than it opens brackets."""
-    return F.greatest(*[F.coalesce(F.regexp_count(t, F.lit(r"[\[{]")), F.lit(0)) for t in (*texts, F.lit(""))]) + 1
-
-
-def _walk(rows: DataFrame, keep: list[str], root: Column, members, levels: Column) -> DataFrame:
-    """Nodes at which a tree ends, as columns of their own next to ``keep``.
-
-    ``members(node)`` is the list of nodes below a node, null where the tree
-    ends. A file stays one row, taken apart level by level, until nothing is
-    left to do; ``levels`` is as many as it can have, and those it has not
-    cost nothing.
-    """
-    def deeper(state: Column, _: Column) -> Column:
-        level = F.transform(state["todo"], lambda n: F.struct(n.alias("node"), members(n).alias("below")))
-        ended = lambda nodes: F.transform(F.filter(nodes, lambda e: e["below"].isNull()), lambda e: e["node"])
-        below = lambda nodes: F.flatten(F.transform(F.filter(nodes, lambda e: e["below"].isNotNull()), lambda e: e["below"]))
-        # The list of one makes the level a variable, so that it is built once.
-        step = F.transform(
-            F.array(level),
-            lambda nodes: F.struct(F.concat(state["done"], ended(nodes)).alias("done"), below(nodes).alias("todo")),
-        )
-        return F.when(F.size(state["todo"]) == 0, state).otherwise(step[0])
-
-    start = F.struct(F.slice(F.array(root), 1, 0).alias("done"), F.array(root).alias("todo"))
-    rows = rows.select(*keep, F.aggregate(F.sequence(F.lit(1), levels), start, deeper).alias("tree"))
-    ends = F.transform("tree.done", lambda n: F.struct(n.alias("node")))
-    return rows.select(*keep, F.inline(ends)).select(*keep, "node.*")
+def _once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """The columns next to ``keep``, computed once. A filter on them stays
+    above the generator; below, Spark would read a text again for every mention."""
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*columns))))
 
 
 def json_leaves(df: DataFrame, doc: str, content: str, into_arrays: bool = False) -> DataFrame:
@@ -88,23 +62,14 @@ def json_leaves(df: DataFrame, doc: str, content: str, into_arrays: bool = False
     cannot be read have no rows, see `json_errors`."""
     if doc == "path":
         raise ValueError("the document column must not be called path")
-    below = lambda node, name, value: F.struct(F.concat(node["path"], F.array(name)).alias("path"), value.alias("v"))
-
-    def members(node: Column) -> Column:
-        entries = F.map_entries(_as_map(node["v"]))
-        found = F.when(F.size(entries) > 0, F.transform(entries, lambda e: below(node, e["key"], e["value"])))
-        if into_arrays:
-            items = _as_list(node["v"])
-            found = found.when(F.size(items) > 0, F.transform(items, lambda x, i: below(node, i.cast("string"), x)))
-        return found
-
+    # Not filters, which Spark would put in front of a `spread`. An outer
+    # generator does not ask for its array twice.
     text = col(content)
-    parsed = df.where(_readable(text)).select(col(doc).alias("doc"), _parsed(text).alias("v"), _levels(text).alias("_levels"))
-    root = F.struct(F.array().cast("array<string>").alias("path"), F.col("v").alias("v"))
-    leaves = _walk(parsed, ["doc"], root, members, F.col("_levels")).withColumn("text", F.to_json("v"))
-    return leaves.select(
-        F.col("doc").alias(doc), "path", json_type(F.col("text")).alias("type"), _plain(F.col("v"), F.col("text")).alias("value")
-    )
+    read = df.select(col(doc).alias("doc"), leaf_texts(text, _readable(text), into_arrays).alias("_leaves"))
+    leaves = read.select("doc", F.inline_outer("_leaves")).where("path IS NOT NULL")
+    leaves = leaves.withColumn("v", _parsed(F.col("text"))).withColumn("text", F.to_json("v"))
+    found = _once(leaves, ["doc", "path"], json_type(F.col("text")).alias("type"), _plain(F.col("v"), F.col("text")).alias("value"))
+    return found.withColumnRenamed("doc", doc)
 
 
 def dotted(path: Column) -> Column:
@@ -116,23 +81,10 @@ def flatten_json(df: DataFrame, doc: str, content: str) -> DataFrame:
     return json_leaves(df, doc, content).withColumn("path", dotted(F.col("path")))
 
 
-def _walk_pairs(pairs: DataFrame, keep: list[str], old: str, new: str) -> DataFrame:
-    """Differences below two JSON texts of the same row, where both can be read."""
-    def members(node: Column) -> Column:
-        both = F.map_zip_with(_as_map(node["o"]), _as_map(node["n"]), lambda k, a, b: F.struct(a.alias("o"), b.alias("n")))
-        return F.transform(
-            F.map_entries(both),
-            lambda e: F.struct(
-                F.concat(node["path_parts"], F.array(e["key"])).alias("path_parts"),
-                e["value"]["o"].alias("o"), e["value"]["n"].alias("n"),
-            ),
-        )
-
-    o_content, n_content = F.col(old), F.col(new)
-    both = pairs.where(_readable(o_content) & _readable(n_content))
-    parsed = both.select(*keep, _parsed(o_content).alias("o"), _parsed(n_content).alias("n"), _levels(o_content, n_content).alias("_levels"))
-    root = F.struct(F.array().cast("array<string>").alias("path_parts"), F.col("o").alias("o"), F.col("n").alias("n"))
-    ends = _walk(parsed, keep, root, members, F.col("_levels"))
+def _compared(parts: DataFrame, keep: list[str]) -> DataFrame:
+    """Parts of two JSON texts (path_parts, old, new) by their meaning: kind
+    of change, values and types. Those that mean the same have no change."""
+    ends = parts.withColumn("o", _parsed(F.col("old"))).withColumn("n", _parsed(F.col("new")))
     ends = ends.withColumn("o_text", F.to_json("o")).withColumn("n_text", F.to_json("n"))
     o_text, n_text = F.col("o_text"), F.col("n_text")
     o_type, n_type = json_type(o_text), json_type(n_text)
@@ -142,11 +94,11 @@ def _walk_pairs(pairs: DataFrame, keep: list[str], old: str, new: str) -> DataFr
         .when((o_type == "array") & (n_type == "array"), F.when(o_text != n_text, "array"))
         .when(o_text != n_text, "value")
     )
-    return ends.select(
-        *keep, "path_parts", change.alias("change"),
+    return _once(
+        ends, [*keep, "path_parts"], change.alias("change"),
         _plain(F.col("o"), o_text).alias("old_value"), _plain(F.col("n"), n_text).alias("new_value"),
         o_type.alias("old_type"), n_type.alias("new_type"),
-    ).where("change IS NOT NULL")
+    )
 
 
 def json_diff(old: DataFrame, new: DataFrame, doc: str, content: str) -> DataFrame:
@@ -161,7 +113,10 @@ def json_diff(old: DataFrame, new: DataFrame, doc: str, content: str) -> DataFra
     if doc == "path":
         raise ValueError("the document column must not be called path")
     pairs = old.select(doc, F.col(content).alias("_old")).join(new.select(doc, F.col(content).alias("_new")), doc)
-    found = _walk_pairs(pairs, [doc], "_old", "_new")
+    o, n = F.col("_old"), F.col("_new")
+    parts = pairs.select(doc, difference_texts(o, n, _readable(o) & _readable(n)).alias("_parts"))
+    parts = parts.select(doc, F.inline_outer("_parts").alias("path_parts", "old", "new")).where("path_parts IS NOT NULL")
+    found = _compared(parts, [doc]).where("change IS NOT NULL")
     return found.select(doc, dotted(F.col("path_parts")).alias("path"), "change", "old_value", "new_value")
 
 
@@ -264,32 +219,66 @@ def drift_report(old: DataFrame, new: DataFrame, redact: bool = True) -> DataFra
     change ``error``, with the reasons as values; the others are reported all
     the same.
     """
-    files = _joined_files(old, new)
-    one_sided = files.where("file_status <> 'common'").select(
-        "path", "file_status", F.lit(None).cast("string").alias("item"), F.lit("file").alias("change"),
-        F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"),
-        F.concat(F.when(F.col("file_status") == "added", "+ ").otherwise("- "), "path").alias("line"),
+    # Both versions meet with what is needed of them; what can be said of a
+    # file without another shuffle is said in one pass.
+    text_of = lambda df, kind: F.when(F.lower("path").endswith(kind), F.col("content"))
+    files = _joined_files(*[df.select("path", text_of(df, ".json").alias("content")) for df in (old, new)])
+    status, o, n = F.col("file_status"), F.col("old_content"), F.col("new_content")
+    # A removed file is not read any more.
+    reasons = F.when(F.col("path").endswith(".json") & (status != "removed"), F.struct(_reason(o).alias("o"), _reason(n).alias("n")))
+    read = files.withColumn("why", reasons)
+    unread = F.col("why.o").isNotNull() | F.col("why.n").isNotNull()
+    read = read.select(
+        "path", "file_status", "why", unread.alias("unread"), difference_texts(o, n, (status == "common") & ~unread & F.col("why").isNotNull()).alias("_parts")
+    )
+    none = F.lit(None).cast("string")
+    said = lambda kind, parts, old, new: F.struct(
+        F.lit(kind).alias("said"), parts.alias("path_parts"), old.alias("old"), new.alias("new")
+    )
+    nowhere = F.lit(None).cast("array<string>")
+    no_rows = F.array().cast("array<struct<said:string,path_parts:array<string>,old:string,new:string>>")
+    rows = F.concat(
+        F.when(status != "common", F.array(said("file", nowhere, none, none))).otherwise(no_rows),
+        F.when(F.col("unread"), F.array(said("error", nowhere, F.col("why.o"), F.col("why.n")))).otherwise(no_rows),
+        F.transform("_parts", lambda p: said("part", p["path"], p["old"], p["new"])),
     )
-    common = files.where("file_status = 'common'")
-    trees = _walk_pairs(common.where(F.col("path").endswith(".json")), ["path"], "old_content", "new_content")
+    rows = read.select("path", "file_status", F.inline_outer(rows)).where("said IS NOT NULL")
+    sides = F.concat_ws(", ", F.concat(F.lit("old: "), F.col("old")), F.concat(F.lit("new: "), F.col("new")))
+    is_part = F.col("said") == "part"
+    rows = rows.select(
+        "path", "file_status", "path_parts", F.when(is_part, F.col("old")).alias("old"), F.when(is_part, F.col("new")).alias("new"),
+        F.struct(
+            "said", F.when(~is_part, F.col("old")).alias("old"), F.when(~is_part, F.col("new")).alias("new"),
+            F.when(F.col("said") == "error", F.concat(F.lit("! Not read, "), sides))
+            .when(status == "added", F.concat(F.lit("+ "), "path")).otherwise(F.concat(F.lit("- "), "path")).alias("line"),
+        ).alias("_file"),
+    )
+    is_part = F.col("_file.said") == "part"
+    trees = _compared(rows, ["path", "file_status", "_file"]).where(~is_part | F.col("change").isNotNull())
     values = {}
     for side in ("old", "new"):
         value, kind = F.col(side + "_value"), F.col(side + "_type")
         if redact:
             subtree = clean_json(F.when(kind.isin("object", "array"), value), deep=True)
             value = F.when(F.exists("path_parts", is_secret), F.lit("")).otherwise(F.coalesce(subtree, value))
-        values[side] = F.when(F.col(side + "_value").isNotNull(), value)
-    json_rows = trees.select("path", dotted(F.col("path_parts")).alias("item"), "change", values["old"].alias("old_value"), values["new"].alias("new_value"))
+        value = F.when(F.col(side + "_value").isNotNull(), value)
+        values[side] = F.when(is_part, value).otherwise(F.col("_file." + side))
+    json_rows = trees.select(
+        "path", "file_status", dotted(F.col("path_parts")).alias("item"), F.when(is_part, F.col("change")).otherwise(F.col("_file.said")).alias("change"),
+        values["old"].alias("old_value"), values["new"].alias("new_value"), F.when(~is_part, F.col("_file.line")).alias("_line"),
+    )
     o, n, item = F.col("old_value"), F.col("new_value"), F.col("item")
     from_to = lambda label: F.concat(F.lit(f"~ Changed {label}: "), item, F.lit(" from '"), o, F.lit("' to '"), n, F.lit("'"))
     json_line = (
         F.when(F.col("change") == "added", F.concat(F.lit("+ Added Property: "), item, F.lit(" = "), n))
         .when(F.col("change") == "removed", F.concat(F.lit("- Removed Property: "), item, F.lit(" = "), o))
-        .when(F.col("change") == "array", from_to("Array")).otherwise(from_to("Value"))
+        .when(F.col("change") == "array", from_to("Array")).when(F.col("change") == "value", from_to("Value"))
+        .otherwise(F.col("_line"))
     )
     version = lambda s, c: F.struct(F.lit(s).alias("side"), F.split(c, "\r\n|\r|\n").alias("lines"))
+    env_files = _joined_files(*[df.where(F.lower("path").endswith(".env")) for df in (old, new)])
     env_lines = (
-        common.where(F.col("path").endswith(".env"))
+        env_files.where((status == "common") & F.col("path").endswith(".env"))
         .select("path", F.inline(F.array(version("o", "old_content"), version("n", "new_content"))))
         .select("path", "side", F.posexplode("lines").alias("line_no", "line"))
     )
@@ -302,16 +291,8 @@ def drift_report(old: DataFrame, new: DataFrame, redact: bool = True) -> DataFra
         .when(F.col("change") == "removed", F.concat(F.lit("- Removed Variable: "), item, F.lit(" = "), o))
         .otherwise(from_to("Variable"))
     )
-    rows = json_rows.withColumn("line", json_line).unionByName(env_rows.withColumn("line", env_line))
-    # A removed file is not read any more.
-    reasons = F.when(F.col("file_status") != "removed", F.struct(_reason(F.col("old_content")).alias("o"), _reason(F.col("new_content")).alias("n")))
-    unread = files.where(F.col("path").endswith(".json")).withColumn("why", reasons).where("why.o IS NOT NULL OR why.n IS NOT NULL")
-    sides = F.concat_ws(", ", F.concat(F.lit("old: "), F.col("why.o")), F.concat(F.lit("new: "), F.col("why.n")))
-    errors = unread.select(
-        "path", "file_status", F.lit(None).cast("string").alias("item"), F.lit("error").alias("change"),
-        F.col("why.o").alias("old_value"), F.col("why.n").alias("new_value"), F.concat(F.lit("! Not read, "), sides).alias("line"),
-    )
-    return one_sided.unionByName(rows.withColumn("file_status", F.lit("common"))).unionByName(errors)
+    env_rows = env_rows.select("path", F.lit("common").alias("file_status"), "item", "change", "old_value", "new_value", env_line.alias("line"))
+    return json_rows.withColumn("line", json_line).drop("_line").unionByName(env_rows)
 
 
 def drift_files(report: DataFrame) -> DataFrame:
