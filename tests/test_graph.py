@@ -165,3 +165,13 @@ def test_levels_are_one_scan(spark):
         assert [tuple(r) for r in levels.orderBy("node").collect()] == [(i, i, False) for i in range(n)]
         assert levels._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
     assert G.topological_levels(nodes.where("false"), edges).count() == 0
+
+
+def test_only_parents_take_part_in_the_rounds(spark, tmp_path, monkeypatch):
+    """Rounds write parents that still wait; children without children are ranked at the end."""
+    monkeypatch.setattr(G, "new_folder", lambda session: str(tmp_path / "rounds"))
+    nodes = spark.range(100).select(F.col("id").alias("node"))
+    edges = spark.range(1, 100).select(F.col("id").alias("child"), F.when(F.col("id") == 1, 0).otherwise(1).cast("long").alias("parent"))
+    levels = {r.node: r.level for r in G.topological_levels(nodes, edges).collect()}
+    assert levels == {0: 0, 1: 1, **{i: 2 for i in range(2, 100)}}
+    assert {r.node for r in spark.read.parquet(str(tmp_path / "rounds")).collect()} == {0, 1}

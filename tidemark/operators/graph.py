@@ -21,23 +21,23 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     highest parent. Nodes on or behind a cycle take the level after the last
     and ``in_cycle``. Self edges and edges leaving the set do not count.
 
-    Each round settles all nodes that wait for no parent; the rounds are as
-    many as the graph is deep, and only nodes that still wait are written
-    again. All rounds are parts of one table, so the result is one scan,
-    however deep the graph is.
+    Only nodes that are a parent take part in the rounds, with the edges
+    between them; each round settles all that wait for no parent, and only
+    those that still wait are written again. The edges of all others, most of
+    a wide graph, are looked up once, when the levels of parents are known.
     """
     spark = nodes.sparkSession
-    nodes = checkpointed(nodes.select("node").distinct())
-    # Copies of an edge are added and taken off alike, and what is counted for
-    # children outside the set is never looked up; only parents must be in it.
+    nodes, edges = nodes.select("node"), edges.select("child", "parent").where("child <> parent")
+    inner = checkpointed(edges.select(F.col("parent").alias("node")).distinct().join(nodes, "node", "left_semi"))
+    # Copies of an edge are added and taken off alike.
     inside = checkpointed(
-        edges.select("child", "parent").where("child <> parent")
-        .join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        edges.join(inner.withColumnRenamed("node", "child"), "child", "left_semi")
+        .join(inner.withColumnRenamed("node", "parent"), "parent", "left_semi")
     )
     waits = inside.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("waits"))
-    state = nodes.join(waits, "node", "left_outer").select("node", F.coalesce("waits", F.lit(0)).alias("waits"))
+    state = inner.join(waits, "node", "left_outer").select("node", F.coalesce("waits", F.lit(0)).alias("waits"))
     folder = new_folder(spark)
-    counted = T.StructType([nodes.schema["node"], T.StructField("waits", T.LongType()), T.StructField("ready", T.BooleanType())])
+    counted = T.StructType([inner.schema["node"], T.StructField("waits", T.LongType()), T.StructField("ready", T.BooleanType())])
     for level in count():
         part = f"{folder}/level={level}"
         state.withColumn("ready", F.col("waits") == 0).write.partitionBy("ready").parquet(part)
@@ -50,8 +50,22 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "node", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")
         )
     levels = spark.read.schema(counted.add("level", T.IntegerType())).parquet(folder)
-    # Nodes that still wait in the last round hang on a cycle.
-    return levels.where(F.col("ready") | (F.col("level") == level)).select("node", "level", (~F.col("ready")).alias("in_cycle"))
+    # Nodes that still wait in the last round hang on a cycle, and so does all behind them.
+    parents = levels.where(F.col("ready") | (F.col("level") == level)).select(
+        F.col("node").alias("parent"), (F.col("level") + 1).alias("level"), (~F.col("ready")).alias("in_cycle")
+    )
+    below = edges.join(parents, "parent").select(F.col("child").alias("node"), "level", "in_cycle", F.lit(False).alias("is_node"))
+    whole = nodes.select("node", F.lit(0).alias("level"), F.lit(False).alias("in_cycle"), F.lit(True).alias("is_node")).unionAll(below)
+    ranked = whole.groupBy("node").agg(
+        F.max("level").alias("level"), F.max("in_cycle").alias("in_cycle"), F.max("is_node").alias("is_node")
+    ).where("is_node").drop("is_node")
+    ranked = checkpointed(ranked)
+    if state.isEmpty():
+        return ranked
+    # They come after the last level of all.
+    last = ranked.where("NOT in_cycle").agg(F.max("level")).first()[0]
+    after = F.lit(0 if last is None else last + 1)
+    return ranked.select("node", F.when(F.col("in_cycle"), after).otherwise(F.col("level")).alias("level"), "in_cycle")
 
 
 def transitive_dependents(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
