@@ -144,3 +144,21 @@ def test_data_scope(spark):
     assert S.scan_records(tables, keys, schemas={"a": "dev"}, scopes=scopes).count() == 0
     found = junk_report(tables, keys, [FkEdge("b", ("id",), "a", ("id",))], tables, ["test"], schemas=schemas, scopes=scopes)
     assert [(r.table_name, r.cascade) for r in found.report.collect()] == [("a", "1t × 1r")]
+
+
+def test_one_large_schema_is_many_tasks(spark):
+    """Members of a schema meet the dropped schemas in more than one task."""
+    items = spark.range(2000).select(
+        F.lit("d").alias("database"), F.lit("s").alias("schema"), F.when(F.col("id") == 0, "Schema").otherwise("Table").alias("kind"),
+        F.when(F.col("id") == 0, "other").otherwise(F.concat(F.lit("t"), "id")).alias("name"), F.lit(None).cast("string").alias("parent"),
+    )
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = J.cleanup_plan(items).where("phase = 2").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in rows) == 1999 and max(r["count"] for r in rows) < 1200
