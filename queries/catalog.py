@@ -8,6 +8,7 @@ from queries import Registry
 from queries.frames import load, with_frames
 from tidemark.functions.types import display_type, normalize_type
 from tidemark.operators import alignment as A, catalog as C, objects as O, risk as R
+from tidemark.session import checkpointed
 
 registry = Registry()
 
@@ -237,7 +238,8 @@ def _plan(spark, sf_dir):
 
 @registry.add("schema_change_plan", f"{_PLAN}\nSELECT * FROM plan")
 def schema_change_plan(spark, sf_dir):
-    return _plan(spark, sf_dir).orderBy(*O.PLAN_ORDER)
+    # Written first: sorting looks at all rows twice.
+    return checkpointed(_plan(spark, sf_dir)).orderBy(*O.PLAN_ORDER)
 
 
 @registry.add(

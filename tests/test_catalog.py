@@ -57,6 +57,30 @@ def test_column_changes(spark):
     assert O.verify_schema(same).first().passed and not O.verify_schema(O.schema_change_plan(src, tgt)).first().passed
 
 
+def test_plan_reads_edges_once(spark):
+    src = catalog(spark, [(t, *ID) for t in ("kept", "root", "leaf")])
+    tgt = catalog(spark, [(t, *ID[:5], True, None) for t in ("kept", "gone", "last")])
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    rows = [("db", "leaf", "root"), ("db", "root", "kept"), ("db", "last", "gone"), ("db", "kept", "root"), ("db", "leaf", None)]
+    edges = spark.createDataFrame(rows, "database string, child string, parent string").withColumn("parent", F.udf(seen, "string")("parent"))
+    plan = O.schema_change_plan(src, tgt, src_edges=edges, tgt_edges=edges)
+    got = sorted((r.object_name, r.diff_type, r.level) for r in plan.collect())
+    assert got == [("gone", "ExistingInTarget", 0), ("kept", "Altered", 0), ("last", "ExistingInTarget", -1), ("leaf", "Added", 1), ("root", "Added", 0)]
+    assert read.value <= len(rows)
+
+
+def test_columns_that_stay_are_no_change(spark):
+    many = spark.createDataFrame([("db", "s", "t", 1, "c", None, 1, None, None, None, None), ("db", "s", "t", 2, None, "text", None, None, None, True, None)], C.CATALOG_SCHEMA)
+    # A null name has no partner: it comes and goes on either side.
+    got = lambda tables: sorted((r.column_name or "", r.change) for r in C.column_diff(many, many, tables).collect())
+    assert got(None) == got(C.table_diff(many, many)) == [("", "ADD"), ("", "ADD"), ("", "DROP"), ("", "DROP")]
+
+
 def test_key_names_leave_out_numbered_prefixes(spark):
     rows = [("U01_Orders", *ID), ("u02_", *ID)]
     keys = spark.createDataFrame([("db", "public", t, 1, "id") for t, *_ in rows], "database string, schema string, table_name string, key_position int, key_column string")

@@ -62,12 +62,13 @@ def table_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
     )
 
 
-def column_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
+def column_diff(src: DataFrame, tgt: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Changes of the columns of common tables: ADD, DROP, TYPE, SET/DROP NOT
     NULL, SET/DROP DEFAULT; one column may have several, numbered in that order.
 
     The rows carry the new type, nullability and default, so an added column
-    can be written out in full.
+    can be written out in full. ``tables`` is their `table_diff` where the
+    caller has it already, which saves a scan of both catalogs.
     """
     names = [*TABLE, "column_name"]
     side = lambda df, p: df.select(*[F.col(n).alias(p + n) for n in (*names, *FACTS)])
@@ -110,12 +111,14 @@ def column_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
             ),
         )
     )
-    found = side(src, "s_").join(side(tgt, "t_"), on, "full_outer").select(
+    changed = only_s | only_t | type_changed | differs("is_nullable") | default_changed
+    found = side(src, "s_").join(side(tgt, "t_"), on, "full_outer").where(changed).select(
         *[F.coalesce("s_" + n, "t_" + n).alias(n) for n in names],
         s("is_nullable").alias("new_nullable"), s("column_default").alias("new_default"),
         F.inline(changes),
     )
-    common = table_diff(src, tgt).where("diff_type = 'Common'").select(*TABLE)
+    tables = table_diff(src, tgt) if tables is None else tables
+    common = tables.where("diff_type = 'Common'").select(*TABLE)
     return found.join(common, list(TABLE), "left_semi")
 
 

@@ -200,10 +200,16 @@ def _leveled(tables: DataFrame, src_edges: DataFrame | None, tgt_edges: DataFram
     if not sides:
         return tables.withColumn("level", F.lit(0))
     node = lambda name, diff_type: F.struct(diff_type.alias("diff_type"), "database", F.col(name).alias("table_name"))
-    edges = union_all(
-        [e.select(node("child", F.lit(t)).alias("child"), node("parent", F.lit(t)).alias("parent")) for e, t in sides]
+    nodes = tables.select(node("table_name", F.col("diff_type")).alias("node"))
+    of_one = lambda e, *kinds: e.select("database", "child", "parent", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("diff_type")).select(
+        *[node(end, F.col("diff_type")).alias(end) for end in ("child", "parent")]
     )
-    levels = topological_levels(tables.select(node("table_name", F.col("diff_type")).alias("node")), edges)
+    # The same edges on both sides are read once.
+    same = src_edges is tgt_edges
+    edges = of_one(src_edges, *[t for _, t in sides]) if same else union_all([of_one(e, t) for e, t in sides])
+    # Most tables are on both sides. Written, as the ranks read the edges several times.
+    edges = checkpointed(edges.join(nodes.select(F.col("node").alias("child")), "child", "left_semi"))
+    levels = topological_levels(nodes, edges)
     return tables.join(levels.select("node.*", "level"), ["diff_type", "database", "table_name"])
 
 
@@ -243,7 +249,8 @@ def schema_change_plan(
     one_sided = _leveled(tables.where("diff_type <> 'Common'"), src_edges, tgt_edges)
     added = one_sided.where("diff_type = 'Added'")
     removed = one_sided.where("diff_type = 'ExistingInTarget'")
-    ddl = render_table_ddl(src_catalog.join(added.select(*TABLE), list(TABLE), "left_semi"), keys, tgt_schema)
+    of_added = lambda df: df.join(added.select(*TABLE), list(TABLE), "left_semi")
+    ddl = render_table_ddl(of_added(src_catalog), None if keys is None else of_added(keys), tgt_schema)
     rank = KIND_ORDER.index("Table")
     table_rows = lambda df, phase, level, diff_type, script: df.select(
         "database", F.lit(rank).alias("kind_rank"), F.lit(phase).alias("phase"), level.alias("level"),
@@ -252,7 +259,7 @@ def schema_change_plan(
     )
     dropped = filled('DROP TABLE IF EXISTS {s}."{n}" CASCADE;', s=F.lit(tgt_schema), n=F.col("table_name"))
     section = F.when(F.col("change") == "ADD", 1).when(F.col("change") == "DROP", 2).otherwise(3)
-    changes = column_diff(src_catalog, tgt_catalog).select(
+    changes = column_diff(src_catalog, tgt_catalog, tables).select(
         *TABLE, F.struct(section.alias("s"), "column_name", "position", alter_statement(tgt_schema).alias("text")).alias("_line")
     )
     if object_options.get("include_owner") and src_objects is not None and tgt_objects is not None:
