@@ -77,3 +77,23 @@ def test_unchanged_rows_do_not_move(spark):
     assert plan.count("LeftSemi") >= 2 and "Window" not in plan
     # The written keys are few, so the rows of both sides are filtered where they are read.
     assert plan.count("BroadcastHashJoin") >= 2
+
+
+def test_numbers_of_keys_move_instead_of_keys(spark, monkeypatch):
+    rows = [(k, "k" * 50, v) for k in range(20) for v in range(k % 4 + 1)] + [(None, None, 1), (None, "x", None)]
+    other = [(k, j, v + 1 if k == 7 else v) for k, j, v in rows if k != 3] + [(5, "k" * 50, 0), (99, None, 0), (None, "x", None)]
+    src, tgt = (spark.createDataFrame(r, "k int, j string, v int") for r in (rows, other))
+    want = bag(D.row_diff(src, tgt, ["k", "j"]).where("op <> 'S'"))
+    found = G.differing_numbers(src, tgt, ["k", "j"], ["v"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanged) == 1 and "hashpartitioning(number" in exchanged[0] and " j#" not in exchanged[0]
+    assert found.columns == ["number", "source_rows", "target_rows"]
+    assert bag(D.row_changes(src, tgt, ["k", "j"])) == want
+    # Sums that are too large, and keys that share a number, are compared as well.
+    monkeypatch.setattr(G, "_WIDE", 63)
+    assert bag(D.row_changes(src, tgt, ["k", "j"])) == want
+    shared = lambda keys: F.pmod(F.xxhash64(*keys), F.lit(3))
+    monkeypatch.setattr(G, "key_number", shared)
+    monkeypatch.setattr(D, "key_number", shared)
+    assert bag(D.row_changes(src, tgt, ["k", "j"])) == want

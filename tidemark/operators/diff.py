@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.columns import any_of, col, lower_set, null_safe, renamed
 from tidemark.functions.values import changed_columns, value_changed
-from tidemark.operators.digests import comparable_keys, differing_keys, differing_ranges, key_range
+from tidemark.operators.digests import (
+    comparable_keys, differing_keys, differing_numbers, differing_ranges, key_number, key_range, may_number,
+)
 from tidemark.operators.keys import largest_groups, union_all, with_occurrence
 from tidemark.operators.ranking import first_per_class
 from tidemark.session import at_once, checkpointed
@@ -116,8 +118,8 @@ def row_changes(
 ) -> DataFrame:
     """The rows of `row_diff` that are not S, found by digests first.
 
-    One shuffle of keys and digests, combined before it, finds the keys whose
-    rows differ; they are written, and only rows of those keys are numbered,
+    One shuffle of key numbers and digests, combined before it, finds the keys
+    whose rows differ; they are written, and only rows of those keys are numbered,
     joined and compared cell by cell. Rows of unchanged keys never move. The
     written keys are as many as there are changed keys, and Spark broadcasts
     them only where that is small.
@@ -138,12 +140,16 @@ def row_changes(
     if by_ranges:
         ranges = checkpointed(differing_ranges(src, tgt, keys, compared).select(F.col("range").alias("_range")))
         seen = [df.join(ranges, key_range(keys) == F.col("_range"), "left_semi") for df in seen]
-    found = checkpointed(differing_keys(*seen, keys, compared))
+    numbered = may_number(src, keys)
+    found = checkpointed((differing_numbers if numbered else differing_keys)(*seen, keys, compared))
     largest_group = 1
     if not options.unique_keys:
         largest_group = found.agg(F.max(F.greatest("source_rows", "target_rows"))).first()[0] or 0
-    wanted = renamed(found, keys, "_k_")
-    fetched = lambda df: df.join(wanted, null_safe((k, "_k_" + k) for k in keys), "left_semi")
+    if numbered:
+        wanted, on = found.select(F.col("number").alias("_number")), key_number(keys) == F.col("_number")
+    else:
+        wanted, on = renamed(found, keys, "_k_"), null_safe((k, "_k_" + k) for k in keys)
+    fetched = lambda df: df.join(wanted, on, "left_semi")
     return row_diff(fetched(src), fetched(tgt), keys, rest, largest_group).where("op <> 'S'")
 
 
