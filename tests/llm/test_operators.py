@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 
@@ -325,6 +326,35 @@ def test_near_copies_are_packed_apart(spark, tmp_path):
     assert sum(near.values()) == 12 and set(near.values()) == {1}
 
 
+def test_words_are_counted_once(spark):
+    from tidemark.llm.near_duplicates import near_duplicates
+    from tidemark.llm.packing import best_fit
+
+    rows = ROWS + [(None, "a b\tc"), (None, "a b\tc"), (900, "é\u00a0x y\x0bz"), (901, " \n")]
+    docs = spark.createDataFrame([(i, t, f"s{(i or 0) % 3}") for i, t in rows], "doc_id long, text string, source string")
+    near = near_duplicates(docs, words=5, with_texts=True).select("doc_id", "text_hash", F.hex("component").alias("cluster"), "n_words")
+    got = best_fit(docs, capacity=100, clusters=near)
+    again = best_fit(docs, capacity=100, clusters=near.drop("n_words").filter("cluster IS NOT NULL"))
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in plan(again) and "regexp" not in plan(got)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, again.collect()))
+    with pytest.raises(Exception, match="without n_words"):
+        best_fit(docs, clusters=near.filter("n_words < 5")).collect()
+
+
+def test_words_of_many_texts():
+    from tidemark.llm import hashing, near_duplicates
+
+    draw = random.Random(8)
+    texts = [b"", b" ", b"x", *(bytes(draw.choice(b"ab \n\t") for _ in range(draw.randint(0, 60))) for _ in range(200)), b"long " * 60_000, b"y z"]
+    found = hashing.many_word_hashes(texts)
+    assert [f.tolist() for f in found] == [hashing.word_hashes(t).tolist() for t in texts]
+    for (at, upto, words, sets), part in zip(near_duplicates._groups(texts, 3), [texts]):
+        assert (at, upto) == (0, len(texts)) and len(words) == len(sets) == len(part)
+        assert [s.tolist() for s in sets] == [near_duplicates.shingle_set(t.decode(), 3).tolist() for t in texts]
+        assert all(len(s) == len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else []) for s, w in zip(sets, map(bytes.split, texts)))
+
+
 def test_best_fit_is_tightest():
     from tidemark.llm.packing import pack
 

@@ -86,3 +86,33 @@ def word_hashes(text: bytes) -> np.ndarray:
             out.append(part_hashes(prefix_sums(data), starts, ends))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+#: Bytes of short texts that are hashed together.
+_TOGETHER = 1 << 18
+
+
+def many_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """`word_hashes` of each text; short texts share their passes over the bytes."""
+    out, at = [], 0
+    while at < len(texts):
+        size, upto = len(texts[at]), at + 1
+        while upto < len(texts) and size + len(texts[upto]) < _TOGETHER:
+            size += len(texts[upto])
+            upto += 1
+        if upto == at + 1:
+            out.append(word_hashes(texts[at]))
+        else:
+            data = np.frombuffer(b" ".join(texts[at:upto]), np.uint8)
+            starts, ends = word_bounds(data)
+            stops = np.cumsum([len(t) + 1 for t in texts[at:upto]])
+            out += np.split(part_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, stops[:-1]))
+        at = upto
+    return out
+
+
+def hash_sums(hashes: np.ndarray) -> np.ndarray:
+    """`prefix_sums` of a sequence of hashes, such as a text's words."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(len(hashes))[0][: len(hashes)], out=sums[1:])
+    return sums

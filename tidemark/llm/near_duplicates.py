@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, components
-from tidemark.llm.hashing import mix, word_hashes
+from tidemark.llm.hashing import many_word_hashes, mix, word_hashes
 from tidemark.session import checkpointed, release
 
 BANDS = 32
@@ -51,44 +52,93 @@ ROWS = 5
 _UNFILLED = np.uint64(2**64 - 1)
 #: Holders up to which an element is rare.
 RARE = 12
+#: Bytes of the texts whose sets and sketches are made together.
+_GROUP_BYTES = 1 << 20
 #: Width of a class of set sizes, as a factor.
 _STEP = 1.05
 
 
+@lru_cache(maxsize=None)
+def _places(words: int) -> list[np.uint64]:
+    """An odd factor for each place in a shingle."""
+    return list(mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1))
+
+
+def _lower(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def _runs_of(one: np.ndarray, size: int) -> np.ndarray:
+    """One hash for each run of `size` of these word hashes."""
+    rows = len(one) - size + 1
+    whole = np.full(rows, np.uint64(size))
+    for i, place in enumerate(_places(size)):
+        whole += one[i : i + rows] * place
+    return mix(whole)
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    return hashes[np.r_[True, hashes[1:] != hashes[:-1]]] if len(hashes) else hashes
+
+
+def _shingles(found: list[np.ndarray], words: int) -> list[np.ndarray]:
+    """Shingle sets of texts, from their word hashes."""
+    joined, out, end = np.concatenate(found) if found else np.empty(0, np.uint64), [], 0
+    whole = _runs_of(joined, words) if len(joined) >= words else None
+    for one in found:
+        end += len(one)
+        if len(one) >= words:
+            out.append(_distinct(whole[end - len(one) : end - words + 1]))
+        else:
+            out.append(_runs_of(one, len(one)) if len(one) else one)
+    return out
+
+
+def _groups(texts: list[bytes], words: int):
+    """(from, to, word hashes, shingle sets) of neighbouring texts of `_GROUP_BYTES` at most, or of one text."""
+    at = 0
+    while at < len(texts):
+        size, upto = len(texts[at]), at + 1
+        while upto < len(texts) and size + len(texts[upto]) <= _GROUP_BYTES:
+            size += len(texts[upto])
+            upto += 1
+        found = many_word_hashes(texts[at:upto])
+        yield at, upto, found, _shingles(found, words)
+        at = upto
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of `words` words; a shorter text that
     has words is one shingle, others have none."""
-    if not text:
-        return np.empty(0, np.uint64)
-    one = word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    if not len(one):
-        return one
-    size = min(words, len(one))
-    rows = len(one) - size + 1
-    whole = np.full(rows, np.uint64(size))
-    for i in range(size):
-        whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + one[i : i + rows])
-    return np.unique(whole)
+    return _shingles([word_hashes(_lower(text))], words)[0]
 
 
 def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """One row of `bins` filled coordinates for each set; empty sets stay unfilled."""
     sizes = np.array([len(s) for s in sets])
     items = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    base = np.repeat(np.arange(len(sets)) * bins, sizes)
     out = np.full(len(sets) * bins, _UNFILLED)
-    open_ = sizes > 0
     for i in range(2 * bins):
-        if not open_.any():
+        if not len(items):
             break
-        going = open_[owner]
-        if not going.all():
-            items, owner = items[going], owner[going]
         thrown = mix(items + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1))
-        at = (thrown % np.uint64(bins)).astype(np.int64) if i < bins else np.int64(i - bins)
-        # The round stands above the hash, so later rounds never replace earlier ones.
-        np.minimum.at(out, owner * bins + at, (np.uint64(i) << np.uint64(48)) | (thrown >> np.uint64(16)))
-        open_ &= (out.reshape(-1, bins) == _UNFILLED).any(axis=1)
+        if i < bins:
+            at = base + ((thrown >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+        else:
+            at = base + (i - bins)
+        # What an earlier round has filled stays.
+        if i:
+            free = np.flatnonzero(out[at] == _UNFILLED)
+            at, thrown = at[free], thrown[free]
+        np.minimum.at(out, at, (np.uint64(i) << np.uint64(48)) | (thrown & np.uint64(2**48 - 1)))
+        open_ = (out.reshape(-1, bins) == _UNFILLED).any(axis=1)
+        if i < 4 or not i % 8:  # those that are full only wait
+            going = np.repeat(open_, sizes)
+            items, base, sizes = items[going], base[going], np.where(open_, sizes, 0)
+        elif not open_[sizes > 0].any():
+            break
     return out.reshape(-1, bins)
 
 
@@ -103,18 +153,18 @@ def _band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
 def _features(words: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 64):
-                sets = [shingle_set(t, words) for t in texts[at : at + 64].to_pylist()]
+            texts = [_lower(t) for t in batch.column(1).to_pylist()]
+            for at, upto, found, sets in _groups(texts, words):
                 keys = _band_keys(sketches(sets, bands * rows), bands)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[at : at + 64], batch.column(2)[at : at + 64],
+                        batch.column(0)[at:upto], batch.column(2)[at:upto],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([k if len(s) else [] for s, k in zip(sets, keys)], pa.list_(pa.int64())),
+                        pa.array([len(f) for f in found], pa.int64()),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "cls", "keys"],
+                    names=["doc_id", "text_hash", "n_shingles", "cls", "keys", "n_words"],
                 )
 
     return run
@@ -123,11 +173,9 @@ def _features(words: int, bands: int, rows: int):
 def _sets(words: int):
     def run(batches):
         for batch in batches:
-            for cls, text in zip(batch.column(0), batch.column(1)):
-                found = shingle_set(text.as_py(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([cls.as_py()], pa.binary()), pa.array([found], pa.list_(pa.int64()))], names=["cls", "items"]
-                )
+            for at, upto, _, sets in _groups([_lower(t) for t in batch.column(1).to_pylist()], words):
+                items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:upto], items], names=["cls", "items"])
 
     return run
 
@@ -277,7 +325,7 @@ def near_duplicates(
     component_id; of different texts of a component with that id, the one with
     the smallest hash). `with_texts` adds text_hash (xxhash64 of the text) and
     component (a digest, null without words), which tell rows and components
-    apart where ids are null or come more than once.
+    apart where ids are null or come more than once, and n_words.
 
     Null and empty texts and texts without words have an empty set and are
     linked to nothing. Equal texts are always linked. Repeated rows come out
@@ -291,7 +339,7 @@ def near_duplicates(
         "text_hash", F.xxhash64("text")
     )
     features = checkpointed(plain.mapInArrow(
-        _features(words, bands, rows), "doc_id long, text_hash long, n_shingles long, cls binary, keys array<long>"
+        _features(words, bands, rows), "doc_id long, text_hash long, n_shingles long, cls binary, keys array<long>, n_words long"
     ))
     classes = checkpointed(features.filter("n_shingles > 0").groupBy("cls").agg(
         # Rows without id come last.
@@ -326,5 +374,6 @@ def _named(features: DataFrame, named: DataFrame, with_texts: bool) -> DataFrame
     found = features.drop("keys").join(named, "cls", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, first).otherwise(True).alias("kept"), "text_hash", F.col("root").alias("component"),
+        "n_words",
     )
-    return found if with_texts else found.drop("text_hash", "component")
+    return found if with_texts else found.drop("text_hash", "component", "n_words")

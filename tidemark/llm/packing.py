@@ -74,7 +74,8 @@ def best_fit(
     nothing is dropped; pieces of one document are in different bins. Its
     cluster is `cluster_col`, or that which `clusters` (doc_id, text_hash,
     cluster; text_hash is xxhash64 of the text) has for its id and text, or
-    else a hash of the whole text.
+    else a hash of the whole text. If `clusters` has a column n_words, it must
+    have every text; words are then not counted again.
 
     Null and empty texts are an end mark and in no cluster; a null source or
     cluster conflicts with nothing; a null or negative length is 0. Repeated
@@ -82,7 +83,12 @@ def best_fit(
     columns are not read. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    length = F.col(length_col).cast("long") if length_col else F.regexp_count(text, F.lit(r"\S+")).cast("long") + 1
+    # Word counts that come with the clusters spare a second pass over the texts.
+    counted = clusters is not None and "n_words" in clusters.columns and not length_col
+    if length_col:
+        length = F.col(length_col).cast("long")
+    else:
+        length = F.lit(0) if counted else F.regexp_count(text, F.lit(r"\S+")).cast("long") + 1
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.when(text != "", F.xxhash64(text).cast("string"))
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     rows = docs.select(
@@ -92,10 +98,16 @@ def best_fit(
     )
     if clusters is not None:
         # Null ids are ids like any other.
-        of = clusters.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("cluster").cast("string").alias("given")).distinct()
+        of = clusters.select(
+            F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("cluster").cast("string").alias("given"),
+            *(["n_words"] if counted else []),
+        ).distinct()
         rows = rows.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").withColumn(
             "cluster", F.coalesce(F.concat(F.lit("given "), F.col("given")), "cluster")
         )
+        if counted:
+            missing = F.raise_error(F.lit("a text without n_words in clusters")).cast("long")
+            rows = rows.withColumn("whole", F.coalesce(F.col("n_words").cast("long"), missing) + 1)
     groups = max(1, -(-docs.count() // GROUP_ROWS))
     last = F.greatest(F.lit(0), F.floor((F.col("whole") - 1) / capacity).cast("int"))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(

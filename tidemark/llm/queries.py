@@ -109,8 +109,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.session import checkpointed
 
     docs = table(spark, sf_dir, "documents")
-    near = near_duplicates(docs, words=5, percent=80, with_texts=True).filter("component IS NOT NULL")
-    return best_fit(docs, clusters=checkpointed(near.select("doc_id", "text_hash", F.hex("component").alias("cluster"))))
+    near = near_duplicates(docs, words=5, percent=80, with_texts=True)
+    return best_fit(docs, clusters=checkpointed(near.select("doc_id", "text_hash", F.hex("component").alias("cluster"), "n_words")))
 
 
 def files_of(docs: DataFrame) -> DataFrame:
