@@ -44,8 +44,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages of 400 bytes that occur elsewhere."""
-    done = remove_repeats(docs, length=400)
+    """All documents, without the bytes of passages of 400 bytes that occur elsewhere, or of 50 words
+    in another document. Words of the benchmark stay, so that the next stage sees them."""
+    done = remove_repeats(docs, length=400, words=50, spare=table(spark, sf_dir, "benchmark").select("text"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

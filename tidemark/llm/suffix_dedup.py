@@ -22,6 +22,11 @@ else, in the same document or another. Such a string is called a window.
 4. An anchor with more than `CROWD` different runs is too much for one task.
    Its windows are counted one by one by their digests instead, a shuffle
    that any number of tasks share; the result is the same.
+
+Passages are runs of a number of words that another document has too, however
+many bytes they are; white space between words does not matter. Their windows
+have anchors like those of bytes. Only windows whose anchor two different texts
+have are counted, one by one, by their hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches
-from tidemark.llm.hashing import part_hashes, prefix_sums
+from tidemark.llm.hashing import hash_sums, many_word_hashes, part_hashes, prefix_sums, word_bounds, word_hashes
 from tidemark.session import checkpointed
 
 #: Bytes up to which multikey quicksort compares.
@@ -63,13 +68,17 @@ def _runs_of_block(data: np.ndarray, ends: np.ndarray, length: int):
     """Runs of the windows in joined texts: starts, window counts, anchors, anchor hashes.
 
     `ends` holds for each byte the end of its text."""
-    gram = _gram(length)
-    if len(data) < length:
+    return _runs_of_sums(prefix_sums(data), ends, length, _gram(length))
+
+
+def _runs_of_sums(sums: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    size = len(sums) - 1
+    if size < length:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    starts = np.arange(len(data) - gram + 1)
-    marks = part_hashes(prefix_sums(data), starts, starts + gram)
+    starts = np.arange(size - gram + 1)
+    marks = part_hashes(sums, starts, starts + gram)
     marks = (marks >> _POSITION << _POSITION) | starts.astype(np.uint64)
-    wide, windows = length - gram + 1, len(data) - length + 1
+    wide, windows = length - gram + 1, size - length + 1
     padded = np.full(-(-len(marks) // wide) * wide, np.uint64(2**64 - 1))
     padded[: len(marks)] = marks
     cells = padded.reshape(-1, wide)
@@ -118,13 +127,65 @@ def text_runs(texts: list[bytes], length: int) -> list[tuple[list, list, list, l
     return out
 
 
+# --- passages of words -------------------------------------------------------
+
+
+def word_runs(found: list[np.ndarray], words: int):
+    """Runs of the windows of `words` words of texts, given as word hashes: arrays of text, start, windows, anchor hash."""
+    pieces = [(i, at, f[at : at + _BLOCK + words - 1]) for i, f in enumerate(found) for at in range(0, max(1, len(f) - words + 1), _BLOCK)]
+    at = 0
+    while at < len(pieces):
+        size, upto = len(pieces[at][2]), at + 1
+        while upto < len(pieces) and size + len(pieces[upto][2]) <= _BLOCK:
+            size += len(pieces[upto][2])
+            upto += 1
+        here = pieces[at:upto]
+        sizes = np.array([len(p[2]) for p in here])
+        stops = np.cumsum(sizes)
+        sums = hash_sums(np.concatenate([p[2] for p in here]))
+        first, count, _, key = _runs_of_sums(sums, np.repeat(stops, sizes), words, max(1, min(6, words // 8)))
+        owner = np.searchsorted(stops, first, side="right")
+        yield np.array([p[0] for p in here])[owner], first + (np.array([p[1] for p in here]) - stops + sizes)[owner], count, key.view(np.int64)
+        at = upto
+
+
+def _marks(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Distinct anchor hashes of each text's windows of words."""
+    runs = list(word_runs(many_word_hashes(texts), words))
+    text, key = (np.concatenate([r[i] for r in runs]) for i in (0, 3))
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])][: len(text)])
+    return np.split(key[new], np.searchsorted(text[new], np.arange(1, len(texts))))
+
+
+def _windows(data: bytes, words: int, marks: np.ndarray | None = None):
+    """(start, hashes of the windows) of the runs of a text, or of those with one of these anchors."""
+    found = word_hashes(data)
+    for _, first, count, key in word_runs([found], words):
+        chosen = np.isin(key, marks) if marks is not None else np.ones(len(key), bool)
+        for f, c in zip(first[chosen].tolist(), count[chosen].tolist()):
+            at = np.arange(c)
+            yield f, part_hashes(hash_sums(found[f : f + c - 1 + words]), at, at + words).view(np.int64)
+
+
+def _spared(words: int):
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for _, hashes in _windows(_bytes(text), words):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes)], names=["window"])
+
+    return run
+
+
 _FEATURES = (
     "doc_id long, digest binary, n_bytes long, sha string, "
-    "starts array<long>, counts array<int>, anchors array<long>, keys array<long>, contents array<binary>"
+    "starts array<long>, counts array<int>, anchors array<long>, keys array<long>, contents array<binary>, marks array<long>"
 )
 
 
-def _features(length: int):
+def _features(length: int, words: int):
     types = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
 
     def run(batches):
@@ -139,6 +200,7 @@ def _features(length: int):
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                 ] + [pa.array([r[i] for r in runs], types[i]) for i in range(5)]
+                columns.append(pa.array(_marks(texts, words) if words else [[]] * len(texts), pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FEATURES.split(", ")])
 
     return run
@@ -286,17 +348,18 @@ def equal_windows(bodies: list[bytes], lefts: list[int], counts: list[int], leng
     return [_ranges(f) for f in flags]
 
 
-_BODIES = "key long, content binary, digest binary, start long, count int, left int, body binary, windows array<binary>"
+_BODIES = "key long, content binary, digest binary, start long, count int, left int, body binary, windows array<binary>, hashes array<long>"
 
 
-def _bodies(length: int):
-    """Bytes of the wanted runs of a text, or for crowded anchors their windows' digests."""
+def _bodies(length: int, words: int):
+    """Bytes of the wanted runs of a text, or for crowded anchors their windows'
+    digests; and hashes of the windows of words that have a shared anchor."""
 
     def run(batches):
         for batch in batches:
-            for digest, text, wanted in zip(*(batch.column(i) for i in range(3))):
+            for digest, text, wanted, marks in zip(*(batch.column(i) for i in range(4))):
                 data, rows = _bytes(text.as_py()), []
-                for w in wanted.as_py():
+                for w in wanted.as_py() or []:
                     body = data[w["start"] : w["start"] + w["count"] - 1 + length]
                     windows = None
                     if w["crowd"]:
@@ -308,12 +371,18 @@ def _bodies(length: int):
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
+                if marks.is_valid:
+                    for start, hashes in _windows(data, words, marks.values.to_numpy()):
+                        rows.append({"digest": digest.as_py(), "start": start, "hashes": hashes})
+                        if len(rows) == 500:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([
         ("key", pa.int64()), ("content", pa.binary()), ("digest", pa.binary()), ("start", pa.int64()), ("count", pa.int32()),
-        ("left", pa.int32()), ("body", pa.binary()), ("windows", pa.list_(pa.binary())),
+        ("left", pa.int32()), ("body", pa.binary()), ("windows", pa.list_(pa.binary())), ("hashes", pa.list_(pa.int64())),
     ])
     return run
 
@@ -348,8 +417,23 @@ def _sorted_groups(length: int):
 # --- the operator -----------------------------------------------------------
 
 
-def _repeats(plain: DataFrame, features: DataFrame, length: int, crowd: int) -> DataFrame:
-    """(digest, repeats): for texts with one copy, the ranges of starts whose windows repeat."""
+def _sharing(features: DataFrame) -> DataFrame:
+    """(digest, row_id, marks): the anchors of words that another text has too."""
+    posts = features.select("digest", F.explode("marks").alias("mark"))
+    met = _of_two_texts(posts, "mark")
+    rows = features.groupBy("digest").agg(F.min("doc_id").alias("row_id"))
+    return posts.join(met, "mark").groupBy("digest").agg(F.collect_set("mark").alias("marks")).join(rows, "digest").select("digest", "row_id", "marks")
+
+
+def _of_two_texts(rows: DataFrame, name: str) -> DataFrame:
+    """Values of a column that come with different digests."""
+    digest = F.xxhash64("digest")
+    return rows.groupBy(name).agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select(name)
+
+
+def _repeats(plain: DataFrame, features: DataFrame, length: int, crowd: int, words: int, spare: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(digest, repeats): for texts with one copy, the ranges of starts whose windows repeat;
+    and (digest, passages): the starts, in words, of windows that another text has."""
     classes = features.filter(F.size("starts") > 0).groupBy("digest").agg(
         F.min("doc_id").alias("row_id"),
         *(F.first(c).alias(c) for c in ("starts", "counts", "anchors", "keys", "contents")),
@@ -378,10 +462,18 @@ def _repeats(plain: DataFrame, features: DataFrame, length: int, crowd: int) ->
         .groupBy("one.digest", "one.row_id")
         .agg(F.collect_list(F.struct("one.start", "one.count", "one.anchor", "key", "content", "crowd")).alias("wanted"))
     )
+    if words:  # with the same reading of texts
+        wanted = wanted.select("digest", "row_id", "wanted", F.lit(None).cast("array<long>").alias("marks"))
+        sharing = _sharing(features).select("digest", "row_id", F.lit(None).cast(wanted.schema["wanted"].dataType).alias("wanted"), "marks")
+        wanted = wanted.union(sharing).groupBy("digest").agg(
+            F.min("row_id").alias("row_id"), F.first("wanted", ignorenulls=True).alias("wanted"), F.first("marks", ignorenulls=True).alias("marks")
+        )
+    else:
+        wanted = wanted.withColumn("marks", F.lit(None).cast("array<long>"))
     texts = plain.withColumnRenamed("digest", "own").join(
         wanted, (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("row_id"))
     )
-    bodies = checkpointed(texts.select("digest", "text", "wanted").mapInArrow(_bodies(length), _BODIES))
+    bodies = checkpointed(texts.select("digest", "text", "wanted", "marks").mapInArrow(_bodies(length, words), _BODIES))
     sorted_ = (
         bodies.filter("body IS NOT NULL").select("key", "content", "digest", "start", "count", "left", "body")
         .repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length), "digest binary, start long, count int")
@@ -391,10 +483,19 @@ def _repeats(plain: DataFrame, features: DataFrame, length: int, crowd: int) ->
     )
     often = counted.groupBy("window").agg(F.count("*").alias("times")).filter("times > 1").select("window")
     single = counted.join(often, "window", "left_semi").select("digest", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("count"))
-    return (
+    repeats = checkpointed(
         whole.select("digest", "start", "count").union(sorted_).union(single)
         .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "count"))).alias("repeats"))
     )
+    if not words:
+        return repeats, None
+    windows = bodies.filter("hashes IS NOT NULL").select("digest", "start", F.posexplode("hashes").alias("at", "window"))
+    often = _of_two_texts(windows, "window")
+    if spare is not None:
+        spared = spare.select(F.col(spare.columns[0]).cast("string")).mapInArrow(_spared(words), "window long")
+        often = often.join(spared, "window", "left_anti")
+    passages = windows.join(often, "window").groupBy("digest").agg(F.sort_array(F.collect_set(F.col("start") + F.col("at"))).alias("passages"))
+    return repeats, checkpointed(passages)
 
 
 def removed_spans(repeats: list, length: int) -> list[tuple[int, int]]:
@@ -409,16 +510,36 @@ def removed_spans(repeats: list, length: int) -> list[tuple[int, int]]:
     return [tuple(s) for s in spans]
 
 
-def _cut(length: int, names: list[str], text_col: str, schema: pa.Schema):
+def passage_spans(data: bytes, passages: list[int], copied: bool, words: int) -> list[tuple[int, int]]:
+    """Byte spans [from, to) of a text's passages, from sorted starts of their windows in words."""
+    if not passages and not copied:
+        return []
+    starts, ends = word_bounds(np.frombuffer(data, np.uint8))
+    if copied:
+        passages = range(len(starts) - words + 1)
+    windows = [{"start": p, "count": 1} for p in passages]
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in removed_spans(windows, words)]
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return removed_spans([{"start": a, "count": b - a} for a, b in sorted(spans)], 1)
+
+
+def _cut(length: int, words: int, cut_words: bool, names: list[str], text_col: str, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             texts, kept = batch.column(names.index(text_col)).to_pylist(), []
-            stats: list[list] = [[], [], [], []]
-            for text, copied, repeats, sha in zip(texts, *(batch.column(i).to_pylist() for i in range(len(names), len(names) + 3))):
+            stats: list[list] = [[], [], [], [], []]
+            for text, copied, repeats, sha, passages in zip(texts, *(batch.column(i).to_pylist() for i in range(len(names), len(names) + 4))):
                 data = _bytes(text)
                 spans = removed_spans(repeats or [], length)
                 if copied and len(data) >= length:
                     spans = [(0, len(data))]
+                if words:
+                    shared = passage_spans(data, passages or [], copied, words)
+                    stats[4].append(sum(b - a for a, b in shared))
+                    if cut_words:
+                        spans = _joined(spans + shared)
                 rest = data
                 if spans:
                     edges = [0, *(e for s in spans for e in s), len(data)]
@@ -431,7 +552,7 @@ def _cut(length: int, names: list[str], text_col: str, schema: pa.Schema):
                 # A cut inside a character leaves bytes that are no text.
                 kept.append(rest.decode("utf-8", "ignore") if spans else text)
             columns = [pa.array(kept, pa.string()) if n == text_col else batch.column(i) for i, n in enumerate(names)]
-            columns += [pa.array(s, t) for s, t in zip(stats, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            columns += [pa.array(s, t) for s, t in zip(stats, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())[: 5 if words else 4])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -439,6 +560,7 @@ def _cut(length: int, names: list[str], text_col: str, schema: pa.Schema):
 
 def remove_repeats(
     docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, columns: list[str] | None = None,
+    words: int = 0, cut_words: bool = True, spare: DataFrame | None = None,
 ) -> DataFrame:
     """The documents without the bytes of repeated strings of `length` bytes.
 
@@ -448,8 +570,14 @@ def remove_repeats(
     names. Texts are UTF-8; where a cut leaves part of a character, the text
     is without it, while kept_sha256 and the counts go by bytes.
 
+    With `words`, passages of so many words that a document with another text
+    or a copy has too go as well, the first included, or with `cut_words` off
+    are only counted; n_passage_bytes is how many bytes of the text they are.
+    `spare` has texts in its first column; windows of words that stand in
+    them are no passages.
+
     A null text counts as empty and stays null. Texts shorter than `length`
-    are never changed. Repeated rows are copies of each other, so they lose
+    are never changed, but by passages. Repeated rows are copies of each other, so they lose
     all bytes. Null ids are ordinary ids. An empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -457,6 +585,8 @@ def remove_repeats(
 
     bounded_batches(docs.sparkSession)
     stats = {"n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType(), "kept_sha256": StringType()}
+    if words:
+        stats["n_passage_bytes"] = LongType()
     names = [c for c in (columns or docs.columns) if c not in stats]
     names += [c for c in (id_col, text_col) if c not in names]
     docs = docs.select(*names)
@@ -464,12 +594,13 @@ def remove_repeats(
     plain = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).withColumn("digest", F.unhex(F.md5("text")))
-    features = checkpointed(plain.select("doc_id", "text").mapInArrow(_features(length), _FEATURES))
-    repeats = checkpointed(_repeats(plain, features, length, crowd))
+    features = checkpointed(plain.select("doc_id", "text").mapInArrow(_features(length, words), _FEATURES))
+    repeats, passages = _repeats(plain, features, length, crowd, words, spare)
     copied = features.groupBy("digest").agg(F.count("*").alias("copies"))
     rows = (
         features.select("doc_id", "digest", "sha").distinct().join(copied, "digest").join(repeats, "digest", "left")
-        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("copies") > 1).alias("__copied"), F.col("repeats").alias("__repeats"), F.col("sha").alias("__sha"))
+        .join(passages if words else repeats.select("digest", F.lit(None).cast("array<long>").alias("passages")), "digest", "left")
+        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("copies") > 1).alias("__copied"), F.col("repeats").alias("__repeats"), F.col("sha").alias("__sha"), F.col("passages").alias("__passages"))
     )
     # Joined by id and text, so that copies spread over all tasks.
     keyed = docs.withColumn("__own", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
@@ -478,6 +609,6 @@ def remove_repeats(
     schema = StructType([StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in kept.schema])
     for name, kind in stats.items():
         schema = schema.add(name, kind)
-    return joined.select(*names, "__copied", "__repeats", "__sha").mapInArrow(
-        _cut(length, names, text_col, to_arrow_schema(schema)), schema
+    return joined.select(*names, "__copied", "__repeats", "__sha", "__passages").mapInArrow(
+        _cut(length, words, cut_words, names, text_col, to_arrow_schema(schema)), schema
     )
