@@ -4,6 +4,7 @@ empty and long texts, ties, repeated rows and columns of clashing names."""
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -429,6 +430,92 @@ def test_repeats_keep_columns(spark, docs, empty):
     assert remove_repeats(empty, 400).count() == 0
 
 
+def _passages(rows, words, spare=()):
+    """Texts without runs of `words` words that another text has, and the bytes of those."""
+    seen, copies = defaultdict(set), Counter(t for _, t in rows)
+    cut = lambda t: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+    windows = lambda t: [tuple(t[a:b] for a, b in cut(t)[p : p + words]) for p in range(len(cut(t)) - words + 1)]
+    for _, t in rows:
+        for w in windows(t):
+            seen[w].add(t)
+    kept = {w for t in spare for w in windows(t)}
+    out = []
+    for i, t in rows:
+        gone = bytearray(len(t or ""))
+        for p, w in enumerate(windows(t)):
+            if copies[t] > 1 or len(seen[w]) > 1 and w not in kept:
+                a, b = cut(t)[p][0], cut(t)[p + words - 1][1]
+                gone[a:b] = b"\1" * (b - a)
+        rest = t and "".join(c for c, g in zip(t, gone) if not g)
+        out.append((i, rest, len((t or "").encode()) - len((rest or "").encode())))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("words", [6, 24, 50])
+def test_passages_of_words(spark, words):
+    from tidemark.llm.suffix_dedup import remove_repeats
+
+    draw = random.Random(words)
+    fresh = lambda n: " ".join(f"{draw.choice('abéñ')}{draw.randrange(10**4)}" for _ in range(n))
+    common, spared, inner = fresh(words + 3), fresh(words + 1), fresh(words)
+    rows = [(i, f"{fresh(i % 7)} {common.replace(' ', chr(9)) if i % 2 else common}  {fresh(i % 5)}") for i in range(6)]
+    rows += [(10 + i, f"{fresh(4)} {spared} {fresh(4)}") for i in range(2)] + [(20, f"{inner} x {inner}"), (21, fresh(words)), (None, None), (22, "")]
+    rows += [(23, common.rsplit(" ", 4)[0]), (24, fresh(2) + " " + " ".join(common.split()[2:]))]
+    # Copies are other documents.
+    rows += [(30, copy := fresh(words) + " "), (31, copy), (31, copy), (None, fresh(words + 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spare = spark.createDataFrame([(spared,), (None,), ("",)], "text string")
+    for given, texts in ((spare, [spared]), (None, [])):
+        got = remove_repeats(docs, 10_000, words=words, spare=given).collect()
+        assert sorted(((r.doc_id, r.text, r.n_passage_bytes) for r in got), key=str) == _passages(rows, words, texts)
+        assert all(r.n_removed == r.n_passage_bytes for r in got)
+    # Only counted: what goes is what went before.
+    plain = {tuple(r) for r in remove_repeats(docs, 40).collect()}
+    beside = remove_repeats(docs, 40, words=words, cut_words=False).collect()
+    assert {tuple(r)[:-1] for r in beside} == plain
+    assert sorted(((r.doc_id, r.n_passage_bytes) for r in beside), key=str) == sorted(((i, n) for i, _, n in _passages(rows, words)), key=str)
+
+
+def test_pipeline_cuts_passages_of_words(spark, tmp_path):
+    import corpus_pipeline
+    from tidemark.llm.queries import op9
+
+    draw = random.Random(50)
+    fresh = lambda n: " ".join(f"{draw.choice('abcd')}{draw.randrange(1000)}" for _ in range(n))
+    passage, item = fresh(55), fresh(55)
+    assert len(passage) < 400
+    rows = [(1, f"{fresh(30)} {passage} {fresh(9)}"), (2, f"{passage} {fresh(30)}"), (3, fresh(90)), (4, f"{fresh(20)} {item}"), (5, f"{item} {fresh(20)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()}
+    assert {i: got[i].text for i in got} == {i: t.replace(passage, "") for i, t in rows}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    flags = {r.doc_id: (r.has_passage, r.n_passage_bytes, r.n_removed) for r in op9(spark, str(tmp_path)).collect()}
+    assert flags == {1: (True, len(passage), 0), 2: (True, len(passage), 0), 3: (False, 0, 0), 4: (True, len(item), 0), 5: (True, len(item), 0)}
+
+
+def test_word_runs_of_long_texts():
+    from tidemark.llm import hashing, suffix_dedup
+
+    draw = np.random.default_rng(2)
+    texts = [draw.integers(0, 2**63, n, dtype=np.uint64) for n in (0, 9, 10, 5000, 60)]
+    whole = [list(map(np.ndarray.tolist, r)) for r in suffix_dedup.word_runs(texts, 10)]
+    block, suffix_dedup._BLOCK = suffix_dedup._BLOCK, 700
+    try:
+        cut = [list(map(np.ndarray.tolist, r)) for r in suffix_dedup.word_runs(texts, 10)]
+    finally:
+        suffix_dedup._BLOCK = block
+    flat = lambda runs: [(t, f + i, k) for r in runs for t, f, c, k in zip(*r) for i in range(c)]
+    assert flat(whole) == flat(cut) and len(cut) > 1
+    assert [(t, f) for t, f, _ in flat(whole)] == [(t, p) for t, x in enumerate(texts) for p in range(len(x) - 9)]
+    text = b" ".join(b"w%d" % i for i in range(40))
+    found = np.concatenate([h for _, h in suffix_dedup._windows(text, 10)])
+    sums = hashing.hash_sums(hashing.word_hashes(text))
+    at = np.arange(31)
+    assert found.tolist() == hashing.part_hashes(sums, at, at + 10).view(np.int64).tolist()
+
+
 def test_deep_shallow_sort():
     from tidemark.llm.suffix_dedup import common_prefix, deep_shallow
 
