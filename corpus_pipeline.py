@@ -43,16 +43,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out if kept.count() == ids.count() else out.dropDuplicates(["doc_id", "text"])
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+#: Where passages that were cut have words of the benchmark: the text with these left in, for the next stage; else null.
+WITH_ITEMS = "__with_items"
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of passages of 400 bytes that occur elsewhere, or of 50 words
-    in another document. Words of the benchmark stay, so that the next stage sees them."""
-    done = remove_repeats(docs, length=400, words=50, spare=table(spark, sf_dir, "benchmark").select("text"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    in another document; words of the benchmark go like others."""
+    done = remove_repeats(docs, length=400, words=50, spare=table(spark, sf_dir, "benchmark").select("text"), spared_col=WITH_ITEMS)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*(c for c in docs.columns if c != WITH_ITEMS), WITH_ITEMS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is cut, with words of the benchmark left in: texts as the next stage looks at them."""
+    seen = cut_passages(spark, docs, sf_dir).withColumn("text", F.coalesce(WITH_ITEMS, "text"))
+    return seen.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark; one that lost it with a passage of words had it."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    if WITH_ITEMS not in docs.columns:
+        return drop_contaminated(docs, benchmark)
+    seen = docs.withColumn("__seen", F.coalesce(WITH_ITEMS, "text"))
+    return drop_contaminated(seen, benchmark, text_col="__seen").drop("__seen", WITH_ITEMS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +77,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("near duplicates", drop_near_duplicates),
-    ("repeated passages", cut_repeats),
+    ("repeated passages", cut_passages),
     ("benchmark decontamination", drop_leaks),
     ("packing", pack),
 ]

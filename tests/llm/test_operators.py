@@ -495,6 +495,58 @@ def test_pipeline_cuts_passages_of_words(spark, tmp_path):
     assert flags == {1: (True, len(passage), 0), 2: (True, len(passage), 0), 3: (False, 0, 0), 4: (True, len(item), 0), 5: (True, len(item), 0)}
 
 
+@pytest.mark.parametrize("words", [6, 24])
+def test_spared_words_go_beside_the_text_that_keeps_them(spark, words):
+    from tidemark.llm.suffix_dedup import remove_repeats
+
+    draw = random.Random(70 + words)
+    fresh = lambda n: " ".join(f"{draw.choice('abéñ')}{draw.randrange(10**4)}" for _ in range(n))
+    common, spared = fresh(words + 3), fresh(words + 2)
+    both = f"{common} {spared}"  # windows over the border are no windows of the spared text
+    rows = [(i, f"{fresh(i)} {common} {fresh(2)}") for i in range(2)] + [(2 + i, f"{fresh(3)} {spared} {fresh(i)}") for i in range(2)]
+    rows += [(4 + i, f"{fresh(3)} {both} {fresh(3)}") for i in range(2)] + [(6, fresh(words + 9)), (7, spared + " é"), (8, None), (9, "")]
+    rows += [(10, copy := f"{fresh(2)} {spared}"), (11, copy), (11, copy), (None, f"{spared} {fresh(1)} {common}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spare = spark.createDataFrame([(spared,), (spared + " " + fresh(2),), (None,)], "text string")
+    got = remove_repeats(docs, 10_000, words=words, spare=spare, spared_col="seen").collect()
+    assert sorted(((r.doc_id, r.text, r.n_passage_bytes) for r in got), key=str) == _passages(rows, words)
+    left = _passages(rows, words, [spared])
+    assert sorted(((r.doc_id, r.text if r.seen is None else r.seen) for r in got), key=str) == sorted(((i, t) for i, t, _ in left), key=str)
+    assert {r.doc_id for r in got if r.seen is not None} == {2, 3, 4, 5, 7, None}
+    # Only counted: nothing goes, so no other text is left.
+    beside = remove_repeats(docs, 10_000, words=words, cut_words=False, spare=spare, spared_col="seen").collect()
+    assert {r.seen for r in beside} == {None} and Counter(r.text for r in beside) == Counter(t for _, t in rows)
+    assert sorted(((r.doc_id, r.n_passage_bytes) for r in beside), key=str) == sorted(((i, n) for i, _, n in _passages(rows, words)), key=str)
+
+
+def test_pipeline_cuts_passages_of_the_benchmark(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    draw = random.Random(51)
+    fresh = lambda n: " ".join(f"{draw.choice('abcd')}{draw.randrange(1000)}" for _ in range(n))
+    item, long, single = fresh(55), fresh(90), fresh(55)
+    part = " ".join(long.split()[:52])  # repeats, but is too little of its item to be a leak
+    rows = [
+        (1, f"{fresh(30)} {item} {fresh(9)}"), (2, f"{item} {fresh(30)}"), (3, fresh(90)), (4, f"{fresh(20)} {part} {fresh(5)}"),
+        (5, f"{part} {fresh(60)}"), (6, f"{fresh(10)} {single} {fresh(10)}"), (None, f"{fresh(40)} {item}"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item), (2, long), (3, single)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(pipeline.STAGES)
+    stages["repeated passages"](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/cut")
+    cut = spark.read.parquet(f"{tmp_path}/cut")
+    want = {i: t.replace(item, "").replace(part, "") for i, t in rows}
+    assert {r.doc_id: r.text for r in cut.collect()} == want
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
+    # Documents that held an item go all the same, the passage cut or not.
+    left = stages["benchmark decontamination"](spark, cut, str(tmp_path))
+    assert left.columns == docs.columns
+    assert {r.doc_id: r.text for r in left.collect()} == {i: want[i] for i in (3, 4, 5)}
+    # As the next stage looks at them: words of the benchmark are left in.
+    seen = pipeline.cut_repeats(spark, docs, str(tmp_path))
+    assert seen.columns == docs.columns and {(r.doc_id, r.text, r.n_chars) for r in seen.collect()} == {(i, t, len(t)) for i, t in rows}
+
+
 def test_word_runs_of_long_texts():
     from tidemark.llm import hashing, suffix_dedup
 

@@ -433,7 +433,8 @@ def _of_two_texts(rows: DataFrame, name: str) -> DataFrame:
 
 def _repeats(plain: DataFrame, features: DataFrame, length: int, crowd: int, words: int, spare: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """(digest, repeats): for texts with one copy, the ranges of starts whose windows repeat;
-    and (digest, passages): the starts, in words, of windows that another text has."""
+    and (digest, passages, spared): the starts, in words, of windows that another text has,
+    and those of them that `spare` has as well."""
     classes = features.filter(F.size("starts") > 0).groupBy("digest").agg(
         F.min("doc_id").alias("row_id"),
         *(F.first(c).alias(c) for c in ("starts", "counts", "anchors", "keys", "contents")),
@@ -490,11 +491,14 @@ def _repeats(plain: DataFrame, features: DataFrame, length: int, crowd: int, wor
     if not words:
         return repeats, None
     windows = bodies.filter("hashes IS NOT NULL").select("digest", "start", F.posexplode("hashes").alias("at", "window"))
-    often = _of_two_texts(windows, "window")
+    often = _of_two_texts(windows, "window").withColumn("spared", F.lit(False))
     if spare is not None:
-        spared = spare.select(F.col(spare.columns[0]).cast("string")).mapInArrow(_spared(words), "window long")
-        often = often.join(spared, "window", "left_anti")
-    passages = windows.join(often, "window").groupBy("digest").agg(F.sort_array(F.collect_set(F.col("start") + F.col("at"))).alias("passages"))
+        spared = spare.select(F.col(spare.columns[0]).cast("string")).mapInArrow(_spared(words), "window long").distinct()
+        often = often.select("window").join(spared.withColumn("found", F.lit(True)), "window", "left").select("window", F.col("found").isNotNull().alias("spared"))
+    place = F.col("start") + F.col("at")
+    passages = windows.join(often, "window").groupBy("digest").agg(
+        F.sort_array(F.collect_set(place)).alias("passages"), F.collect_set(F.when(F.col("spared"), place)).alias("spared")
+    )
     return repeats, checkpointed(passages)
 
 
@@ -525,25 +529,36 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return removed_spans([{"start": a, "count": b - a} for a, b in sorted(spans)], 1)
 
 
-def _cut(length: int, words: int, cut_words: bool, names: list[str], text_col: str, schema: pa.Schema):
+def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(e for s in spans for e in s), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _cut(length: int, words: int, cut_words: bool, cut_spared: bool, names: list[str], text_col: str, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             texts, kept = batch.column(names.index(text_col)).to_pylist(), []
-            stats: list[list] = [[], [], [], [], []]
-            for text, copied, repeats, sha, passages in zip(texts, *(batch.column(i).to_pylist() for i in range(len(names), len(names) + 4))):
+            stats: list[list] = [[], [], [], [], [], []]
+            for text, copied, repeats, sha, passages, spared in zip(texts, *(batch.column(i).to_pylist() for i in range(len(names), len(names) + 5))):
                 data = _bytes(text)
                 spans = removed_spans(repeats or [], length)
                 if copied and len(data) >= length:
                     spans = [(0, len(data))]
                 if words:
-                    shared = passage_spans(data, passages or [], copied, words)
+                    passages, left = passages or [], None
+                    if spared:
+                        others = passage_spans(data, sorted({*passages} - {*spared}), copied, words)
+                    shared = others if spared and not cut_spared else passage_spans(data, passages, copied, words)
                     stats[4].append(sum(b - a for a, b in shared))
                     if cut_words:
+                        # Spared words can be part of other passages and go with them.
+                        if spared and _joined(spans + others) != _joined(spans + shared):
+                            left = _without(data, _joined(spans + others)).decode("utf-8", "ignore")
                         spans = _joined(spans + shared)
+                    stats[5].append(left)
                 rest = data
                 if spans:
-                    edges = [0, *(e for s in spans for e in s), len(data)]
-                    rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                    rest = _without(data, spans)
                     sha = hashlib.sha256(rest).hexdigest()
                 stats[0].append(len(data))
                 stats[1].append(len(data) - len(rest))
@@ -552,7 +567,7 @@ def _cut(length: int, words: int, cut_words: bool, names: list[str], text_col: s
                 # A cut inside a character leaves bytes that are no text.
                 kept.append(rest.decode("utf-8", "ignore") if spans else text)
             columns = [pa.array(kept, pa.string()) if n == text_col else batch.column(i) for i, n in enumerate(names)]
-            columns += [pa.array(s, t) for s, t in zip(stats, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())[: 5 if words else 4])]
+            columns += [pa.array(s, f.type) for s, f in zip(stats, list(schema)[len(names) :])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -560,7 +575,7 @@ def _cut(length: int, words: int, cut_words: bool, names: list[str], text_col: s
 
 def remove_repeats(
     docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, columns: list[str] | None = None,
-    words: int = 0, cut_words: bool = True, spare: DataFrame | None = None,
+    words: int = 0, cut_words: bool = True, spare: DataFrame | None = None, spared_col: str | None = None,
 ) -> DataFrame:
     """The documents without the bytes of repeated strings of `length` bytes.
 
@@ -574,7 +589,9 @@ def remove_repeats(
     or a copy has too go as well, the first included, or with `cut_words` off
     are only counted; n_passage_bytes is how many bytes of the text they are.
     `spare` has texts in its first column; windows of words that stand in
-    them are no passages.
+    them are no passages. With `spared_col` they are, and go like others; where
+    that takes more from a text, this column has the text that is left
+    without them being passages, else it is null.
 
     A null text counts as empty and stays null. Texts shorter than `length`
     are never changed, but by passages. Repeated rows are copies of each other, so they lose
@@ -587,6 +604,8 @@ def remove_repeats(
     stats = {"n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType(), "kept_sha256": StringType()}
     if words:
         stats["n_passage_bytes"] = LongType()
+        if spared_col:
+            stats[spared_col] = StringType()
     names = [c for c in (columns or docs.columns) if c not in stats]
     names += [c for c in (id_col, text_col) if c not in names]
     docs = docs.select(*names)
@@ -599,8 +618,8 @@ def remove_repeats(
     copied = features.groupBy("digest").agg(F.count("*").alias("copies"))
     rows = (
         features.select("doc_id", "digest", "sha").distinct().join(copied, "digest").join(repeats, "digest", "left")
-        .join(passages if words else repeats.select("digest", F.lit(None).cast("array<long>").alias("passages")), "digest", "left")
-        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("copies") > 1).alias("__copied"), F.col("repeats").alias("__repeats"), F.col("sha").alias("__sha"), F.col("passages").alias("__passages"))
+        .join(passages if words else repeats.select("digest", *(F.lit(None).cast("array<long>").alias(c) for c in ("passages", "spared"))), "digest", "left")
+        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("copies") > 1).alias("__copied"), F.col("repeats").alias("__repeats"), F.col("sha").alias("__sha"), F.col("passages").alias("__passages"), F.col("spared").alias("__spared"))
     )
     # Joined by id and text, so that copies spread over all tasks.
     keyed = docs.withColumn("__own", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
@@ -609,6 +628,6 @@ def remove_repeats(
     schema = StructType([StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in kept.schema])
     for name, kind in stats.items():
         schema = schema.add(name, kind)
-    return joined.select(*names, "__copied", "__repeats", "__sha", "__passages").mapInArrow(
-        _cut(length, words, cut_words, names, text_col, to_arrow_schema(schema)), schema
+    return joined.select(*names, "__copied", "__repeats", "__sha", "__passages", "__spared").mapInArrow(
+        _cut(length, words, cut_words, bool(spared_col), names, text_col, to_arrow_schema(schema)), schema
     )
