@@ -119,36 +119,44 @@ def render_table_ddl(spark, sf_dir):
     return C.render_table_ddl(src, keys)
 
 
-_OBJECTS = with_frames("objects", "old_objects") + """,
+def _object_rows(schema: str, src_schema: str | None = None) -> str:
+    """What differs between the objects, extensions apart, as x."""
+    definition = "definition"
+    if src_schema:
+        definition = f"CASE WHEN kind IN ('View', 'Routine', 'Materialized View') THEN replace(definition, '{src_schema}.', '{schema}.') ELSE definition END"
+    return f"""
 n AS (SELECT database, kind, name, CASE WHEN kind IN ('Constraint', 'Trigger') THEN coalesce(parent, '') ELSE '' END AS tab, CASE kind WHEN 'Role' THEN '' ELSE coalesce(schema, '') END AS sch,
-        CASE WHEN kind IN ('View', 'Routine', 'Materialized View') THEN replace(definition, 'dev.', 'prod.') ELSE definition END AS def, owner FROM objects WHERE kind <> 'Extension'),
+        {definition} AS def, owner FROM objects WHERE kind <> 'Extension'),
 o AS (SELECT database, kind, name, CASE WHEN kind IN ('Constraint', 'Trigger') THEN coalesce(parent, '') ELSE '' END AS tab, CASE kind WHEN 'Role' THEN '' ELSE coalesce(schema, '') END AS sch, definition AS def, owner FROM old_objects WHERE kind <> 'Extension'),
 b AS (SELECT coalesce(n.database, o.database) AS database, coalesce(n.kind, o.kind) AS kind, coalesce(n.name, o.name) AS name, coalesce(n.tab, o.tab) AS tab,
         n.def AS nd, o.def AS od, n.owner AS nown, o.owner AS oown, o.name IS NULL AS added, n.name IS NULL AS removed
       FROM n FULL OUTER JOIN o ON n.database = o.database AND n.kind = o.kind AND n.name = o.name AND n.tab = o.tab AND n.sch = o.sch),
 w AS (SELECT *, CASE WHEN (added OR nown <> oown) AND nown IS NOT NULL THEN CASE kind
-          WHEN 'View' THEN chr(10) || 'ALTER VIEW IF EXISTS prod."' || name || '" OWNER TO "' || nown || '";'
-          WHEN 'Materialized View' THEN chr(10) || 'ALTER TABLE IF EXISTS prod."' || name || '" OWNER TO "' || nown || '";'
-          WHEN 'Sequence' THEN chr(10) || 'ALTER SEQUENCE IF EXISTS prod."' || name || '" OWNER TO "' || nown || '";'
-          WHEN 'Routine' THEN chr(10) || 'ALTER FUNCTION prod.' || name || ' OWNER TO "' || nown || '";' ELSE '' END ELSE '' END AS own FROM b),
+          WHEN 'View' THEN chr(10) || 'ALTER VIEW IF EXISTS {schema}."' || name || '" OWNER TO "' || nown || '";'
+          WHEN 'Materialized View' THEN chr(10) || 'ALTER TABLE IF EXISTS {schema}."' || name || '" OWNER TO "' || nown || '";'
+          WHEN 'Sequence' THEN chr(10) || 'ALTER SEQUENCE IF EXISTS {schema}."' || name || '" OWNER TO "' || nown || '";'
+          WHEN 'Routine' THEN chr(10) || 'ALTER FUNCTION {schema}.' || name || ' OWNER TO "' || nown || '";' ELSE '' END ELSE '' END AS own FROM b),
 x AS (SELECT database, kind, CASE WHEN tab <> '' AND kind = 'Constraint' THEN name || ' [' || tab || ']' ELSE name END AS object_name, od,
     CASE WHEN added THEN 'Added' WHEN removed THEN 'ExistingInTarget' ELSE 'Altered' END AS diff_type,
     CASE WHEN added THEN nd || own WHEN removed THEN od ELSE nd END AS source_ddl,
     CASE WHEN added THEN CASE WHEN kind IN ('Role', 'Enum') THEN '-- N/A' ELSE '-- Object does not exist in Target database' END
          WHEN removed THEN '-- N/A' ELSE od END AS target_ddl,
     CASE WHEN added THEN nd || own
-         WHEN removed THEN CASE kind WHEN 'Index' THEN 'DROP INDEX IF EXISTS prod."' || name || '";'
-              WHEN 'Sequence' THEN 'DROP SEQUENCE IF EXISTS prod."' || name || '" CASCADE;'
-              WHEN 'View' THEN 'DROP VIEW IF EXISTS prod.' || name || ';' WHEN 'Routine' THEN 'DROP FUNCTION IF EXISTS prod.' || name || ';'
-              WHEN 'Materialized View' THEN 'DROP MATERIALIZED VIEW IF EXISTS prod.' || name || ';'
+         WHEN removed THEN CASE kind WHEN 'Index' THEN 'DROP INDEX IF EXISTS {schema}."' || name || '";'
+              WHEN 'Sequence' THEN 'DROP SEQUENCE IF EXISTS {schema}."' || name || '" CASCADE;'
+              WHEN 'View' THEN 'DROP VIEW IF EXISTS {schema}.' || name || ';' WHEN 'Routine' THEN 'DROP FUNCTION IF EXISTS {schema}.' || name || ';'
+              WHEN 'Materialized View' THEN 'DROP MATERIALIZED VIEW IF EXISTS {schema}.' || name || ';'
               WHEN 'Trigger' THEN 'DROP TRIGGER IF EXISTS "' || name || '" ON ' || regexp_extract(od, '(?i)\\bON\\s+(\\S+)', 1) || ';'
               WHEN 'Constraint' THEN 'ALTER TABLE ' || regexp_extract(od, '(?i)ALTER TABLE\\s+(\\S+)\\s+ADD CONSTRAINT', 1) || ' DROP CONSTRAINT IF EXISTS "' || name || '";' END
-         WHEN kind = 'View' THEN 'CREATE OR REPLACE VIEW prod.' || name || ' AS ' || nd || own
-         WHEN kind = 'Materialized View' THEN 'DROP MATERIALIZED VIEW IF EXISTS prod.' || name || ';' || chr(10) || nd || own
+         WHEN kind = 'View' THEN 'CREATE OR REPLACE VIEW {schema}.' || name || ' AS ' || nd || own
+         WHEN kind = 'Materialized View' THEN 'DROP MATERIALIZED VIEW IF EXISTS {schema}.' || name || ';' || chr(10) || nd || own
          ELSE nd || own END AS diff_script
   FROM w WHERE added OR (kind NOT IN ('Role', 'Enum') AND (removed OR nd IS DISTINCT FROM od OR coalesce(nown <> oown, false))))"""
 
 
+_OBJECTS = with_frames("objects", "old_objects") + "," + _object_rows("prod", "dev")
+
+
 def _object_diff(spark, sf_dir):
     src, tgt = load(spark, sf_dir, "objects", "old_objects")
     return O.object_diff(src, tgt, src_schema="dev", tgt_schema="prod", include_owner=True)
@@ -176,11 +184,13 @@ def extension_diff(spark, sf_dir):
     return O.object_diff(src, tgt, ignore_extension=False).where("kind = 'Extension'")
 
 
+_PARENT = """lower(regexp_extract(od, CASE kind WHEN 'Constraint' THEN '(?i)ALTER TABLE\\s+(?:[a-zA-Z0-9_"\\.]+\\.)?"?([a-zA-Z0-9_]+)\\b'
+                                           ELSE '(?i)\\bON\\s+(?:[a-zA-Z0-9_"\\.]+\\.)?"?([a-zA-Z0-9_]+)\\b' END, 1))"""
+
 _SUPPRESSED = f"""{_OBJECTS},
 d AS (SELECT database, lower(table_name) AS tab FROM ({with_frames("dropped_tables")} SELECT * FROM dropped_tables)),
 y AS (SELECT * FROM x WHERE NOT (diff_type = 'ExistingInTarget' AND kind IN ('Index', 'Trigger', 'Constraint') AND
-  (database, lower(regexp_extract(od, CASE kind WHEN 'Constraint' THEN '(?i)ALTER TABLE\\s+(?:[a-zA-Z0-9_"\\.]+\\.)?"?([a-zA-Z0-9_]+)\\b'
-                                           ELSE '(?i)\\bON\\s+(?:[a-zA-Z0-9_"\\.]+\\.)?"?([a-zA-Z0-9_]+)\\b' END, 1))) IN (SELECT (database, tab) FROM d)))"""
+  (database, {_PARENT}) IN (SELECT (database, tab) FROM d)))"""
 
 
 @registry.add("suppress_dependents", f"{_SUPPRESSED}\nSELECT database, kind, object_name, diff_type, source_ddl, target_ddl, diff_script FROM y")
@@ -230,16 +240,33 @@ plan AS (
 )
 
 
-def _plan(spark, sf_dir):
+_WHOLE_PLAN = f"""{_PLAN},{_object_rows("public")},
+y AS (SELECT * FROM x WHERE NOT (diff_type = 'ExistingInTarget' AND kind IN ('Index', 'Trigger', 'Constraint') AND
+  EXISTS (SELECT 1 FROM t WHERE t.diff_type = 'ExistingInTarget' AND t.database = x.database AND lower(t.table_name) = {_PARENT}))),
+z AS (SELECT n.database, n.name, n.definition AS v, o.definition AS old_v, o.name IS NULL AS added, coalesce(n.owner <> o.owner, false) AS moved
+      FROM (SELECT * FROM objects WHERE kind = 'Extension') n LEFT JOIN (SELECT * FROM old_objects WHERE kind = 'Extension') o ON n.database = o.database AND n.name = o.name),
+whole AS (
+  SELECT * FROM plan
+  UNION ALL SELECT database, 0, 0, 0, 'Extension', name, CASE WHEN added THEN 'Added' ELSE 'Altered' END,
+    CASE WHEN added THEN 'CREATE EXTENSION IF NOT EXISTS "' || name || '" VERSION ''' || v || ''';' ELSE 'ALTER EXTENSION "' || name || '" UPDATE TO ''' || v || ''';' END
+    FROM z WHERE added OR v IS DISTINCT FROM old_v OR moved
+  UNION ALL SELECT database, CASE kind WHEN 'Role' THEN 1 WHEN 'Sequence' THEN 4 WHEN 'View' THEN 6 WHEN 'Routine' THEN 7 WHEN 'Materialized View' THEN 8
+    WHEN 'Index' THEN 9 WHEN 'Constraint' THEN 10 WHEN 'Trigger' THEN 11 END, 0, 0, kind, object_name, diff_type, diff_script FROM y)"""
+
+
+def _plan(spark, sf_dir, *objects, **options):
+    """Plan of the catalogs, and of the objects where both sides' are given."""
     src, tgt = _sides(spark, sf_dir)
     keys, fks = load(spark, sf_dir, "catalog_keys", "catalog_fks")
-    return O.schema_change_plan(src, tgt, src_edges=fks, tgt_edges=fks, keys=keys)
+    return O.schema_change_plan(src, tgt, *objects, src_edges=fks, tgt_edges=fks, keys=keys, **options)
 
 
-@registry.add("schema_change_plan", f"{_PLAN}\nSELECT * FROM plan")
+@registry.add("schema_change_plan", f"{_WHOLE_PLAN}\nSELECT * FROM whole")
 def schema_change_plan(spark, sf_dir):
+    """Tables and all other kinds, versions of extensions and owners too."""
+    objects = load(spark, sf_dir, "objects", "old_objects")
     # Written first: sorting looks at all rows twice.
-    return checkpointed(_plan(spark, sf_dir)).orderBy(*O.PLAN_ORDER)
+    return checkpointed(_plan(spark, sf_dir, *objects, include_owner=True, ignore_extension=False)).orderBy(*O.PLAN_ORDER)
 
 
 @registry.add(
@@ -283,6 +310,7 @@ def schema_change_plan_owners(spark, sf_dir):
 
 @registry.add("verify_schema", f"{_PLAN}\nSELECT count(*) AS remaining, count(*) = 0 AS passed FROM plan")
 def verify_schema(spark, sf_dir):
+    """What is left of the tables' part of a plan."""
     return O.verify_schema(_plan(spark, sf_dir))
 
 

@@ -1,5 +1,8 @@
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from queries import all_queries
 from tidemark.functions.types import display_type, normalize_type, type_string
 from tidemark.operators import catalog as C, objects as O
 
@@ -145,6 +148,42 @@ def test_owners_of_tables(spark):
     assert [r.name for r in both.collect()] == ["moved"] and dev.count() == 3
 
 
+def test_plan_query_has_all_kinds(spark, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    day = lambda year: datetime(year, 5, 1)
+    # One table is new, one is gone; keys are texts so that objects can hang on the one that is gone.
+    write("lineitem", [
+        ("1", "1", "s1", 1, 5.0, 1.0, 0.01, 0.08, "N", "O", day(1998)), ("2", "1", "R_2001", 1, 5.0, 1.0, 0.01, 0.02, "R", "F", day(2001)),
+    ], "l_orderkey string, l_partkey string, l_suppkey string, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    write("orders", [
+        (1, "7", "O", "5-LOW"), (2, "7", "P", "5-LOW"), (3, "7", "F", "5-LOW"), (4, "7", "F", "1-URGENT"), (5, "R_2001", "F", "1-URGENT"),
+        (6, "R_2001", "F", "2-HIGH"), (7, "R_2001", "F", "3-MEDIUM"), (8, "7", "F", "3-MEDIUM"), (9, "7", "O", "2-HIGH"), (10, "7", "O", "4-NOT SPECIFIED"),
+        (11, "7", "F", "4-NOT SPECIFIED"),
+    ], "o_orderkey bigint, o_custkey string, o_orderstatus string, o_orderpriority string")
+    write("documents", [
+        (1, "a", "en", "s1", 50), (2, "b", "fr", "s1", 6000), (3, "c", "de", "s1", 2500), (4, "d", "es", "s1", 1000),
+    ], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    write("nation", [(1, 0)], "n_nationkey int, n_regionkey int")
+    rows = all_queries().spark["schema_change_plan"](spark, str(tmp_path)).collect()
+    assert [(r.database, r.kind, r.object_name, r.diff_type) for r in rows] == [
+        ("db_7", "Extension", "o_1", "Added"), ("db_7", "Extension", "o_2", "Altered"), ("db_7", "Role", "o_10", "Added"),
+        ("db_7", "Index", "o_4", "ExistingInTarget"), ("db_7", "Constraint", "o_8 [T_7]", "ExistingInTarget"), ("db_7", "Trigger", "o_9", "Added"),
+        ("db_R_2001", "Table", "t_R_2001", "ExistingInTarget"),
+        ("db_n", "View", "v_1", "Altered"), ("db_n", "View", "v_1", "Altered"), ("db_n", "Trigger", "touch", "Altered"),
+        ("db_s1", "Table", "t_N_1998", "Added"),
+        ("s1", "Sequence", "obj_1", "ExistingInTarget"), ("s1", "View", "obj_2", "Added"), ("s1", "Routine", "obj_3", "Altered"),
+        ("s1", "Materialized View", "obj_4", "Altered"),
+    ]
+    scripts = {(r.kind, r.object_name): r.diff_script for r in rows}
+    assert scripts[("Extension", "o_2")] == "ALTER EXTENSION \"o_2\" UPDATE TO '1.7';"
+    assert scripts[("Index", "o_4")] == 'DROP INDEX IF EXISTS public."o_4";'
+    assert scripts[("Sequence", "obj_1")] == 'DROP SEQUENCE IF EXISTS public."obj_1" CASCADE;'
+    assert scripts[("View", "obj_2")] == 'dev.b\nALTER VIEW IF EXISTS public."obj_2" OWNER TO "admin";'
+    assert scripts[("Routine", "obj_3")] == 'dev.c\nALTER FUNCTION public.obj_3 OWNER TO "admin";'
+    assert scripts[("Materialized View", "obj_4")] == "DROP MATERIALIZED VIEW IF EXISTS public.obj_4;\ndev.d"
+
+
 def test_catalog_of_frames(spark):
     df = spark.sql("select 1 as a, 'x' as b, cast(1.5 as decimal(8,2)) as c, array(1) as d, timestamp_ntz'2024-01-01 00:00:00' as e")
     rows = C.catalog_of({"t": df}, "db").orderBy("ordinal").collect()

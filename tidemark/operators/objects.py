@@ -184,12 +184,15 @@ def parent_table(kind: Column, definition: Column) -> Column:
 def suppress_dependents(diff: DataFrame, dropped_tables: DataFrame) -> DataFrame:
     """The object diff without the removed indexes, triggers and constraints
     of dropped tables (database, table_name), any letter case."""
-    dropped = dropped_tables.select(F.col("database").alias("_db"), F.lower("table_name").alias("_table")).distinct()
-    gone = (
-        (F.col("diff_type") == "ExistingInTarget") & (F.col("database") == F.col("_db"))
-        & (F.lower(parent_table(F.col("kind"), F.col("source_ddl"))) == F.col("_table"))
+    removed = F.col("diff_type") == "ExistingInTarget"
+    # Rows that hang on no table are dealt by their names, not all of a database to one task.
+    near = diff.withColumn("_parent", F.when(removed, F.lower(parent_table(F.col("kind"), F.col("source_ddl"))))).withColumn(
+        "_deal", F.when(F.col("_parent").isNull(), F.xxhash64("kind", "object_name")).otherwise(F.xxhash64("database", "_parent"))
     )
-    return diff.join(dropped, gone, "left_anti")
+    dropped = dropped_tables.select(F.col("database").alias("_db"), F.lower("table_name").alias("_table")).distinct()
+    dropped = dropped.withColumn("_dealt", F.xxhash64("_db", "_table"))
+    gone = (F.col("database") == F.col("_db")) & (F.col("_parent") == F.col("_table")) & (F.col("_deal") == F.col("_dealt"))
+    return near.join(dropped, gone, "left_anti").drop("_parent", "_deal")
 
 
 def _leveled(tables: DataFrame, src_edges: DataFrame | None, tgt_edges: DataFrame | None) -> DataFrame:
